@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessaprobe.llm.near_dup import op7_minhash_near_dedup
+from tessaprobe.llm.quality_classifier import op10_quality_classifier
 from tessaprobe.llm.quality_rules import op6_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_quality_rules": op6_quality_rules,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 

@@ -4,8 +4,9 @@ Method (cross-document line frequency): every line is normalised (white space ru
 A-Z lower-cased) and hashed; for each host the documents that carry the line are counted; lines above the limit
 are removed; a document that loses too much is rejected as depleted.
 
-What counts as a distinct document: copies say nothing about boilerplate, so documents whose smallest line hash is
-equal (exact copies always, near copies nearly always) count once. Lines under ``min_line_words`` words are never
+What counts as a distinct document: copies say nothing about boilerplate, so for a line the documents are counted by
+the smallest hash among their other lines, which exact copies always share and near copies of some lines nearly always;
+a document of this one line counts as one. Lines under ``min_line_words`` words are never
 counted nor removed.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null host is a host of its own; repeated
@@ -38,7 +39,7 @@ class Limits:
 
 STATS = (
     "doc_id bigint, host string, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-    "n_repeat_words bigint, sketch bigint, line_hash array<bigint>, line_words array<int>"
+    "n_repeat_words bigint, sketch bigint, sketch2 bigint, line_hash array<bigint>, line_words array<int>"
 )
 
 
@@ -102,10 +103,12 @@ def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counted = np.bincount(line_owner[fresh], minlength=n)
             ends = np.cumsum(counted)
             kept_hash = line_hash[fresh].view(np.int64)
-            sketch = np.zeros(n, np.int64)
+            sketch, sketch2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
             some = np.flatnonzero(counted)
             if len(some):
                 sketch[some] = np.minimum.reduceat(kept_hash, (ends - counted)[some])
+                others = np.where(kept_hash == sketch[line_owner[fresh]], np.iinfo(np.int64).max, kept_hash)
+                sketch2[some] = np.minimum.reduceat(others, (ends - counted)[some])
             # a repeated line is removed wherever it stands: its words count as often as it occurs
             both = np.zeros(len(line_hash), np.int64)
             order = np.lexsort((~fresh, line_hash, line_owner))
@@ -124,6 +127,7 @@ def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(np.bincount(line_owner[duplicate], minlength=n)),
                     pa.array(repeated[starts[1:]] - repeated[starts[:-1]]),
                     pa.array(sketch),
+                    pa.array(sketch2),
                     pa.ListArray.from_arrays(offsets, pa.array(kept_hash)),
                     pa.ListArray.from_arrays(offsets, pa.array(both[fresh].astype(np.int32))),
                 ],
@@ -143,9 +147,10 @@ def judged(docs: DataFrame, host: str = "source", limits: Limits = Limits()) ->
     """One row per row of ``docs``: STATS without the line arrays, plus base_failed, removed_words, removed (hashes), kept."""
     stats = store.written(prepared(docs, host).mapInArrow(statistics, STATS), "quality-stats")
     lines = (
-        stats.select("text_key", "host", "sketch", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x"))
-        .select("text_key", "host", "sketch", F.col("x.line_hash").alias("line"), F.col("x.line_words").alias("n"))
+        stats.select("text_key", "host", "sketch", "sketch2", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x"))
+        .select("text_key", "host", "sketch", "sketch2", F.col("x.line_hash").alias("line"), F.col("x.line_words").alias("n"))
         .where(F.col("n") >= limits.min_line_words)
+        .select("text_key", "host", "line", "n", F.when(F.col("line") == F.col("sketch"), F.col("sketch2")).otherwise(F.col("sketch")).alias("sketch"))
     )
     sizes = stats.groupBy("host").agg(F.count("*").alias("host_documents"))
     # the pair (line, sketch) is made distinct first, so a hot line is summed from many tasks' partial counts
@@ -162,7 +167,7 @@ def judged(docs: DataFrame, host: str = "source", limits: Limits = Limits()) ->
         .groupBy("text_key", "line").agg(F.max("n").alias("n"))
         .groupBy("text_key").agg(F.sum("n").alias("removed_words"), F.collect_set("line").alias("removed"))
     )
-    out = stats.drop("line_hash", "line_words", "sketch").join(lost, "text_key", "left")
+    out = stats.drop("line_hash", "line_words", "sketch", "sketch2").join(lost, "text_key", "left")
     base_failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
     removed = F.coalesce("removed_words", F.lit(0)).cast("bigint")
     depleted = (100 * removed > limits.depleted_percent * F.col("n_words")) | ((removed > 0) & (F.col("n_words") - removed < limits.min_words))
@@ -173,7 +178,7 @@ def without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Drop from each text the lines whose normalised hash is in ``removed``; other lines stay as they are."""
     for batch in batches:
         for part in words.slices(batch, "text"):
-            removed = part.column("removed")
+            removed = part.column("__removed")
             touched = np.flatnonzero(pc.fill_null(pc.list_value_length(removed), 0).to_numpy(zero_copy_only=False))
             texts = part.column("text")
             if len(touched):
@@ -189,7 +194,7 @@ def without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     a, b = offsets[k] - offsets[0], offsets[k + 1] - offsets[0]
                     new[row] = "\n".join(flat[i] for i in range(a, b) if by_line.get(i) not in gone)
                 texts = pa.array(new, texts.type)
-            yield part.set_column(part.schema.get_field_index("text"), "text", texts).drop_columns(["removed"])
+            yield part.set_column(part.schema.get_field_index("text"), "text", texts).drop_columns(["__removed"])
 
 
 def cleaned(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
@@ -198,10 +203,10 @@ def cleaned(docs: DataFrame, host: str = "source", limits: Limits = Limits()) ->
     ``n_chars`` is counted anew where a text changed.
     """
     verdict = judged(docs, host, limits).groupBy("text_key").agg(F.first("kept").alias("kept"), F.first("removed").alias("removed"))
-    verdict = store.written(verdict.where("kept").select("text_key", "removed"), "quality-verdicts")
+    verdict = store.written(verdict.where("kept").select(F.col("text_key").alias("__text_key"), F.col("removed").alias("__removed")), "quality-verdicts")
     columns = docs.columns
-    joined = docs.withColumn("text_key", F.xxhash64("doc_id", host, "text")).join(verdict, "text_key").drop("text_key")
-    schema = joined.drop("removed").schema
+    joined = docs.withColumn("__text_key", F.xxhash64("doc_id", host, "text")).join(verdict, "__text_key").drop("__text_key")
+    schema = joined.drop("__removed").schema
     out = joined.mapInArrow(without_lines, schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
