@@ -6,18 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessaprobe.llm.decontamination import op2_benchmark_decontamination
+from tessaprobe.llm.html_extraction import op8_html_extraction
+from tessaprobe.llm.license_scan import op3_license_scan
 from tessaprobe.llm.near_dup import op7_minhash_near_dedup
+from tessaprobe.llm.packing import op5_packing
 from tessaprobe.llm.quality_classifier import op10_quality_classifier
 from tessaprobe.llm.quality_rules import op6_quality_rules
+from tessaprobe.llm.toxicity import op4_toxicity
+from tessaprobe.llm.url_reputation import op9_sql, op9_url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_license_scan": op3_license_scan,
+        "op4_toxicity": op4_toxicity,
+        "op5_packing": op5_packing,
         "op6_quality_rules": op6_quality_rules,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_html_extraction": op8_html_extraction,
+        "op9_url_reputation": op9_url_reputation,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_html_extraction": op8_html_extraction,
+        "op9_url_reputation": op9_sql(),
+    }
