@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessaprobe.llm.decontamination import op2_benchmark_decontamination
 from tessaprobe.llm.html_extraction import op8_html_extraction
+from tessaprobe.llm.language_model import op1_language_model
 from tessaprobe.llm.license_scan import op3_license_scan
 from tessaprobe.llm.near_dup import op7_minhash_near_dedup
 from tessaprobe.llm.packing import op5_packing
@@ -19,6 +20,7 @@ from tessaprobe.llm.url_reputation import op9_sql, op9_url_reputation
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_model": op1_language_model,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_license_scan": op3_license_scan,
         "op4_toxicity": op4_toxicity,
