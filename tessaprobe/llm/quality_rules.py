@@ -202,10 +202,12 @@ def cleaned(docs: DataFrame, host: str = "source", limits: Limits = Limits()) ->
 
     ``n_chars`` is counted anew where a text changed.
     """
-    verdict = judged(docs, host, limits).groupBy("text_key").agg(F.first("kept").alias("kept"), F.first("removed").alias("removed"))
-    verdict = store.written(verdict.where("kept").select(F.col("text_key").alias("__text_key"), F.col("removed").alias("__removed")), "quality-verdicts")
+    found = judged(docs, host, limits).where(~F.col("kept") | F.col("removed").isNotNull())
+    found = found.groupBy(F.col("text_key").alias("__text_key")).agg(F.first("kept").alias("__kept"), F.first("removed").alias("__removed"))
+    acts = store.written(found, "quality-verdicts")  # only texts to drop or to cut: the smaller side of the join
     columns = docs.columns
-    joined = docs.withColumn("__text_key", F.xxhash64("doc_id", host, "text")).join(verdict, "__text_key").drop("__text_key")
+    joined = docs.withColumn("__text_key", F.xxhash64("doc_id", host, "text")).join(acts, "__text_key", "left")
+    joined = joined.where(F.coalesce("__kept", F.lit(True))).drop("__text_key", "__kept")
     schema = joined.drop("__removed").schema
     out = joined.mapInArrow(without_lines, schema)
     if "n_chars" in columns:

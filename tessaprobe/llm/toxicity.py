@@ -84,7 +84,7 @@ def both_sides(texts: pa.Array, fit: Fit) -> list[bytes]:
     """Per text: the length of its features, its features, then those of its counterfactual if it has one."""
     codes, starts, distinct = tokens(texts)
     table = swaps()
-    names = distinct.to_pylist()
+    names = words.listed(distinct)
     value = words.word_hashes(distinct)
     other = value.copy()
     named = np.array([w in table for w in names], bool)
