@@ -7,7 +7,7 @@ sequence. Only the last sequence can be short; it is padded to the window unless
 (``padded_length``). The written table of pass one fixes the order, so a retried task gives the same pieces.
 
 White space separates words for this tokenizer, so the ids of a text are those of its space-separated chunks in a row;
-each task keeps the ids of the chunks it met last (at most ``cache`` of them).
+each task keeps the ids of the pieces of chunks it met last (at most twice ``cache`` and what one slice adds).
 
 Defined cases: null and empty texts hold only the closing id; repeated rows and equal ids are packed each; a null id
 stays null; an empty table gives an empty result; other columns are ignored.
@@ -45,35 +45,78 @@ PIECES = (
 )
 
 
+PUNCTUATION = r"[!-&(-/:;=>?@\[-`{-~]+$"  # without the apostrophe and <, which can belong to longer tokens
+
+
 class Chunks:
-    """ids of space-separated chunks as bytes of little-endian unsigned 32-bit numbers."""
+    """ids of space-separated chunks. Letters and the signs after them are looked up apart, since the tokenizer never joins
+    them; new ones are encoded many at a time, as one text, and told apart by the marks of word ends."""
 
     def __init__(self, pack: Pack):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel units
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(public_tokenizers.path(pack.tokenizer)), pack.cache, {}
-
-    def learn(self, chunks: list[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = chunks
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = e.ids
+        self.tokenizer, self.most = Tokenizer.from_file(public_tokenizers.path(pack.tokenizer)), pack.cache
+        self.known: dict[str, bytes] = {"": b""}  # little-endian unsigned 32-bit ids
+        self.before: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def learn(self, pieces: list[str], single: list[str]) -> None:
+        """``pieces``: runs of letters or of signs, one word each for the tokenizer; ``single``: anything else."""
+        if len(self.known) > self.most:
+            self.before, self.known = self.known, {"": b""}
+        fresh = []
+        for x in pieces:
+            if x not in self.known:
+                old = self.before.get(x)
+                if old is None:
+                    fresh.append(x)
+                else:
+                    self.known[x] = old
+        for a in range(0, len(fresh), 2000):
+            own = fresh[a : a + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) == len(own) and stops[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                self.known.update(zip(own, [raw[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+            else:
+                single = [*single, *own]
+        single = [x for x in single if x not in self.known]
+        for x, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            self.known[x] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, distinct: pa.Array) -> list[bytes]:
+        """ids of each chunk."""
+        stems = pc.replace_substring_regex(distinct, PUNCTUATION, "")
+        plain = pc.or_(pc.match_substring_regex(stems, r"^\pL+$"), pc.equal(pc.binary_length(stems), 0))
+        heads = pc.if_else(plain, stems, distinct)
+        signed = pc.greater(pc.binary_length(distinct), pc.binary_length(heads)).to_numpy(zero_copy_only=False)
+        first, whole = words.listed(heads), words.listed(distinct)
+        tails = dict.fromkeys(np.flatnonzero(signed).tolist())
+        for i in tails:
+            tails[i] = whole[i][len(first[i]) :]
+        self.learn([*words.listed(pc.unique(heads.filter(plain))), *set(tails.values())], words.listed(heads.filter(pc.invert(plain))))
+        known = self.known
+        out = [known[h] for h in first]
+        for i, t in tails.items():
+            out[i] += known[t]
+        return out
 
 
 def token_rows(pack: Pack):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, place, part_id = Chunks(pack), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for part in words.slices(batch, "text", 2 << 20):
-                codes, starts, distinct = words.split(part.column("text"))
-                names = distinct.to_pylist()
-                chunks.learn(names)
-                ids = [chunks.known[c] for c in names]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                table = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
+            for part in words.slices(batch, "text", 4 << 20):
+                # the tokenizer lower-cases; doing so before merges more chunks, but could make a special token of other text
+                special = pc.any(pc.match_substring(part.column("text"), "<|")).as_py()
+                codes, starts, distinct = words.split(part.column("text"), lower=not special)
+                ids = chunks.ids(distinct)
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                table = np.frombuffer(b"".join(ids), "<u4")
                 begins = np.cumsum(sizes) - sizes
                 # lay the chunks' ids out in text order, with room for each text's closing id
                 length = sizes[codes] if len(codes) else np.empty(0, np.int64)
@@ -101,7 +144,7 @@ def pieces(pack: Pack, total: int):
             for part in words.slices(batch, "ids"):
                 rows = {k: [] for k in ("row", "start", "length", "crc")}
                 tokens, place = part.column("tokens").to_numpy(), part.column("place").to_numpy() + part.column("before").to_numpy()
-                for i, raw in enumerate(part.column("ids").to_pylist()):
+                for i, raw in enumerate(words.listed(part.column("ids"))):
                     n, at = int(tokens[i]), int(place[i])
                     ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
                     cuts = [0, *range(pack.window - at % pack.window, n, pack.window), n]

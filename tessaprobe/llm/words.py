@@ -53,9 +53,14 @@ def split(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray,
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), starts, coded.dictionary
 
 
+def listed(values: pa.Array) -> list:
+    """Python objects of a string or binary array, made by Arrow in one go."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
     """A stable 64-bit hash of each word."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in listed(words.cast(pa.binary()))), np.uint64, len(words))
 
 
 def owner(starts: np.ndarray) -> np.ndarray:
