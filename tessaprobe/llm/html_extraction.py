@@ -44,6 +44,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
+DEEPEST = 100
+
 # HTML element kinds, and class or id words of page parts that aren't the article.
 RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -98,7 +100,7 @@ def parsed(page: str) -> Node:
     """The page's block elements; text and inline markup between them are their own text. An element's pieces of text and its
     child elements keep their order: ``children`` holds strings and nodes."""
     root = Node("#", "#")
-    stack, link = [root], 0
+    stack, link, flat = [root], 0, {}
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
@@ -122,6 +124,8 @@ def parsed(page: str) -> Node:
                 link = max(0, link - 1)
             elif tag == "p" and all(n.tag != "p" for n in stack):
                 continue
+            elif flat.get(tag):
+                flat[tag] -= 1
             elif tag not in INLINE:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == tag:
@@ -157,6 +161,9 @@ def parsed(page: str) -> Node:
                     del stack[depth:]
                     link = 0
                     break
+        if len(stack) > DEEPEST:  # an element below this depth lends its text to the one above
+            flat[tag] = flat.get(tag, 0) + (tag not in VOID)
+            continue
         node = Node(tag, key_of(tag, m[3]))
         stack[-1].children.append(node)
         if tag not in VOID and not m[3].endswith("/"):

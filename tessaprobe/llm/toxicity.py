@@ -58,7 +58,7 @@ class Fit:
     min_texts: int = 4
     min_z: float = 4.0
     features: int = 1024
-    ridge: float = 1.0
+    ridge: float = 0.3
     invariance: float = 10.0
     modulus: int = 5
     threshold: float = 0.5
