@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,14 +148,9 @@ def cka_moments(pairs: DataFrame, keys: Sequence[str], salts: int = 16) -> DataF
 
 def decode_f32(column: str):
     """BINARY of float32 -> ARRAY<FLOAT>, once at ingest."""
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def decode(values: pd.Series) -> pd.Series:
         return values.map(lambda b: None if b is None else np.frombuffer(b, np.float32))
 
     return decode(F.col(column))
-
-
-def as_arrow(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.array(values.tolist(), kind)

@@ -198,7 +198,7 @@ def read_split_map(spark: SparkSession, path: str) -> DataFrame:
 def write_split_map(spark: SparkSession, split: DataFrame, path: str) -> None:
     """As one JSON object: a file of this kind lists the responses of a study, which are few; larger splits stay tables."""
     rows = {r["filename"]: r["split"] for r in split.orderBy("filename").toLocalIterator()}
-    spark.createDataFrame([(json.dumps(rows, indent=0),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.createDataFrame([(json.dumps(rows),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
