@@ -75,7 +75,8 @@ def per_run(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa
 
 
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
-    """Connected components of an edge table (u, v): one row (node, root), root the smallest node reachable.
+    """Connected components of an edge table (u, v): one row (node, root), root the smallest node reachable (a root's
+    own row included).
 
     Alternates large-star and small-star contractions; every round is an aggregate and a join on the node,
     written to the shared folder. It ends when a round changes nothing.
@@ -94,6 +95,7 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         now = written(small, name)
         said = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (said["n"], said["h"]) == mark:
-            return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+            return found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = (said["n"], said["h"])
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

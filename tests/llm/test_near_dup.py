@@ -43,25 +43,49 @@ def edited(text, rng, n):
     return " ".join(words)
 
 
-def corpus():
-    rng = random.Random(3)
+def corpus(seed=3):
+    rng = random.Random(seed)
     rows = [(1000 + i, invented(i, rng.randrange(1, 200))) for i in range(60)]
     base = invented(77, 180, 10**6)
     rows += [(i, edited(base, rng, rng.randrange(0, 9))) for i in range(120)]
     rows += [(3000 + i, base) for i in range(50)]
     passage = invented(5, 60, 10**6)
     rows += [(4000 + i, passage + " " + invented(900 + i, 70, 10**6)) for i in range(80)]
+    for k in range(40):  # small groups, the smallest id being the original or a copy
+        text = invented(7000 + k, rng.randrange(20, 300), 10**6)
+        rows += [(6000 + 10 * k + rng.randrange(0, 9), text)] + [(6000 + 10 * k + 9, edited(text, rng, rng.randrange(0, 5)))]
     rows += [(5000, ""), (5001, " \n"), (5002, "A b"), (5003, "a B"), (5004, "b"), (5005, "é x y"), (5006, "É x y")]
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 20])
-def test_components_equal_brute_force(documents, block):
-    rows = corpus()
+@pytest.mark.parametrize("block,seed", [(256, 3), (20, 4), (33, 5)])
+def test_components_equal_brute_force(documents, block, seed):
+    rows = corpus(seed)
     got = nd.grouped(documents(rows, ("component_id", "id")), nd.Near(block=block)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows)
 
 
+def test_components_of_edges(spark):
+    from tessaprobe.llm import store
+
+    rng = random.Random(8)
+    edges = [(5, 1), (9, 9), (20, 21), (21, 22), (22, 23), (23, 20)] + [(100 + i, 101 + i) for i in range(40)] + [(300, 300 + i) for i in range(1, 30)]
+    edges += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    got = store.components(spark.createDataFrame(edges, "u bigint, v bigint"), "test").collect()
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 600, dtype=np.uint64)
