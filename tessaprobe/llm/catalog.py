@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessaprobe.llm.decontamination import op2_benchmark_decontamination
 from tessaprobe.llm.html_extraction import op8_html_extraction
 from tessaprobe.llm.language_model import op1_language_model
-from tessaprobe.llm.license_scan import op3_license_scan
+from tessaprobe.llm.license_scan import op3_license_scan, op3_sql
 from tessaprobe.llm.near_dup import op7_minhash_near_dedup
 from tessaprobe.llm.packing import op5_packing
 from tessaprobe.llm.quality_classifier import op10_quality_classifier
@@ -36,5 +36,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_html_extraction": op8_html_extraction,
+        "op3_license_scan": op3_sql(),
         "op9_url_reputation": op9_sql(),
     }

@@ -1,8 +1,9 @@
 """Operator 3, licence scans: a positional rare-token index, in DataFrame operations only.
 
 The index holds, for every word of the licence templates, its postings (template, place). Over all documents the document
-frequency of these words is counted; each template's ``rare`` words of highest idf are its anchors. A document looks up
-the anchors that it holds, the ``looked_up`` of highest idf among them; for each template the places where two of its
+frequency of these words is counted; the ``rare`` words of highest idf in each template's key phrase are its anchors. A document
+looks up the anchors that it holds, the ``looked_up`` of highest idf among them (more than there are anchors, so none is
+passed over); for each template the places where two of its
 anchors (one, if the document holds only one) stand as in the template give the offsets at which the template may lie,
 and there all its words are compared: a template is found where its key phrase stands word for word and at least
 ``cover`` per cent of its words agree. Everything happens within the row, so no text and no posting list is shuffled.
@@ -48,7 +49,7 @@ TEMPLATES = (
 @dataclass(frozen=True)
 class Scan:
     rare: int = 3
-    looked_up: int = 8
+    looked_up: int = 64
     cover: int = 80
 
 
@@ -89,7 +90,7 @@ def frequencies(rows: DataFrame) -> dict[str, int]:
 
 
 def anchors(template: Template, order: dict[str, tuple], rare: int) -> list[str]:
-    return sorted(set(template.words), key=order.__getitem__)[:rare]
+    return sorted(set(template.words[template.first : template.last + 1]), key=order.__getitem__)[:rare]
 
 
 def _array(values) -> str:
@@ -175,3 +176,28 @@ def scanned(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(store.table(spark, sf_dir, "documents"))
+
+
+def op3_sql(scan: Scan = Scan()) -> str:
+    """The registered query in DuckDB's SQL: every template word meets every equal word of a text, grouped by offset."""
+    rows = [
+        f"('{t.label}', {k}, {len(t.words)}, {t.last - t.first + 1}, {i}, '{w}', {t.first <= i <= t.last})" for k, t in enumerate(templates()) for i, w in enumerate(t.words)
+    ]
+    base = [f"('{label}', {len(p.split())}, {i}, '{w}')" for p, label in BASE for i, w in enumerate(p.split())]
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM d),
+t(label, id, size, keys, pos, word, is_key) AS (VALUES {", ".join(rows)}),
+p(label, size, pos, word) AS (VALUES {", ".join(base)}),
+found AS (
+  SELECT r, label, id, i - pos AS o, count(*) / any_value(size) AS cover FROM w JOIN t USING (word) GROUP BY r, label, id, i - pos
+  HAVING count_if(is_key) = any_value(keys) AND 100 * count(*) >= {scan.cover} * any_value(size)),
+places AS (SELECT r, label, i - pos AS o FROM w JOIN p USING (word) GROUP BY r, label, i - pos HAVING count(*) = any_value(size)),
+b AS (SELECT r, count(*) AS n, min(o) AS first_word, max(o) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS cover
+  FROM (SELECT r, label, cover FROM found UNION ALL SELECT r, label, 0 FROM places) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first_word, b.last_word, coalesce(b.labels, '') AS base_labels,
+       coalesce(a.labels, '') AS labels, CAST(CASE WHEN b.n > 0 THEN 1 ELSE coalesce(a.cover, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r)"""
