@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaprobe.functions import exprs
-from tessaprobe.operators.sampling import latest_wins
+from tessaprobe.operators.sampling import latest_wins, numbered
 
 FLOAT_EPS = 1.1920928955078125e-07
 
@@ -168,7 +168,7 @@ def diffusion_map_svd(points: DataFrame, group: str, keys: Sequence[str], vec: s
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
     spark = points.sparkSession
-    number = points.withColumn("_id", F.row_number().over(Window.orderBy(group, *keys)) - 1)
+    number = numbered(points, [group, *keys], "_id")
     m = symmetric(kernel(pairwise_blocks(number, group, "_id", vec), group), group)
     n = number.count()
     rows = m.groupBy("i").agg(F.collect_list(F.struct("j", "m")).alias("r")).rdd.map(lambda r: IndexedRow(r["i"], Vectors.sparse(n, sorted((int(x["j"]), float(x["m"])) for x in r["r"]))))

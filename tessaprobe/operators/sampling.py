@@ -8,12 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaprobe.functions import exprs
+from tessaprobe.sources.shared import written
 
 
 def hash_order(seed: int, *keys: str) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """``name``: each row's place from 0 in the order, without bringing all rows into one task.
+
+    Rows are dealt out by ranges of the order and written; a range's rows are numbered on their own and moved by the
+    sum of the counts before it (one number per range).
+    """
+    keys = [exprs.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    names = [f"_o{i}" for i in range(len(keys))]
+    ranged = written(df.select("*", *keys).repartitionByRange(*names).withColumn("_range", F.spark_partition_id()), "numbered")
+    before, total = [], 0
+    for row in sorted(ranged.groupBy("_range").count().collect()):
+        before.append((row["_range"], total))
+        total += row["count"]
+    offsets = df.sparkSession.createDataFrame(before, "_range int, _before bigint")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*names)) - 1 + F.col("_before")
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, place).drop("_range", "_before", *names)
+
+
 def sampled_keys(df: DataFrame, cell: Sequence[str], unit: str, n: int, order: Column) -> DataFrame:
     """At most ``n`` distinct units of each cell."""
     w = Window.partitionBy(*cell).orderBy(order, unit)
@@ -46,30 +65,25 @@ def slice_levels(df: DataFrame, level: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, ident: str, rt60: str, share: float, order: Column) -> DataFrame:
     """ident, split: within each RT60 bin the first ``share`` train (one at least); invalid RT60 trains."""
-    keyed = df.select(ident, rt60, order.alias("_o"), F.when(F.col(rt60) < 0, -1).otherwise(exprs.rt60_bin(rt60)).alias("bin"))
-    k = F.row_number().over(Window.partitionBy("bin").orderBy("_o", ident))
-    most = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("bin")) * share))
-    return keyed.withColumns({"_k": k, "_most": most}).select(
-        ident, F.when((F.col("bin") == -1) | (F.col("_k") <= F.col("_most")), "train").otherwise("test").alias("split")
-    )
+    keyed = df.select(ident, order.alias("_o"), F.when(F.col(rt60) < 0, -1).otherwise(exprs.rt60_bin(rt60)).alias("bin"))
+    placed = numbered(keyed, ["bin", "_o", ident], "_k")
+    bins = placed.groupBy("bin").agg(F.min("_k").alias("_first"), F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_most"))
+    trains = (F.col("bin") == -1) | (F.col("_k") - F.col("_first") < F.col("_most"))
+    return placed.join(F.broadcast(bins), "bin").select(ident, F.when(trains, "train").otherwise("test").alias("split"))
 
 
 def holdout(df: DataFrame, ident: str, share: float, order: Column) -> DataFrame:
-    """ident, split: the first ``share`` (one at least) is val, the rest train.
-
-    The cut is found with a top-n by key, not with a window over the whole table.
-    """
-    n = df.count()
-    first = df.select(ident, order.alias("_o")).orderBy("_o", ident).limit(max(1, int(n * share))).select(F.col(ident).alias("_v"))
-    return df.join(first, F.col(ident) == F.col("_v"), "left").select(ident, F.when(F.col("_v").isNull(), "train").otherwise("val").alias("split"))
+    """ident, split: the first ``share`` (one at least) is val, the rest train."""
+    placed = numbered(df.select(ident, order.alias("_o")), ["_o", ident], "_k")
+    return placed.select(ident, F.when(F.col("_k") < max(1, int(placed.count() * share)), "val").otherwise("train").alias("split"))
 
 
 def assign_mod(items: DataFrame, ident: str, pool: DataFrame, member: str) -> DataFrame:
     """Item i (in order of ident) gets member i mod n (in order of member)."""
     n = pool.count()
-    members = pool.select(member, (F.row_number().over(Window.orderBy(member)) - 1).alias("_m"))
-    places = items.select(ident, F.pmod(F.row_number().over(Window.orderBy(ident)) - 1, F.lit(max(1, n))).alias("_m"))
-    return places.join(F.broadcast(members) if n <= 100_000 else members, "_m").select(ident, member)
+    members = numbered(pool.select(member), [member], "_m")
+    places = numbered(items.select(ident), [ident], "_i").select(ident, F.pmod("_i", F.lit(max(1, n))).alias("_m"))
+    return places.join(members, "_m").select(ident, member)
 
 
 def assign_k(items: DataFrame, ident: str, pool: DataFrame, member: str, k: int, order: Column) -> DataFrame:
@@ -82,7 +96,7 @@ def assign_k(items: DataFrame, ident: str, pool: DataFrame, member: str, k: int,
 def assign_one(items: DataFrame, keys: Sequence[str], pool: DataFrame, member: str, seed: int) -> DataFrame:
     """One member per item, by a hash of its keys: an equi join on the member's number."""
     n = pool.count()
-    members = pool.select(member, (F.row_number().over(Window.orderBy(member)) - 1).cast("bigint").alias("_m"))
+    members = numbered(pool.select(member), [member], "_m")
     return items.withColumn("_m", F.pmod(hash_order(seed, *keys), F.lit(max(1, n)))).join(members, "_m").drop("_m")
 
 
