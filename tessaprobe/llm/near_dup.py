@@ -240,7 +240,7 @@ def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """Stage form: of each group only the document with the smallest doc_id stays, of repeated rows (equal id and text) one."""
     found = store.written(grouped(docs, near).select("doc_id", "kept"), "near-verdicts")
     gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)  # one plan at every size, texts aren't sorted
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return out

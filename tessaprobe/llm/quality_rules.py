@@ -206,7 +206,7 @@ def cleaned(docs: DataFrame, host: str = "source", limits: Limits = Limits()) ->
     found = found.groupBy(F.col("text_key").alias("__text_key")).agg(F.first("kept").alias("__kept"), F.first("removed").alias("__removed"))
     acts = store.written(found, "quality-verdicts")  # only texts to drop or to cut: the smaller side of the join
     columns = docs.columns
-    joined = docs.withColumn("__text_key", F.xxhash64("doc_id", host, "text")).join(acts, "__text_key", "left")
+    joined = docs.withColumn("__text_key", F.xxhash64("doc_id", host, "text")).join(acts.hint("shuffle_hash"), "__text_key", "left")
     joined = joined.where(F.coalesce("__kept", F.lit(True))).drop("__text_key", "__kept")
     schema = joined.drop("__removed").schema
     out = joined.mapInArrow(without_lines, schema)
