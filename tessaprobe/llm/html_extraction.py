@@ -8,8 +8,11 @@ keeps whether its text differs between pages, how long it is and how much of it
 
 All pages take part: each task folds its pages host by host, partial wrappers meet by (host, salt), then by host, so a host
 that holds a third of all pages is folded by many tasks. From its wrapper a host's main content is read off: the article
-or main element, else the element whose paragraphs hold most text outside links; slots in it whose text never changes on
-``constant_pages`` pages or more are template text and dropped. Each page is then read once more with this decision.
+or main element, else the element whose paragraphs hold most text outside links. Template text in it is dropped: slots that
+every page has in this place, neither optional nor repeated, whose text never changes although the element holds
+``constant_pages`` different texts or more (copies of a page count once). A page loses such a slot where the text is the
+slot's own and no more often than the wrapper has it; siblings and repeats of some pages stay. Each page is then read once
+more with this decision.
 
 Text: character references decoded, white space runs in a block become one space, blocks are joined by one newline. Menus,
 page headers, footers, asides, forms, scripts, styles, adverts, notices and reader comments are left out, wherever they
@@ -25,6 +28,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -184,13 +188,38 @@ def is_article(key: str) -> bool:
     return tag in ("article", "main") or "main" in names and tag != "body" or "articlebody" in names
 
 
-# A wrapper node is [key, quantifier, pages, characters, characters in links, text hash or None if it differs, children].
+# A wrapper node is [key, quantifier, hashes of the different texts that it holds with its children (the ``constant_pages``
+# smallest; none without children), characters, characters in links, text hash or None if it differs, children].
+
+
+def own_text(node: Node) -> str:
+    return " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
+
+
+def own_hash(own: str) -> int:
+    return xxhash.xxh64_intdigest(own) if own else 0
 
 
 def expression(node: Node, extract: Extract) -> list:
-    own = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
-    children = [expression(c, extract) for c in node.children if isinstance(c, Node)]
-    return [node.key, "", 1, len(own), node.links, xxhash.xxh32_intdigest(own) if own else 0, folded(children, extract)]
+    return described(node, extract)[0]
+
+
+def described(node: Node, extract: Extract) -> tuple[list, int]:
+    """The node's expression, and a hash of its text with its children's, page parts left out."""
+    own = own_text(node)
+    slot, held, children = own_hash(own), [], []
+    for c in node.children:
+        if isinstance(c, Node):
+            child, text = described(c, extract)
+            children.append(child)
+            if text and not is_part(c.key, True):
+                held.append(text)
+    whole = xxhash.xxh64_intdigest(repr((slot, held))) if held else slot
+    return [node.key, "", [whole] if children else [], len(own), node.links, slot, folded(children, extract)], whole
+
+
+def distinct(a: list, b: list, extract: Extract) -> list:
+    return a if not b or a == b else sorted({*a, *b})[: extract.constant_pages]
 
 
 def more(a: str, b: str) -> str:
@@ -200,7 +229,7 @@ def more(a: str, b: str) -> str:
 
 def merged(a: list, b: list, extract: Extract) -> list:
     return [
-        a[0], more(a[1], b[1]), a[2] + b[2], a[3] + b[3], a[4] + b[4], a[5] if a[5] == b[5] else None,
+        a[0], more(a[1], b[1]), distinct(a[2], b[2], extract), a[3] + b[3], a[4] + b[4], a[5] if a[5] == b[5] else None,
         a[6] if not b[6] and not a[6] else folded(aligned(a[6], b[6], extract), extract),
     ]
 
@@ -217,11 +246,11 @@ def folded(children: list, extract: Extract) -> list:
                 if unit == 1:
                     both = merged(old[0], new[0], extract)
                     both[1] = more(both[1], "+")
-                    both[2] = max(old[0][2], new[0][2])
+                    both[2] = max(old[0][2], new[0][2], key=len)
                     out.append(both)
                 else:
                     joined = [merged(x, y, extract) for x, y in zip(old, new, strict=True)]
-                    out.append(["(" + " ".join(c[0] for c in joined) + ")", "+", max(c[2] for c in joined), 0, 0, 0, joined])
+                    out.append(["(" + " ".join(c[0] for c in joined) + ")", "+", [], 0, 0, 0, joined])
             elif unit > 1 and len(out) > unit and out[-unit - 1][0] == "(" + " ".join(c[0] for c in out[-unit:]) + ")":
                 group, new = out[-unit - 1], out[-unit:]
                 del out[-unit:]
@@ -261,7 +290,7 @@ def shown(wrapper: list) -> str:
 
 
 def decision(wrapper: list, extract: Extract) -> dict:
-    """Paths of the content elements and, inside them, of slots that hold template text."""
+    """Paths of the content elements and, for each, how often a slot (path, text hash) in it holds template text."""
     articles, dense = [], []
 
     def walk(node: list, path: tuple, inside: bool) -> None:
@@ -311,39 +340,46 @@ def decision(wrapper: list, extract: Extract) -> dict:
         else:
             narrowed.append((path, node))
     chosen = narrowed or [(p, n) for _, _, p, n in sorted(dense, key=lambda d: (-d[0], d[1], d[2]))[:1] if _ is not None]
-    constant: list = []
-    changes = [False]
+    constant: dict[str, Counter] = {}
 
-    def slots(node: list, path: tuple) -> None:
-        for c in flat(node[6]):
-            own = (*path, c[0])
-            changes[0] |= c[5] is None
-            if c[5] and c[2] >= extract.constant_pages and not set(c[1]) & {"+", "*"}:
-                constant.append("/".join(own))
-            slots(c, own)
+    def slots(node: list, path: str, into: Counter) -> None:
+        for c in node[6]:
+            if not c[1] and not is_part(c[0], True):
+                own = f"{path}/{c[0]}"
+                if c[5]:
+                    into[f"{own} {c[5]}"] += 1
+                slots(c, own, into)
 
     for path, node in chosen:
-        slots(node, path)
-    return {"content": ["/".join(p) for p, _ in chosen], "constant": constant if changes[0] else []}
+        found: Counter = Counter()
+        if len(node[2]) >= extract.constant_pages:
+            slots(node, "/".join(path), found)
+        place = "/".join(path)  # elements of one path can't be told apart in a page: only what all of them hold goes
+        constant[place] = constant[place] & found if place in constant else found
+    return {"content": list(constant), "constant": {p: dict(c) for p, c in constant.items() if c}}
 
 
 def text_of(page: Node, decided: dict, extract: Extract, own: bool = False) -> str:
     """The main text of a page; a page without the decided content elements is judged by its own expression."""
-    content, constant = set(decided["content"]), set(decided["constant"])
+    content, constant = set(decided["content"]), decided["constant"]
     blocks: list[str] = []
 
-    def collect(node: Node, path: str) -> None:
+    def collect(node: Node, path: str, left: dict) -> None:
+        slot = f"{path} {own_hash(own_text(node))}" if left else ""
+        template = left.get(slot, 0)
+        if template:
+            left[slot] -= 1
         for child in node.children:
             if isinstance(child, str):
                 line = " ".join(child.split())
-                if line and path not in constant:
+                if line and not template:
                     blocks.append(line)
             elif not is_part(child.key, True):
-                collect(child, f"{path}/{child.key}")
+                collect(child, f"{path}/{child.key}", left)
 
     def find(node: Node, path: str) -> None:
         if path in content:
-            collect(node, path)
+            collect(node, path, dict(constant.get(path, ())))
             return
         for child in node.children:
             if isinstance(child, Node) and not is_part(child.key, False):
@@ -408,7 +444,7 @@ def extracted(pages: DataFrame, extract: Extract = Extract()) -> DataFrame:
                         if len(known) > extract.hosts_held:
                             known.clear()
                         known[decided] = json.loads(decided) if decided else None
-                    texts.append(text_of(parsed(page or ""), known[decided] or {"content": [], "constant": []}, extract))
+                    texts.append(text_of(parsed(page or ""), known[decided] or {"content": [], "constant": {}}, extract))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],

@@ -42,6 +42,22 @@ def test_template_text_is_dropped(pages):
     assert got[50] == "Read our story\nOwn text 1", "equal pages don't show what is template"
 
 
+def test_siblings_of_template_text_and_text_of_some_pages_stay(pages):
+    main = "<article><h1>Title {n}</h1><p>By our staff</p><ul><li>i{n}</ul><p>Body {n}</p><p>More {n}</p>{extra}</article>"
+    rows = [(i, f"http://s.org/{i}", main.format(n=i, extra="<h2>Ingredients</h2>" if i % 2 else "")) for i in range(24)]
+    copy = "<article><h1>Once</h1><p>By our staff</p><ul><li>x</ul><p>Body</p><p>More</p><blockquote>The only quote</blockquote></article>"
+    rows += [(100 + i, "http://s.org/copy", copy) for i in range(12)]
+    got = {r.page_id: r.text for r in hx.extracted(pages(rows)).collect()}
+    for i in range(24):
+        assert got[i] == "\n".join([f"Title {i}", f"i{i}", f"Body {i}", f"More {i}"] + ["Ingredients"] * (i % 2))
+    assert got[104] == "Once\nx\nBody\nMore\nThe only quote"
+
+
+def test_copies_of_few_pages_show_no_template(pages):
+    rows = [(i, "http://c.org/", f"<article><h2>Own head</h2><p>Text {i % 3}</p></article>") for i in range(30)]
+    assert {r.page_id: r.text for r in hx.extracted(pages(rows)).collect()}[4] == "Own head\nText 1"
+
+
 ODD = [None, "", "plain text", "<p>a", "<p", "<article><p>a<p>b", "<script>never closed <p>x", "<!-- open <p>x", "<article>a &#x41; &bogus; &lt;b&gt; </article>", "<b><i><a>" * 500, "<div>" * 3000 + "x",
        "<p>&nbsp;\u3000 </p>", "<article></article><p>after", "</p></div>x", "<a href=\"" * 200]
 WANT = {0: "", 1: "", 5: "a\nb", 8: "a A &bogus; <b>"}
