@@ -329,8 +329,9 @@ def loop_pad(spark, d):
 @query(None)
 def reverberated(spark, d):
     speech = views.signals(spark, d)
-    rir = views.rirs(spark, d).where("rir_id <= 5").select("rir_id", F.col("samples").alias("rir"))
-    pairs = speech.withColumn("rir_id", F.col("utt_id") % 6).join(F.broadcast(rir), "rir_id").withColumn("target_c50", F.lit(10.0))
+    rir = views.rirs(spark, d).select("rir_id", F.col("samples").alias("rir"))
+    dealt = sampling.assign_mod(speech, "utt_id", rir, "rir_id")
+    pairs = speech.join(dealt, "utt_id").join(rir, "rir_id").withColumn("target_c50", F.lit(10.0))
     out = signal.reverberate(pairs, early=20)
     return rounded(out.select("utt_id", "rir_id", exprs.energy("reverberant").alias("energy"), F.size("reverberant").alias("n")), "energy")
 
