@@ -35,7 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op8_html_extraction": op8_html_extraction,
         "op3_license_scan": op3_sql(),
         "op9_url_reputation": op9_sql(),
     }
