@@ -4,10 +4,11 @@ Method (cross-document line frequency): every line is normalised (white space ru
 A-Z lower-cased) and hashed; for each host the documents that carry the line are counted; lines above the limit
 are removed; a document that loses too much is rejected as depleted.
 
-What counts as a distinct document: copies say nothing about boilerplate, so for a line the documents are counted by
-the smallest hash among their other lines, which exact copies always share and near copies of some lines nearly always;
-a document of this one line counts as one. Lines under ``min_line_words`` words are never
-counted nor removed.
+What counts as a distinct document: copies say nothing about boilerplate, so documents are counted by their own lines,
+those that no more than ``line_documents`` rows of the host carry: by a hash of all of them, which exact copies share and
+pages of one template don't. A document whose own lines hold less than ``own_percent`` of its words is a copy or near copy
+(at 10 per cent, two such documents share four fifths) and counts by the rarest of its shared lines, so a cluster of copies
+counts about once. Lines under ``min_line_words`` words count as well, with limits ``short_factor`` times as high.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null host is a host of its own; repeated
 rows get the same verdict each; an empty table gives an empty result; columns beside the ones named are ignored.
@@ -35,11 +36,13 @@ class Limits:
     line_documents: int = 20
     line_percent: float = 0.1
     depleted_percent: int = 80
+    own_percent: int = 10
+    short_factor: int = 5
 
 
 STATS = (
     "doc_id bigint, host string, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-    "n_repeat_words bigint, sketch bigint, sketch2 bigint, line_hash array<bigint>, line_words array<int>"
+    "n_repeat_words bigint, all_lines bigint, line_hash array<bigint>, line_size array<int>, line_words array<int>"
 )
 
 
@@ -103,12 +106,10 @@ def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counted = np.bincount(line_owner[fresh], minlength=n)
             ends = np.cumsum(counted)
             kept_hash = line_hash[fresh].view(np.int64)
-            sketch, sketch2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            all_lines = np.zeros(n, np.int64)
             some = np.flatnonzero(counted)
             if len(some):
-                sketch[some] = np.minimum.reduceat(kept_hash, (ends - counted)[some])
-                others = np.where(kept_hash == sketch[line_owner[fresh]], np.iinfo(np.int64).max, kept_hash)
-                sketch2[some] = np.minimum.reduceat(others, (ends - counted)[some])
+                all_lines[some] = np.bitwise_xor.reduceat(kept_hash, (ends - counted)[some])
             # a repeated line is removed wherever it stands: its words count as often as it occurs
             both = np.zeros(len(line_hash), np.int64)
             order = np.lexsort((~fresh, line_hash, line_owner))
@@ -126,9 +127,9 @@ def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pc.cast(pc.count_substring_regex(texts, r"[#*$%&|<>]"), pa.int64()),
                     pa.array(np.bincount(line_owner[duplicate], minlength=n)),
                     pa.array(repeated[starts[1:]] - repeated[starts[:-1]]),
-                    pa.array(sketch),
-                    pa.array(sketch2),
+                    pa.array(all_lines),
                     pa.ListArray.from_arrays(offsets, pa.array(kept_hash)),
+                    pa.ListArray.from_arrays(offsets, pa.array(line_words[fresh].astype(np.int32))),
                     pa.ListArray.from_arrays(offsets, pa.array(both[fresh].astype(np.int32))),
                 ],
                 names=[c.split()[0] for c in STATS.split(", ")],
@@ -146,28 +147,42 @@ def prepared(docs: DataFrame, host: str = "source") -> DataFrame:
 def judged(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
     """One row per row of ``docs``: STATS without the line arrays, plus base_failed, removed_words, removed (hashes), kept."""
     stats = store.written(prepared(docs, host).mapInArrow(statistics, STATS), "quality-stats")
-    lines = (
-        stats.select("text_key", "host", "sketch", "sketch2", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x"))
-        .select("text_key", "host", "sketch", "sketch2", F.col("x.line_hash").alias("line"), F.col("x.line_words").alias("n"))
-        .where(F.col("n") >= limits.min_line_words)
-        .select("text_key", "host", "line", "n", F.when(F.col("line") == F.col("sketch"), F.col("sketch2")).otherwise(F.col("sketch")).alias("sketch"))
+    lines = stats.select("text_key", "host", "n_words", "all_lines", F.explode(F.arrays_zip("line_hash", "line_size", "line_words")).alias("x")).select(
+        "text_key", "host", "n_words", "all_lines", F.col("x.line_hash").alias("line"), F.col("x.line_size").alias("size"), F.col("x.line_words").alias("n")
+    )
+    # lines of many rows, copies included: what the rest of a document is measured against
+    shared = lines.groupBy(F.col("host").alias("s_host"), F.col("line").alias("s_line")).agg(F.count("*").alias("rows")).where(F.col("rows") > limits.line_documents)
+    shared = store.written(shared, "quality-shared")
+    carried = lines.join(shared, F.col("line").eqNullSafe(F.col("s_line")) & F.col("host").eqNullSafe(F.col("s_host")))
+    # a set, as repeated rows bring a line again; one row per text, its lines' hashes beside it
+    carriers = carried.groupBy("text_key").agg(
+        F.first("host").alias("host"), F.first("n_words").alias("n_words"), F.first("all_lines").alias("all_lines"),
+        F.collect_set(F.struct("rows", "line", "size", "n")).alias("shared"),
+    )
+    shared_words = F.aggregate("shared", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    own_lines = F.aggregate("shared", F.col("all_lines"), lambda a, x: a.bitwiseXOR(x["line"]))
+    copy = 100 * (F.col("n_words") - shared_words) < limits.own_percent * F.col("n_words")
+    kind = F.when(copy, F.array_min("shared")["line"]).otherwise(own_lines)
+    carriers = store.written(carriers.select("text_key", "host", "shared", copy.alias("copy"), kind.alias("kind")), "quality-carriers")
+    carried = carriers.select("text_key", "host", "copy", "kind", F.explode("shared").alias("x")).select(
+        "text_key", "host", "copy", "kind", F.col("x.line").alias("line"), F.col("x.size").alias("size"), F.col("x.n").alias("n")
     )
     sizes = stats.groupBy("host").agg(F.count("*").alias("host_documents"))
-    # the pair (line, sketch) is made distinct first, so a hot line is summed from many tasks' partial counts
-    seen = lines.select("host", "line", "sketch").distinct().groupBy("host", "line").agg(F.count("*").alias("documents"))
-    frequent = seen.where(F.col("documents") > limits.line_documents).join(
+    # (line, kind) is made distinct first, so a hot line is summed from many tasks' partial counts
+    seen = carried.select("host", "line", "size", "copy", "kind").distinct().groupBy("host", "line").agg(F.min("size").alias("size"), F.count("*").alias("documents"))
+    factor = F.when(F.col("size") < limits.min_line_words, limits.short_factor).otherwise(1)
+    frequent = seen.where(F.col("documents") > factor * limits.line_documents).join(
         sizes.withColumnRenamed("host", "of_host"), F.col("host").eqNullSafe(F.col("of_host"))
     )
-    frequent = frequent.where(F.col("documents") > F.col("host_documents") * limits.line_percent / 100).select(
+    frequent = frequent.where(F.col("documents") > factor * F.col("host_documents") * limits.line_percent / 100).select(
         F.col("host").alias("f_host"), F.col("line").alias("f_line")
     )
     frequent = store.written(frequent, "quality-lines")
     lost = (
-        lines.join(frequent, F.col("line").eqNullSafe(F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "left_semi")
-        .groupBy("text_key", "line").agg(F.max("n").alias("n"))
+        carried.join(frequent, F.col("line").eqNullSafe(F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "left_semi")
         .groupBy("text_key").agg(F.sum("n").alias("removed_words"), F.collect_set("line").alias("removed"))
     )
-    out = stats.drop("line_hash", "line_words", "sketch", "sketch2").join(lost, "text_key", "left")
+    out = stats.drop("line_hash", "line_size", "line_words", "all_lines").join(lost, "text_key", "left")
     base_failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
     removed = F.coalesce("removed_words", F.lit(0)).cast("bigint")
     depleted = (100 * removed > limits.depleted_percent * F.col("n_words")) | ((removed > 0) & (F.col("n_words") - removed < limits.min_words))

@@ -60,6 +60,27 @@ def test_frequent_lines_and_depletion(documents):
     assert out[103].text == rows[43][1] and out[201].text == rows[-1][1]
 
 
+def test_lines_that_come_together_are_counted(documents):
+    frame = [invented(900 + k, 8, 9999) for k in range(20)]
+    rows = [(i, "\n".join(frame[:10] + [invented(1000 + 3 * i + k, 8, 9999) for k in range(3)] + frame[10:]), "three") for i in range(100)]
+    rows += [(1000 + i, "\n".join([*frame, invented(5000 + i, 40, 9999)]), "one") for i in range(500)]
+    rows += [(2000 + i, f"read more\n{invented(9000 + i, 30, 9999)}", "short") for i in range(150)]
+    rows += [(3000 + i, f"read on\n{invented(9500 + i, 30, 9999)}", "few") for i in range(60)]
+    got = {r.doc_id: r for r in q.judged(documents(rows)).collect()}
+    assert all(got[i].removed_words == 160 and not got[i].kept for i in range(100)), "frame is 160 of 184 words"
+    assert all(got[1000 + i].removed_words == 160 and got[1000 + i].kept for i in range(500))
+    assert all(got[2000 + i].removed_words == 2 for i in range(150)) and all(got[3000 + i].removed_words == 0 for i in range(60))
+
+
+def test_copies_count_once(documents):
+    frame = [invented(900 + k, 8, 9999) for k in range(6)]
+    rows = [(i, "\n".join([*frame, invented(20, 50, 9999)]), "exact") for i in range(50)]
+    rows += [(100 + i, "\n".join([invented(40 + i % 30, 300, 9999), frame[0], f"copy {i}"]), "clusters") for i in range(900)]
+    got = {r.doc_id: r for r in q.judged(documents(rows)).collect()}
+    assert all(got[i].removed_words == 0 for i in range(50))
+    assert all(got[100 + i].removed_words == 8 and got[100 + i].kept for i in range(900)), "30 near-copied texts carry the line"
+
+
 def test_empty_table(documents):
     assert q.judged(documents([])).collect() == [] and q.cleaned(documents([])).collect() == []
 
