@@ -175,6 +175,20 @@ def noise_training_pairs(clean: DataFrame, noisy: DataFrame, segment: int, seed:
     )
 
 
+def evaluated(manifest: DataFrame, degraded: DataFrame, enhanced: DataFrame, clean: DataFrame, domain: str, scorers: dict[str, Callable] | None = None) -> DataFrame:
+    """The test manifest's waves by file (``degraded``, ``enhanced``: filepath, samples) and by utterance (``clean``: utterance_id,
+    samples), cut to the shortest of the three, input and enhanced scored against clean: the result table of one domain."""
+    rows = manifest.join(degraded.select("filepath", F.col("samples").alias("degraded")), "filepath")
+    rows = rows.join(enhanced.select("filepath", F.col("samples").alias("enhanced")), "filepath")
+    rows = rows.join(clean.select("utterance_id", F.col("samples").alias("clean")), "utterance_id")
+    n = F.least(F.size("clean"), F.size("enhanced"), F.size("degraded"))
+    rows = rows.withColumns({c: F.slice(c, F.lit(1), n) for c in ("clean", "enhanced", "degraded")})
+    scores = ["si_sdr", *(scorers or {})]
+    rows = signal.score_pairs(rows, scorers or {}, "clean", "degraded").withColumnsRenamed({c: f"{c}_input" for c in scores})
+    rows = signal.score_pairs(rows, scorers or {}, "clean", "enhanced").withColumn("domain", F.lit(domain))
+    return evaluation.result_table(rows)
+
+
 def evaluation_report(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     return evaluation.summary(scores), evaluation.by_rt60(scores.where("domain = 'reverb'"))
 
