@@ -26,18 +26,22 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal keys, from batches that arrive sorted by these keys. Only one run is held."""
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str], size: str | None = None, most: int = 0) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys, from batches that arrive sorted by these keys. Only one run is held; with ``size``, the
+    name of a column, a run is cut where that column's sum passes ``most``."""
     held: list[pa.RecordBatch] = []
-    last = None
+    last, sum_held = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [batch.column(k).to_pylist() for k in keys]
         rows = list(zip(*columns, strict=True))
+        sizes = batch.column(size).to_pylist() if size else None
         start = 0
         for i in range(len(rows)):
-            if rows[i] != last:
+            sum_held = sum_held + sizes[i] if sizes and rows[i] == last else sizes[i] if sizes else 0
+            if rows[i] != last or (sizes and sum_held > most and sum_held > sizes[i]):
+                sum_held = sizes[i] if sizes else 0
                 if i > start:
                     held.append(batch.slice(start, i - start))
                 if held:
