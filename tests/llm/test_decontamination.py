@@ -61,8 +61,8 @@ def test_planted_passages(documents, spark):
     got = dc.contaminated(docs, benchmark).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
     assert {r.tiles for r in got if r.doc_id == 4} == {3} and {r.coverage for r in got if r.doc_id == 4} == {1.0}
-    small = dc.contaminated(docs, benchmark, dc.Tiling(block_tokens=100)).collect()
-    assert {(r.doc_id, r.item_id) for r in small} == want, "several blocks"
+    coarse = dc.contaminated(docs.repartition(3), benchmark.repartition(5), dc.Tiling(sieve_bits=15, salts=3)).collect()
+    assert {(r.doc_id, r.item_id) for r in coarse} == want, "a full sieve, other splits"
     stay = dc.clean(docs, benchmark)
     assert stay.columns == docs.columns
     assert {r.doc_id for r in stay.collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
@@ -72,3 +72,49 @@ def test_empty_tables(documents, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert dc.contaminated(documents([(1, "a b c d e f")]), none).collect() == []
     assert dc.contaminated(documents([]), spark.createDataFrame([(1, "a b c d e")], "item_id bigint, text string")).collect() == []
+
+
+def words_of(text):
+    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (text or "").lower()).split()
+
+
+def pairs_by_loops(docs, items, tiling):
+    """Every text against every item, by the plain definition of tiling."""
+    out = []
+    for doc_id, text in docs:
+        for item_id, own in items:
+            item, words = words_of(own), words_of(text)
+            if item and set(item) & set(words):
+                found = brute_tiles(item, words, tiling.least_tile)
+                covered = sum(k for *_, k in found)
+                if found and 100 * covered >= tiling.percent * len(item):
+                    out.append((doc_id, item_id, covered, len(item)))
+    return sorted(out, key=str)
+
+
+def test_equals_brute_force_over_all_pairs(documents, spark):
+    rng = random.Random(5)
+    items = [(i, invented(700 + i, rng.randrange(1, 40), 60)) for i in range(25)] + [(3, "same id again"), (None, "no id here at all"), (40, None), (41, " ?! ")]
+    docs = [(i, invented(i, rng.randrange(0, 80), 60)) for i in range(40)]
+    for n, run in enumerate((3, 4, 6, 5, 2)):  # items cut into runs that are dealt anew; every so many tokens are changed
+        for item_id, text in items[:12]:
+            own = text.split()
+            cut = [own[i : i + run] for i in range(0, len(own), run)]
+            rng.shuffle(cut)
+            docs.append((100 * n + 1000 + (item_id or 0), " ".join(["start"] + [w for part in cut for w in [*part, "gap"]])))
+            docs.append((100 * n + 2000 + (item_id or 0), " ".join("changed" if i % run == run - 1 else w for i, w in enumerate(own))))
+    docs += [(None, items[5][1]), (None, items[5][1]), (5007, items[6][1]), (5007, items[6][1]), (5008, None), (5009, "")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    for tiling in (dc.Tiling(), dc.Tiling(least_tile=4, percent=60)):
+        got = dc.contaminated(documents(docs, ("item_id",)).repartition(4), table, tiling).collect()
+        assert sorted(((r.doc_id, r.item_id, r.tiled_tokens, r.item_tokens) for r in got), key=str) == pairs_by_loops(docs, items, tiling)
+    gone = {d for d, *_ in pairs_by_loops(docs, items, dc.Tiling())}
+    left = dc.clean(documents(docs, ("item_id", "key", "row")), table).collect()
+    assert sorted(str(r.doc_id) for r in left) == sorted(str(d) for d, _ in docs if d not in gone)
+
+
+def test_very_long_text(documents, spark):
+    items = spark.createDataFrame([(1, invented(9, 60, 10**6)), (2, invented(10, 60, 10**6))], "item_id bigint, text string")
+    long = invented(1, 500_000) + " " + " ".join(invented(9, 60, 10**6).split()[30:] + ["x"]) + " " + invented(2, 500_000) + " " + " ".join(invented(9, 60, 10**6).split()[:30])
+    got = dc.contaminated(documents([(5, long)]), items).collect()
+    assert [(r.doc_id, r.item_id, r.coverage) for r in got] == [(5, 1, 1.0)]
