@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 SAMPLE_RATE = 16000
 EARLY_SAMPLES = 800
 DEFAULT_SNRS = tuple(range(-20, 41, 5))
-SNR_RANGE_DIFFUSION = tuple(range(-10, 31))
 TARGET_C50S = tuple(-5 + 2.5 * i for i in range(13))
 REFERENCE_C50 = 50.0
-SPEAKERS = ("p226", "p287")
+BLOCK_LABELS = ("Enc-L1", "Enc-L2", "Latent", "Dec-L2", "Dec-L1", "Refinement")
+REPRESENTATIVE_LAYER = "TCFTransformer.{block}.mhca_blks.0.transformer_layers.0.norm1"
 BLOCK_ORDER = ("encoder_level1", "encoder_level2", "decoder_level2", "decoder_level1")
 BLOCKS = ("encoder_level1", "encoder_level2", "latent", "decoder_level2", "decoder_level1", "mag_refinement")
-TEST_ROOMS = ("office", "meeting")
+TEST_ROOMS = ("office", "meeting", "lecture", "bathroom", "kitchen", "corridor")
 RT60_BINS = ((0.0, 0.2), (0.2, 0.4), (0.4, 0.6), (0.6, 0.8), (0.8, float("inf")))
 REPORT_BINS = ((0.0, 0.3), (0.3, 0.5), (0.5, 0.8), (0.8, 1.5))
-MODEL_LABELS = {"muse": "MUSE", "mpsenet": "MP-SENet", "demucs": "Demucs"}
+
+
+def representative_layers(spark: SparkSession) -> DataFrame:
+    """layer, label, block_order: the layer that stands for each block."""
+    rows = [(REPRESENTATIVE_LAYER.format(block=b), label, i) for i, (b, label) in enumerate(zip(BLOCKS, BLOCK_LABELS, strict=True))]
+    return spark.createDataFrame(rows, "layer string, label string, block_order int")
 
 
 def layers_dim(spark: SparkSession, layers: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessaprobe.functions import exprs
 from tessaprobe.operators.sampling import latest_wins, numbered
+from tessaprobe.sources.shared import written
 
 FLOAT_EPS = 1.1920928955078125e-07
 
@@ -48,12 +49,22 @@ def pairwise_blocks(points: DataFrame, group: str, ident: str, vec: str, block:
 
 
 def bandwidth(d2: DataFrame, group: str) -> DataFrame:
-    """group, eps: the lower median of the squared distances."""
-    return d2.groupBy(group).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d2)").alias("eps")).withColumn("eps", F.greatest("eps", F.lit(FLOAT_EPS)))
+    """group, eps: the lower median of the squared distances, exact in two passes.
+
+    Approximate percentiles (off by a ten-thousandth of the rows at most) bracket it; what lies below is counted, and only the
+    two per cent inside are ranked.
+    """
+    about = d2.groupBy(group).agg(F.percentile_approx("d2", [0.49, 0.51], 10000).alias("_q"))
+    marked = d2.select(group, "d2").join(about, group).select(group, "d2", F.col("_q")[0].alias("_low"), F.col("_q")[1].alias("_high"))
+    sizes = marked.groupBy(group).agg(F.count_if(F.col("d2") < F.col("_low")).alias("_below"), F.ceil(F.count("*") / 2).alias("_rank"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("d2"))
+    inside = marked.where(F.col("d2").between(F.col("_low"), F.col("_high"))).select(group, "d2", place.alias("_k"))
+    return inside.join(sizes, group).where(F.col("_k") + F.col("_below") == F.col("_rank")).select(group, F.greatest("d2", F.lit(FLOAT_EPS)).alias("eps"))
 
 
 def kernel(d2: DataFrame, group: str) -> DataFrame:
-    """group, i, j, k for all ordered pairs, the diagonal included."""
+    """group, i, j, k for all ordered pairs, the diagonal included. The distances are computed once, into a table."""
+    d2 = written(d2, "distances")
     half = d2.join(bandwidth(d2, group), group).select(group, "i", "j", F.exp(-F.col("d2") / (2 * F.col("eps"))).alias("k"))
     other = half.select(group, F.col("j").alias("i"), F.col("i").alias("j"), "k")
     ids = half.select(group, "i").union(half.select(group, "j")).distinct()
@@ -88,8 +99,8 @@ def diffusion_distance_one(k: DataFrame, group: str) -> DataFrame:
 
     sum_k lambda_k^2 (psi_k(i) - psi_k(j))^2 = (M^2)_ii + (M^2)_jj - 2 (M^2)_ij - (sqrt d_i - sqrt d_j)^2 / sum d.
     """
-    k = k.persist()
-    m, d = symmetric(k, group).persist(), degree(k, group).persist()
+    k = written(k, "kernel")
+    m, d = written(symmetric(k, group), "kernel-symmetric"), degree(k, group)
     square = m.alias("a").join(m.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.j") == F.col("b.i"))).groupBy(
         F.col(f"a.{group}").alias(group), F.col("a.i").alias("i"), F.col("b.j").alias("j")
     ).agg(F.sum(F.col("a.m") * F.col("b.m")).alias("s"))
@@ -99,7 +110,7 @@ def diffusion_distance_one(k: DataFrame, group: str) -> DataFrame:
         _with_degrees(square.where("i < j"), d, group)
         .join(own.select(group, "i", F.col("s").alias("si")), [group, "i"])
         .join(own.select(group, "j", F.col("s").alias("sj")), [group, "j"])
-        .join(F.broadcast(whole), group)
+        .join(whole, group)
         .select(group, "i", "j", (F.col("si") + F.col("sj") - 2 * F.col("s") - F.pow(F.sqrt("di") - F.sqrt("dj"), 2) / F.col("total")).alias("dist2"))
     )
 
@@ -160,28 +171,43 @@ def diffusion_map(
 
 
 def diffusion_map_svd(points: DataFrame, group: str, keys: Sequence[str], vec: str, *, cutoff: float, time: float, k: int) -> DataFrame:
-    """For one group with too many points for a task: the kernel stays distributed, its leading pairs come from a distributed SVD.
+    """For a few groups with too many points for a task each: a group's kernel stays distributed, its k leading pairs beside the
+    trivial one come from a distributed SVD, one group after the other; the complement holds what of these k the cutoff leaves.
 
-    The symmetric kernel is positive semidefinite, so singular and eigen values agree.
+    The symmetric kernel is positive semidefinite, so singular and eigen values agree. Null groups and keys are not allowed.
     """
+    out = None
+    for row in points.select(group).distinct().collect():  # groups are layers of a model
+        own = _svd_of_one(points.where(F.col(group) == F.lit(row[0])), group, keys, vec, cutoff, time, k)
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("there are no points")
+    return out
+
+
+def _svd_of_one(points: DataFrame, group: str, keys: Sequence[str], vec: str, cutoff: float, time: float, k: int) -> DataFrame:
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
     spark = points.sparkSession
-    number = numbered(points, [group, *keys], "_id")
-    m = symmetric(kernel(pairwise_blocks(number, group, "_id", vec), group), group)
-    n = number.count()
+    number = numbered(points, list(keys), "_id")
+    kern = written(kernel(pairwise_blocks(number, group, "_id", vec), group), "kernel")
+    m, n = symmetric(kern, group), number.count()
     rows = m.groupBy("i").agg(F.collect_list(F.struct("j", "m")).alias("r")).rdd.map(lambda r: IndexedRow(r["i"], Vectors.sparse(n, sorted((int(x["j"]), float(x["m"])) for x in r["r"]))))
     found = IndexedRowMatrix(rows).computeSVD(min(k + 1, n), computeU=True)
     lam = np.array(found.s.toArray())[1:]
     running = np.cumsum(lam)
     kept = int((running / max(running[-1], FLOAT_EPS) < cutoff).sum()) + 1 if len(lam) else 0
     u = spark.createDataFrame(found.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()[1:]])), "_id bigint, u array<double>")
-    scale = F.array(*[F.lit(float(x) ** time) for x in lam])
+    u = written(u, "vectors")
+    # signs as in the other solver: each column's largest entry is positive
+    top = u.select(F.posexplode("u").alias("p", "x")).groupBy("p").agg(F.signum(F.max_by("x", F.abs("x"))).alias("s"))
+    signs = {r["p"]: r["s"] for r in top.collect()}  # k numbers
+    scale = F.array(*[F.lit(float(x) ** time * (signs.get(i) or 1.0)) for i, x in enumerate(lam)]).cast("array<double>")
     full = F.zip_with("u", scale, lambda a, b: a * b)
-    return number.join(u, "_id").select(
+    return number.join(u, "_id").join(mixing_constant(kern, group), group).select(
         group, *keys, F.lit(kept).alias("n_components"), F.slice(full, 1, kept).alias("psi"), F.slice(full, kept + 1, max(1, len(lam))).alias("complement"),
-        F.array(*[F.lit(float(x)) for x in lam]).alias("eigenvalues"), F.lit(None).cast("double").alias("c_value"),
+        F.array(*[F.lit(float(x)) for x in lam]).cast("array<double>").alias("eigenvalues"), "c_value",
     )
 
 
@@ -207,7 +233,7 @@ def layer_distances(psi: DataFrame, level: str = "snr", layer: str = "layer", or
     """level, layer_i, layer_j, dist for all pairs of layers at every level; null where a layer is missing."""
     one = latest_wins(psi, [level, layer], order).select(level, layer, "psi")
     levels, layers = psi.select(level).distinct(), psi.select(layer).distinct()
-    grid = levels.crossJoin(F.broadcast(layers.withColumnRenamed(layer, "layer_i"))).crossJoin(F.broadcast(layers.withColumnRenamed(layer, "layer_j")))
+    grid = levels.crossJoin(layers.withColumnRenamed(layer, "layer_i")).crossJoin(layers.withColumnRenamed(layer, "layer_j"))  # dimensions, the result
     a = one.select(level, F.col(layer).alias("layer_i"), F.col("psi").alias("_a"))
     b = one.select(level, F.col(layer).alias("layer_j"), F.col("psi").alias("_b"))
     return grid.join(a, [level, "layer_i"], "left").join(b, [level, "layer_j"], "left").select(level, "layer_i", "layer_j", exprs.l2("_a", "_b").alias("dist"))

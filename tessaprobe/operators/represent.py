@@ -53,12 +53,14 @@ def pool_concat(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def first_segment(df: DataFrame) -> DataFrame:
-    return df.where("call_idx = 0")
+    """Rows of the first call as they are; of a batch, where one is told (``batch_idx``), its first item."""
+    kept = df.where("call_idx = 0")
+    return kept.where("batch_idx = 0") if "batch_idx" in df.columns else kept
 
 
 def known_layers(df: DataFrame, first: DataFrame) -> DataFrame:
     """Only layers that the first utterance has."""
-    return df.join(F.broadcast(first.select("layer").distinct()), "layer", "left_semi")
+    return df.join(first.select("layer").distinct(), "layer", "left_semi")
 
 
 def pool_with(df: DataFrame, keys: Sequence[str], fn: Callable, schema: str) -> DataFrame:
@@ -75,9 +77,14 @@ def centroids(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame
     return vector_mean(df, keys, vec, "n_samples")
 
 
-def paired(clean: DataFrame, degraded: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, token_idx, x, y of tokens that both sides have."""
-    return clean.select(*keys, "token_idx", F.col("vec").alias("x")).join(degraded.select(*keys, "token_idx", F.col("vec").alias("y")), [*keys, "token_idx"])
+def paired(clean: DataFrame, degraded: DataFrame, keys: Sequence[str], strict: bool = False) -> DataFrame:
+    """keys, token_idx, x, y of tokens that both sides have; ``strict``: a token of one side only, or of another width, is an error."""
+    x, y = clean.select(*keys, "token_idx", F.col("vec").alias("x")), degraded.select(*keys, "token_idx", F.col("vec").alias("y"))
+    if not strict:
+        return x.join(y, [*keys, "token_idx"])
+    same = F.coalesce(F.size("x") == F.size("y"), F.lit(False))
+    checked = x.join(y, [*keys, "token_idx"], "full").withColumn("_ok", F.assert_true(same, F.lit("clean and degraded activations differ in shape")))
+    return checked.where("_ok is null").drop("_ok")
 
 
 def linear_cka(x: np.ndarray, y: np.ndarray) -> float:
@@ -151,6 +158,9 @@ def decode_f32(column: str):
 
     @F.pandas_udf("array<float>")
     def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else np.frombuffer(b, np.float32))
+        sizes = values.map(len, na_action="ignore").fillna(0).to_numpy(np.int64)
+        flat = np.frombuffer(b"".join(b for b in values if b is not None), np.float32)
+        ends = np.cumsum(sizes) // 4
+        return pd.Series([None if b is None else flat[e - n // 4 : e] for b, e, n in zip(values, ends.tolist(), sizes.tolist(), strict=True)])
 
     return decode(F.col(column))

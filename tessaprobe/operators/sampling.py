@@ -75,22 +75,29 @@ def stratified_split(df: DataFrame, ident: str, rt60: str, share: float, order:
 def holdout(df: DataFrame, ident: str, share: float, order: Column) -> DataFrame:
     """ident, split: the first ``share`` (one at least) is val, the rest train."""
     placed = numbered(df.select(ident, order.alias("_o")), ["_o", ident], "_k")
-    return placed.select(ident, F.when(F.col("_k") < max(1, int(placed.count() * share)), "val").otherwise("train").alias("split"))
+    most = max(1, int(df.count() * share))
+    return placed.select(ident, F.when(F.col("_k") < most, "val").otherwise("train").alias("split"))
 
 
-def assign_mod(items: DataFrame, ident: str, pool: DataFrame, member: str) -> DataFrame:
-    """Item i (in order of ident) gets member i mod n (in order of member)."""
+def assign_mod(items: DataFrame, ident: str, pool: DataFrame, member: str, shift: int = 0) -> DataFrame:
+    """Item i (in order of ident) gets member (i + shift) mod n (in order of member)."""
     n = pool.count()
     members = numbered(pool.select(member), [member], "_m")
-    places = numbered(items.select(ident), [ident], "_i").select(ident, F.pmod("_i", F.lit(max(1, n))).alias("_m"))
+    places = numbered(items.select(ident), [ident], "_i").select(ident, F.pmod(F.col("_i") + shift, F.lit(max(1, n))).alias("_m"))
     return places.join(members, "_m").select(ident, member)
 
 
-def assign_k(items: DataFrame, ident: str, pool: DataFrame, member: str, k: int, order: Column) -> DataFrame:
-    """k different members for each item; ``pool`` is a dimension, each item's draw is a window of its own."""
-    w = Window.partitionBy(ident).orderBy(order, member)
-    grid = items.select(ident).crossJoin(F.broadcast(pool.select(member)))
-    return grid.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def assign_k(items: DataFrame, ident: str, pool: DataFrame, member: str, k: int, draw: Column, order: Column) -> DataFrame:
+    """k different members for each item (all, if the pool has fewer): ``rank`` 1 to k.
+
+    The pool is put in the order of ``order``; an item gets the members from place ``draw`` mod n on, round the end. So the draw
+    is an equi join on the member's place: items * k rows, never items * pool.
+    """
+    n = pool.count()
+    members = numbered(pool.select(member, order.alias("_p")), ["_p", member], "_m").drop("_p")
+    ranks = F.explode(F.sequence(F.lit(1), F.lit(min(k, n)))) if n else F.explode(F.array().cast("array<int>"))
+    drawn = items.select(ident, draw.cast("bigint").alias("_d"), ranks.alias("rank"))
+    return drawn.withColumn("_m", F.pmod(F.col("_d") + F.col("rank") - 1, F.lit(max(1, n)))).join(members, "_m").select(ident, member, "rank")
 
 
 def assign_one(items: DataFrame, keys: Sequence[str], pool: DataFrame, member: str, seed: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessaprobe.functions import exprs, stats
-from tessaprobe.functions.constants import BLOCK_ORDER, BLOCKS
+from tessaprobe.functions.constants import BLOCK_ORDER, BLOCKS, representative_layers
 from tessaprobe.operators import evaluation, manifold, represent, sampling, signal
 from tessaprobe.sources import tables
 
@@ -77,6 +77,16 @@ def diffusion_monotonicity(psi: DataFrame, keys: Sequence[str] = ("layer",)) ->
     return stats.fit_line(means, keys, "dist", "snr").join(stats.spearman(means, keys, "dist", "snr"), list(keys))
 
 
+def block_rows(df: DataFrame) -> DataFrame:
+    """The rows of the layers that stand for a block, with the block's label and order."""
+    return df.join(representative_layers(df.sparkSession), "layer")
+
+
+def block_monotonicity(psi: DataFrame) -> DataFrame:
+    """label, block_order, slope, intercept, r2, n_levels, rho of each block's representative layer."""
+    return diffusion_monotonicity(block_rows(psi), ("label", "block_order"))
+
+
 def distance_slices(psi: DataFrame) -> DataFrame:
     """Layer distances at the slice levels, scaled per level, with the architectural rank of both layers."""
     levels = sampling.slice_levels(psi, "snr")
@@ -142,10 +152,28 @@ def split_counts(meta: DataFrame, split: DataFrame) -> DataFrame:
     return meta.join(split, "filename").groupBy(family.alias("family")).pivot("split", ["train", "test"]).count().fillna(0, ["train", "test"])
 
 
-def reverb_test_set(utterances: DataFrame, rirs: DataFrame, k: int, seed: int) -> DataFrame:
-    """Every utterance with k responses, reverberated; keys are drawn first, arrays joined after."""
-    drawn = sampling.assign_k(utterances, "utterance_id", rirs, "rir_id", k, sampling.hash_order(seed, "utterance_id", "rir_id"))
-    pairs = drawn.join(utterances, "utterance_id").join(rirs.withColumnRenamed("samples", "rir"), "rir_id")
+def test_responses(split: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The metadata of the responses whose split is test, and the names among these that the metadata lacks."""
+    wanted = split.where("split = 'test'").select("filename")
+    return meta.drop("split").join(wanted, "filename", "left_semi"), wanted.join(meta, "filename", "left_anti")
+
+
+def reverb_manifest(utterances: DataFrame, responses: DataFrame, k: int, draw: Column, order: Column) -> DataFrame:
+    """The reverb test manifest: every utterance with k responses (rows of the RIR metadata), and the file it would be."""
+    rirs = responses.select(F.col("filename").alias("rir_id"), F.col("wav_path").alias("rir_filename"), "rt60", "drr", "c50")
+    drawn = sampling.assign_k(utterances, "utterance_id", rirs, "rir_id", k, draw, order)
+    return drawn.join(rirs, "rir_id").select(
+        "utterance_id", "rir_id", "rir_filename", "rt60", "drr", "c50", F.concat_ws("_", F.col("utterance_id").cast("string"), F.concat("rir_id", F.lit(".wav"))).alias("filepath")
+    )
+
+
+def noise_manifest(utterances: DataFrame) -> DataFrame:
+    return utterances.select("utterance_id", F.concat(F.col("utterance_id").cast("string"), F.lit(".wav")).alias("filepath"))
+
+
+def reverb_test_set(manifest: DataFrame, utterances: DataFrame, rirs: DataFrame) -> DataFrame:
+    """The manifest's rows with ``reverberant``; ``utterances`` (utterance_id, samples), ``rirs`` (rir_id, samples)."""
+    pairs = manifest.join(utterances, "utterance_id").join(rirs.select("rir_id", F.col("samples").alias("rir")), "rir_id")
     return signal.reverberate(pairs, "samples", "rir", None)
 
 
@@ -175,6 +203,13 @@ def noise_training_pairs(clean: DataFrame, noisy: DataFrame, segment: int, seed:
     )
 
 
+def training_spectra(pairs: DataFrame, keys: Sequence[str], sides: Sequence[str] = ("clean", "degraded"), n_fft: int = 510, hop: int = 100, win: int = 510, power: float = 0.3) -> DataFrame:
+    """keys, side, frame_idx, mag, pha, re, im: the compressed spectra that training reads, of both sides of each pair."""
+    side = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("samples")) for s in sides])).alias("_s")
+    rows = pairs.select(*keys, side).select(*keys, "_s.side", "_s.samples")
+    return signal.stft(rows, [*keys, "side"], n_fft=n_fft, hop=hop, win=win, power=power)
+
+
 def evaluated(manifest: DataFrame, degraded: DataFrame, enhanced: DataFrame, clean: DataFrame, domain: str, scorers: dict[str, Callable] | None = None) -> DataFrame:
     """The test manifest's waves by file (``degraded``, ``enhanced``: filepath, samples) and by utterance (``clean``: utterance_id,
     samples), cut to the shortest of the three, input and enhanced scored against clean: the result table of one domain."""
@@ -193,22 +228,43 @@ def evaluation_report(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     return evaluation.summary(scores), evaluation.by_rt60(scores.where("domain = 'reverb'"))
 
 
-def cka_table(waves: DataFrame, noises: DataFrame, levels: Iterable[float], extract: Callable, activation_schema: str, keys: Sequence[str] = ("model", "layer")) -> DataFrame:
-    """Degrade over the grid, take activations with the user's producer, pool, and compare with the clean ones.
+def cka_of_degraded(
+    clean: DataFrame, degraded: DataFrame, conditions: Sequence[str], extract: Callable, activation_schema: str, keys: Sequence[str] = ("model", "layer"), pool: Callable = represent.pool_first
+) -> DataFrame:
+    """utt_id, conditions, keys, CKA: activations of clean (utt_id, samples) and degraded waves (utt_id, conditions, samples) by the
+    user's producer, pooled, and compared.
 
-    ``extract`` gets pandas batches (utt_id, noise_name, level, samples; level is null for clean) and yields token rows
-    (utt_id, noise_name, level, model, layer, call_idx, time_idx, token_idx, vec).
+    ``extract`` gets pandas batches (utt_id, conditions, samples; conditions are null for clean) and yields token rows
+    (utt_id, conditions, keys, call_idx, time_idx, token_idx, vec); ``pool`` takes such rows and their keys.
     """
+    kinds = {f.name: f.dataType for f in degraded.schema}
+    bare = clean.select("utt_id", *[F.lit(None).cast(kinds[c]).alias(c) for c in conditions], F.col("samples").cast("array<double>").alias("samples"))
+    both = degraded.select("utt_id", *conditions, F.col("samples").cast("array<double>").alias("samples")).unionByName(bare)
+    pooled = pool(represent.extract_with(both, extract, activation_schema), ["utt_id", *conditions, *keys])
+    reference = F.lit(True)
+    for c in conditions:
+        reference = reference & F.col(c).isNull()
+    x = pooled.where(reference).select("utt_id", *keys, "token_idx", F.col("vec").alias("x"))
+    y = pooled.where(~reference).select("utt_id", *conditions, *keys, "token_idx", F.col("vec").alias("y"))
+    return represent.cka(y.join(x, ["utt_id", *keys, "token_idx"]), ["utt_id", *conditions, *keys])
+
+
+def cka_table(waves: DataFrame, noises: DataFrame, levels: Iterable[float], extract: Callable, activation_schema: str, keys: Sequence[str] = ("model", "layer"), pool: Callable = represent.pool_first) -> DataFrame:
+    """Similarity of every utterance under every noise (noise_name) at every level (level), see ``cka_of_degraded``."""
     spark = waves.sparkSession
     grid = sampling.degradation_grid(waves.select("utt_id"), noises.select("noise_name"), spark.createDataFrame([(float(x),) for x in levels], "level double"))
     pairs = grid.join(waves.select("utt_id", "samples"), "utt_id").join(noises.select("noise_name", F.col("samples").alias("noise")), "noise_name")
     noisy = pairs.select("utt_id", "noise_name", "level", exprs.mix_at_snr("samples", F.col("noise"), F.col("level")).alias("samples"))
-    clean = waves.select("utt_id", F.lit(None).cast("string").alias("noise_name"), F.lit(None).cast("double").alias("level"), F.transform("samples", lambda x: x.cast("double")).alias("samples"))
-    rows = represent.extract_with(noisy.unionByName(clean), extract, activation_schema)
-    pooled = represent.pool_first(rows, ["utt_id", "noise_name", "level", *keys])
-    x = pooled.where("level is null").select("utt_id", *keys, "token_idx", F.col("vec").alias("x"))
-    y = pooled.where("level is not null").select("utt_id", "noise_name", "level", *keys, "token_idx", F.col("vec").alias("y"))
-    return represent.cka(y.join(x, ["utt_id", *keys, "token_idx"]), ["utt_id", "noise_name", "level", *keys])
+    return cka_of_degraded(waves, noisy, ["noise_name", "level"], extract, activation_schema, keys, pool)
+
+
+def cka_reverb_table(waves: DataFrame, rirs: DataFrame, targets: Iterable[float], extract: Callable, activation_schema: str, keys: Sequence[str] = ("model", "layer"), pool: Callable = represent.pool_first) -> DataFrame:
+    """The reverb half of the grid: every utterance through every response (rir_name, samples) at every target C50 (target_c50)."""
+    spark = waves.sparkSession
+    grid = sampling.degradation_grid(waves.select("utt_id"), rirs.select("rir_name"), spark.createDataFrame([(float(x),) for x in targets], "target_c50 double"))
+    pairs = grid.join(waves.select("utt_id", "samples"), "utt_id").join(rirs.select("rir_name", F.col("samples").alias("rir")), "rir_name")
+    wet = signal.reverberate(pairs).select("utt_id", "rir_name", "target_c50", F.col("reverberant").alias("samples"))
+    return cka_of_degraded(waves, wet, ["rir_name", "target_c50"], extract, activation_schema, keys, pool)
 
 
 def quality_report(psi: DataFrame) -> DataFrame:

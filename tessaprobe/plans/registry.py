@@ -11,6 +11,7 @@ from tessaprobe.functions import exprs, stats
 from tessaprobe.operators import evaluation, manifold, represent, sampling, signal
 from tessaprobe.plans import jobs, views
 from tessaprobe.plans.views import EVALS, PROBE, PSI, REVERB, RIR_SAMPLES, RIRS, SAMPLES, TOKENS
+from tessaprobe.sources.shared import written
 
 LEVELS = (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0)
 RATE = 1000  # the stand-in signals count as sampled at 1 kHz, so that windows of milliseconds fit them
@@ -195,11 +196,17 @@ def assign_mod(spark, d):
     return sampling.assign_mod(views.table(spark, d, "part"), "p_partkey", views.table(spark, d, "supplier"), "s_suppkey")
 
 
-@query("""SELECT c_custkey, n_nationkey, k AS rank FROM (SELECT c_custkey, n_nationkey, row_number() OVER (PARTITION BY c_custkey
- ORDER BY ((c_custkey * 31 + n_nationkey) * 1103515245 + 12345) % 2147483647, n_nationkey) AS k FROM customer, nation) WHERE k <= 5""")
+@query(f"""WITH pool AS (SELECT n_nationkey, row_number() OVER (ORDER BY {KEY.format('n_nationkey')}, n_nationkey) - 1 AS m, count(*) OVER () AS n FROM nation)
+SELECT c_custkey, n_nationkey, CAST(r.r AS INT) AS rank FROM customer, range(1, 6) r(r) JOIN pool ON ({KEY.format('c_custkey')} + r.r - 1) % n = m""")
 def assign_k(spark, d):
-    order = exprs.portable_key(F.col("c_custkey") * 31 + F.col("n_nationkey"), SEED)
-    return sampling.assign_k(views.table(spark, d, "customer"), "c_custkey", views.table(spark, d, "nation"), "n_nationkey", 5, order)
+    keys = [exprs.portable_key(k, SEED) for k in ("c_custkey", "n_nationkey")]
+    return sampling.assign_k(views.table(spark, d, "customer"), "c_custkey", views.table(spark, d, "nation"), "n_nationkey", 5, *keys)
+
+
+@query("SELECT s_suppkey, n_nationkey, CAST(snr AS DOUBLE) AS snr FROM supplier, nation, (VALUES (-5.0), (0.0), (10.0)) v(snr)")
+def degradation_grid(spark, d):
+    levels = spark.createDataFrame([(-5.0,), (0.0,), (10.0,)], "snr double")
+    return sampling.degradation_grid(views.table(spark, d, "supplier").select("s_suppkey"), views.table(spark, d, "nation").select("n_nationkey"), levels)
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -227,16 +234,21 @@ def manifest_family(spark, d):
 # --- signals --------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {SAMPLES}, noise AS (SELECT utt_id AS noise_id, i AS j, x AS y, n AS m FROM samples WHERE utt_id <= 3), levels(snr) AS (VALUES (-5.0), (0.0), (10.0)),
-fitted AS (SELECT utt_id, noise_id, i, x, y, n FROM samples JOIN noise ON i % m = j),
+DEALT = """utts AS (SELECT utt_id, row_number() OVER (ORDER BY utt_id) - 1 AS k, count(*) OVER () AS c FROM (SELECT DISTINCT utt_id FROM samples)),
+dealt AS (SELECT a.utt_id, b.utt_id AS noise_id FROM utts a JOIN utts b ON (a.k + 1) % a.c = b.k)"""
+
+
+@query(f"""WITH {SAMPLES}, noise AS (SELECT utt_id AS noise_id, i AS j, x AS y, n AS m FROM samples), levels(snr) AS (VALUES (-5.0), (0.0), (10.0)), {DEALT},
+fitted AS (SELECT utt_id, noise_id, i, x, y, n FROM samples JOIN dealt USING (utt_id) JOIN noise USING (noise_id) WHERE i % m = j),
 powers AS (SELECT utt_id, noise_id, sum(x * x) / any_value(n) AS ps, sum(y * y) / any_value(n) AS pn, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy FROM fitted GROUP BY 1, 2),
 scaled AS (SELECT *, sqrt((ps / pow(10, snr / 10)) / (pn + 1e-12)) AS g FROM powers, levels)
 SELECT utt_id, noise_id, CAST(snr AS DOUBLE) AS snr, {r('g')} AS scale, {r('xx + 2 * g * xy + g * g * yy')} AS mixed_energy FROM scaled""")
 def mix_at_snr_power(spark, d):
     levels = spark.createDataFrame([(-5.0,), (0.0,), (10.0,)], "snr double")
     speech = views.signals(spark, d)
-    grid = sampling.degradation_grid(speech.select("utt_id"), views.noises(spark, d).select("noise_id"), levels)
-    pairs = grid.join(speech, "utt_id").join(F.broadcast(views.noises(spark, d)), "noise_id")
+    noises = views.noises(spark, d)
+    dealt = sampling.assign_mod(speech, "utt_id", noises, "noise_id", 1)
+    pairs = dealt.join(speech, "utt_id").join(noises, "noise_id").crossJoin(levels)
     fitted = exprs.tiled("noise", F.size("samples"))
     out = pairs.select("utt_id", "noise_id", "snr", exprs.noise_scale("samples", fitted, F.col("snr")).alias("scale"), exprs.energy(exprs.mix_at_snr("samples", F.col("noise"), F.col("snr"))).alias("mixed_energy"))
     return rounded(out, "scale", "mixed_energy")
@@ -414,7 +426,8 @@ def centroids(spark, d):
 
 
 CKA = f"""WITH {TOKENS}, n AS (SELECT count(DISTINCT layer) AS n FROM tokens),
-sides AS (SELECT layer, token_idx, i, v, 0 AS s FROM tokens UNION ALL SELECT CAST((layer + n - 1) % n AS INT) AS layer, token_idx, i, v, 1 FROM tokens, n),
+every AS (SELECT layer, token_idx, i, v, 0 AS s FROM tokens UNION ALL SELECT CAST((layer + n - 1) % n AS INT) AS layer, token_idx, i, v, 1 FROM tokens, n),
+sides AS (SELECT * FROM every SEMI JOIN (SELECT layer, token_idx FROM every GROUP BY 1, 2 HAVING count(DISTINCT s) = 2) USING (layer, token_idx)),
 c AS (SELECT *, v - avg(v) OVER (PARTITION BY layer, s, i) AS z FROM sides),
 g AS (SELECT a.layer, a.s AS s, b.s AS t, a.i, b.i AS j, sum(a.z * b.z) AS w FROM c a JOIN c b USING (layer, token_idx) WHERE a.s <= b.s GROUP BY ALL),
 q AS (SELECT layer, sum(w * w) FILTER (WHERE s = 0 AND t = 1) AS xy, sum(w * w) FILTER (WHERE s = 0 AND t = 0) AS xx, sum(w * w) FILTER (WHERE s = 1 AND t = 1) AS yy FROM g GROUP BY 1)
@@ -454,23 +467,25 @@ KSYM = f"{KERNEL}, m AS (SELECT k.layer, k.i, k.j, k / sqrt(a.d * b.d) AS m FROM
 
 
 def _d2(spark, d):
-    return manifold.pairwise_d2(views.tokens(spark, d), "layer", "token_idx", "vec").select("layer", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "d2")
+    return manifold.pairwise_blocks(views.tokens(spark, d).withColumn("token_idx", F.col("token_idx").cast("bigint")), "layer", "token_idx", "vec")
 
 
 @query(f"{D2} SELECT layer, i, j, {r('d2')} AS d2 FROM d2")
 def pairwise_d2(spark, d):
-    return rounded(_d2(spark, d), "d2")
+    """The plan in SQL for small groups; the others take the plan in blocks."""
+    out = manifold.pairwise_d2(views.tokens(spark, d), "layer", "token_idx", "vec")
+    return rounded(out.select("layer", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "d2"), "d2")
 
 
 @query(f"{D2} SELECT layer, i, j, {r('d2')} AS d2 FROM d2")
 def pairwise_blocks(spark, d):
-    out = manifold.pairwise_blocks(views.tokens(spark, d).withColumn("token_idx", F.col("token_idx").cast("bigint")), "layer", "token_idx", "vec", block=16)
+    out = manifold.pairwise_blocks(views.tokens(spark, d).withColumn("token_idx", F.col("token_idx").cast("bigint")), "layer", "token_idx", "vec", block=64)
     return rounded(out, "d2")
 
 
 @query(f"{EPS} SELECT layer, {r('eps')} AS eps FROM eps")
 def bandwidth(spark, d):
-    return rounded(manifold.bandwidth(_d2(spark, d), "layer"), "eps")
+    return rounded(manifold.bandwidth(written(_d2(spark, d), "distances"), "layer"), "eps")
 
 
 @query(f"{KERNEL} SELECT layer, i, {r('d')} AS d FROM deg")
@@ -495,14 +510,17 @@ def mixing_c(spark, d):
     return rounded(manifold.mixing_constant(manifold.kernel(_d2(spark, d), "layer"), "layer"), "c_value")
 
 
-@query(f"""{KSYM}, s AS (SELECT a.layer, a.i, b.j, sum(a.m * b.m) AS s FROM m a JOIN m b ON a.layer = b.layer AND a.j = b.i GROUP BY ALL), t AS (SELECT layer, sum(d) AS total FROM deg GROUP BY 1)
+DIST_ONE = f"""{KSYM}, s AS (SELECT a.layer, a.i, b.j, sum(a.m * b.m) AS s FROM m a JOIN m b ON a.layer = b.layer AND a.j = b.i GROUP BY ALL), t AS (SELECT layer, sum(d) AS total FROM deg GROUP BY 1)
 SELECT s.layer, s.i, s.j, {r('p.s + q.s - 2 * s.s - (sqrt(a.d) - sqrt(b.d)) ** 2 / total')} AS dist2 FROM s JOIN s p ON p.layer = s.layer AND p.i = s.i AND p.j = s.i
-JOIN s q ON q.layer = s.layer AND q.i = s.j AND q.j = s.j JOIN deg a ON a.layer = s.layer AND a.i = s.i JOIN deg b ON b.layer = s.layer AND b.i = s.j JOIN t ON t.layer = s.layer WHERE s.i < s.j""")
+JOIN s q ON q.layer = s.layer AND q.i = s.j AND q.j = s.j JOIN deg a ON a.layer = s.layer AND a.i = s.i JOIN deg b ON b.layer = s.layer AND b.i = s.j JOIN t ON t.layer = s.layer WHERE s.i < s.j"""
+
+
+@query(DIST_ONE)
 def diffusion_dist_t1(spark, d):
     return rounded(manifold.diffusion_distance_one(manifold.kernel(_d2(spark, d), "layer"), "layer"), "dist2")
 
 
-@query(f"""{KSYM}, s AS (SELECT layer, sum(m) FILTER (WHERE i = j) AS trace, sum(m * m) AS frobenius FROM m GROUP BY 1) SELECT layer, 39 + 1 AS n, {r('trace - 1')} AS eigen_sum, {r('frobenius - 1')} AS eigen_squares FROM s""")
+@query(f"""{KSYM}, s AS (SELECT layer, CAST(count_if(i = j) AS INT) AS n, sum(m) FILTER (WHERE i = j) AS trace, sum(m * m) AS frobenius FROM m GROUP BY 1) SELECT layer, n, {r('trace - 1')} AS eigen_sum, {r('frobenius - 1')} AS eigen_squares FROM s""")
 def diffusion_eigenvalues(spark, d):
     """Sums over the eigenvalues of each layer's map: the trace and the squared norm of the kernel give the same."""
     points = views.tokens(spark, d)
@@ -604,6 +622,14 @@ def score_scaling(spark, d):
     return rounded(rows.select("utterance_id", exprs.pesq_unit("pesq", F.col("low")).alias("unit"), exprs.polynomial("si_sdr", (0.06, 1.3, -0.5)).alias("mos")), "unit", "mos")
 
 
+@query(DIST_ONE)
+def diffusion_psi_distances(spark, d):
+    """Squared distances between the points' diffusion coordinates at time 1 with all components."""
+    points = views.tokens(spark, d).withColumn("token_idx", F.col("token_idx").cast("bigint"))
+    full = manifold.diffusion_map(points, "layer", ["token_idx"], "vec", cutoff=2.0, time=1.0).select("layer", "token_idx", "psi")
+    return rounded(manifold.pairwise_blocks(full, "layer", "token_idx", "psi").withColumnRenamed("d2", "dist2"), "dist2")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, (fn, _) in _found.items()}
 

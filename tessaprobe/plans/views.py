@@ -49,10 +49,9 @@ def eval_scores(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def tokens(spark: SparkSession, d: str, most: int = 40) -> DataFrame:
-    """layer, token_idx, vec, vec_id: the first ``most`` vectors of each label, so that all layers have as many."""
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    df = table(spark, d, "embeddings").withColumn("token_idx", k).where(F.col("token_idx") <= most)
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    """layer, token_idx, vec, vec_id: all vectors, numbered within their label."""
+    df = table(spark, d, "embeddings").withColumn("token_idx", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
     return df.select(F.col("label").alias("layer"), "token_idx", F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "vec_id")
 
 
@@ -74,7 +73,7 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def noises(spark: SparkSession, d: str) -> DataFrame:
-    return signals(spark, d).where("utt_id <= 3").select(F.col("utt_id").alias("noise_id"), F.col("samples").alias("noise"))
+    return signals(spark, d).select(F.col("utt_id").alias("noise_id"), F.col("samples").alias("noise"))
 
 
 def rirs(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +92,7 @@ EVALS = """eval_scores AS (SELECT o_orderstatus AS domain, o_orderkey AS utteran
   CASE WHEN o_custkey % 17 = 0 THEN -1.0 ELSE 1 + o_totalprice / 150000 END AS pesq, CASE WHEN o_custkey % 19 = 0 THEN -1.0 ELSE 1 + o_totalprice / 200000 END AS pesq_input,
   o_totalprice / 25000 AS si_sdr, o_totalprice / 30000 AS si_sdr_input FROM orders)"""
 TOKENS = """ranked AS (SELECT label AS layer, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS token_idx FROM embeddings),
-tokens AS (SELECT layer, token_idx, vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS v FROM ranked WHERE token_idx <= 40)"""
+tokens AS (SELECT layer, token_idx, vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS v FROM ranked)"""
 PSI = """entries AS (SELECT label AS layer, CAST(vec_id % 5 AS DOUBLE) AS snr, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
 psi AS (SELECT layer, snr, i, avg(v) AS x FROM entries GROUP BY ALL)"""
 SAMPLES = """samples AS (SELECT user_id AS utt_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import warnings
 import wave
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from tessaprobe.functions import exprs
 from tessaprobe.operators.represent import decode_f32
+from tessaprobe.sources.shared import written
 
 
 class MissingTable(FileNotFoundError):
@@ -40,14 +42,15 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class ProbeConf:
-    """Paths of the corpora; unset ones come from the session (``probe.path.<name>``)."""
+    """Paths of the corpora; unset ones come from the session (``probe.path.<name>``), then from the environment."""
 
     speech: str | None = None
     noise: str | None = None
     rir: str | None = None
 
     def filled(self, spark: SparkSession) -> ProbeConf:
-        return replace(self, **{k: getattr(self, k) or spark.conf.get(f"probe.path.{k}", None) for k in ("speech", "noise", "rir")})
+        last = env_paths()
+        return replace(self, **{k: getattr(self, k) or spark.conf.get(f"probe.path.{k}", None) or getattr(last, k) for k in ("speech", "noise", "rir")})
 
 
 def _path(spark: SparkSession, path: str):
@@ -145,12 +148,16 @@ def read_waves(spark: SparkSession, folder: str, rate: int | None = None, patter
 
 
 def clean_speech(spark: SparkSession, folder: str, speakers: Sequence[str], rate: int = 16000) -> DataFrame:
-    """Utterances of the wanted speakers, one folder each; a speaker without a folder is left out."""
+    """Utterances of the wanted speakers, one folder each; a speaker without a folder is left out with a warning."""
+    for speaker in speakers:
+        if not exists(spark, f"{folder.rstrip('/')}/{speaker}"):
+            warnings.warn(f"no folder of speaker {speaker} in {folder}", stacklevel=2)
     return read_waves(spark, folder, rate).where(F.col("folder_name").isin(*speakers)).withColumnRenamed("folder_name", "speaker")
 
 
 def noise_table(spark: SparkSession, folder: str, rate: int = 16000) -> DataFrame:
-    return read_waves(spark, folder, rate).select(F.col("folder_name").alias("noise_name"), "sr", "samples", "n_samples").cache()
+    """Noises by the name of their folder, decoded once into a table."""
+    return written(read_waves(spark, folder, rate).select(F.col("folder_name").alias("noise_name"), "sr", "samples", "n_samples"), "noises")
 
 
 def rir_table(spark: SparkSession, folder: str, rate: int = 16000, rooms: Sequence[str] | None = None, channel: int = 0) -> DataFrame:
