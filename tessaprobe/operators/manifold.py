@@ -63,12 +63,12 @@ def bandwidth(d2: DataFrame, group: str) -> DataFrame:
 
 
 def kernel(d2: DataFrame, group: str) -> DataFrame:
-    """group, i, j, k for all ordered pairs, the diagonal included. The distances are computed once, into a table."""
+    """group, i, j, k for all ordered pairs, the diagonal included. Distances and result are computed once, into tables."""
     d2 = written(d2, "distances")
     half = d2.join(bandwidth(d2, group), group).select(group, "i", "j", F.exp(-F.col("d2") / (2 * F.col("eps"))).alias("k"))
     other = half.select(group, F.col("j").alias("i"), F.col("i").alias("j"), "k")
     ids = half.select(group, "i").union(half.select(group, "j")).distinct()
-    return half.unionByName(other).unionByName(ids.select(group, "i", F.col("i").alias("j"), F.lit(1.0).alias("k")))
+    return written(half.unionByName(other).unionByName(ids.select(group, "i", F.col("i").alias("j"), F.lit(1.0).alias("k"))), "kernel")
 
 
 def alpha_normalised(k: DataFrame, group: str, alpha: float) -> DataFrame:
@@ -99,7 +99,6 @@ def diffusion_distance_one(k: DataFrame, group: str) -> DataFrame:
 
     sum_k lambda_k^2 (psi_k(i) - psi_k(j))^2 = (M^2)_ii + (M^2)_jj - 2 (M^2)_ij - (sqrt d_i - sqrt d_j)^2 / sum d.
     """
-    k = written(k, "kernel")
     m, d = written(symmetric(k, group), "kernel-symmetric"), degree(k, group)
     square = m.alias("a").join(m.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.j") == F.col("b.i"))).groupBy(
         F.col(f"a.{group}").alias(group), F.col("a.i").alias("i"), F.col("b.j").alias("j")
@@ -191,7 +190,7 @@ def _svd_of_one(points: DataFrame, group: str, keys: Sequence[str], vec: str, cu
 
     spark = points.sparkSession
     number = numbered(points, list(keys), "_id")
-    kern = written(kernel(pairwise_blocks(number, group, "_id", vec), group), "kernel")
+    kern = kernel(pairwise_blocks(number, group, "_id", vec), group)
     m, n = symmetric(kern, group), number.count()
     rows = m.groupBy("i").agg(F.collect_list(F.struct("j", "m")).alias("r")).rdd.map(lambda r: IndexedRow(r["i"], Vectors.sparse(n, sorted((int(x["j"]), float(x["m"])) for x in r["r"]))))
     found = IndexedRowMatrix(rows).computeSVD(min(k + 1, n), computeU=True)

@@ -338,40 +338,6 @@ def loop_pad(spark, d):
     return rounded(rows.select("utt_id", F.size("p").cast("bigint").alias("n"), weighted.alias("weighted")), "weighted")
 
 
-@query(None)
-def reverberated(spark, d):
-    speech = views.signals(spark, d)
-    rir = views.rirs(spark, d).select("rir_id", F.col("samples").alias("rir"))
-    dealt = sampling.assign_mod(speech, "utt_id", rir, "rir_id")
-    pairs = speech.join(dealt, "utt_id").join(rir, "rir_id").withColumn("target_c50", F.lit(10.0))
-    out = signal.reverberate(pairs, early=20)
-    return rounded(out.select("utt_id", "rir_id", exprs.energy("reverberant").alias("energy"), F.size("reverberant").alias("n")), "energy")
-
-
-@query(None)
-def stft_round_trip(spark, d):
-    waves = views.signals(spark, d)
-    back = signal.istft(signal.stft(waves, ["utt_id"], n_fft=16, hop=4, win=16, power=0.3), ["utt_id"], 16, 4, 16, 0.3).withColumnRenamed("samples", "again")
-    a, b = exprs.same_length("samples", "again")
-    gap = exprs.energy(F.zip_with(a, b, lambda x, y: x - y))
-    return waves.join(back, "utt_id").select("utt_id", (gap < 1e-12 * exprs.energy("samples")).alias("equal"))
-
-
-@query(None)
-def spectral_distance(spark, d):
-    frames = signal.stft(views.signals(spark, d), ["utt_id"], n_fft=16, hop=4, win=16)
-    left = frames.select("utt_id", "frame_idx", F.col("mag").alias("mag_r"), F.col("pha").alias("pha_r"))
-    right = frames.select((F.col("utt_id") - 1).alias("utt_id"), "frame_idx", F.col("mag").alias("mag_g"), F.col("pha").alias("pha_g"))
-    out = signal.spectral_distances(left.join(right, ["utt_id", "frame_idx"]), ["utt_id"])
-    return rounded(out, "mag_mse", "complex_mse", "phase_ip", "phase_gd", "phase_iaf")
-
-
-@query(None)
-def resampled_signals(spark, d):
-    out = views.signals(spark, d).select("utt_id", signal.resample("samples", 48000, 16000).alias("x"))
-    return rounded(out.select("utt_id", F.size("x").alias("n"), exprs.total("x").alias("total")), "total")
-
-
 @query(f"WITH {SAMPLES} SELECT utt_id, {r('sum(x)')} AS total, count(*) AS n FROM samples GROUP BY 1")
 def chunk_stitch(spark, d):
     waves = views.signals(spark, d).withColumn("n", F.size("samples"))
@@ -630,9 +596,16 @@ def diffusion_psi_distances(spark, d):
     return rounded(manifold.pairwise_blocks(full, "layer", "token_idx", "psi").withColumnRenamed("d2", "dist2"), "dist2")
 
 
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    from tessaprobe.plans import studies  # registers its queries as it is imported
+
+    assert studies
+    return _found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: fn for name, (fn, _) in _found.items()}
+    return {name: fn for name, (fn, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _found.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

@@ -106,3 +106,22 @@ def test_pooling(spark):
     raw = spark.createDataFrame([(np.array([1.5, -2], np.float32).tobytes(),), (None,)], "b binary")
     assert [r.v for r in raw.select(represent.decode_f32("b").alias("v")).collect()] == [[1.5, -2.0], None]
     assert represent.centroids(df.withColumn("g", F.lit(1)), ["g"]).first().n_samples == 12
+
+
+def test_svd_solver_keeps_groups_apart(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, i, (rng.normal(size=4) * (g + 1)).tolist()) for g in range(2) for i in range(12)]
+    p = spark.createDataFrame(rows, "layer int, i int, vec array<double>")
+    full = {(r.layer, r.i): r for r in manifold.diffusion_map(p, "layer", ["i"], "vec", k=5, time=1.0).collect()}
+    for r in manifold.diffusion_map(p, "layer", ["i"], "vec", k=5, time=1.0, solver="svd").collect():
+        want = full[r.layer, r.i]
+        assert np.allclose(r.eigenvalues, want.eigenvalues, atol=1e-6) and abs(r.c_value - want.c_value) < 1e-9 and r.n_components == want.n_components
+        assert np.allclose(np.abs([*r.psi, *r.complement]), np.abs([*want.psi, *want.complement]), atol=1e-5)
+
+
+def test_bandwidth_is_the_lower_median(spark):
+    rng = np.random.default_rng(2)
+    values = {g: np.round(rng.exponential(size=n), 2) for g, n in enumerate((1, 2, 7, 1000, 40_000))}
+    rows = [(g, float(x)) for g, v in values.items() for x in v]
+    got = {r.layer: r.eps for r in manifold.bandwidth(spark.createDataFrame(rows, "layer int, d2 double"), "layer").collect()}
+    assert got == {g: max(float(np.sort(v)[(len(v) - 1) // 2]), manifold.FLOAT_EPS) for g, v in values.items()}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessaprobe.functions import stats
-from tessaprobe.operators import evaluation, sampling
+from tessaprobe.operators import evaluation, represent, sampling
 from tessaprobe.plans import jobs
 from tessaprobe.sources import tables
 
@@ -173,3 +173,28 @@ def test_cka_over_the_grid(spark):
     assert len(got) == 4
     by = {(r.utt_id, r.level): r.CKA for r in got}
     assert all(by[u, 40.0] > 0.99 > by[u, -10.0] for u in ("u0", "u1"))
+
+
+def test_paths_come_from_session_then_environment(spark, monkeypatch):
+    monkeypatch.setenv("PROBE_NOISE_PATH", "/env/noise")
+    monkeypatch.setenv("PROBE_RIR_PATH", "/env/rir")
+    spark.conf.set("probe.path.rir", "/conf/rir")
+    got = tables.ProbeConf(speech="/given").filled(spark)
+    spark.conf.unset("probe.path.rir")
+    assert got == tables.ProbeConf("/given", "/env/noise", "/conf/rir")
+
+
+def test_activations_of_other_shapes_are_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    a = spark.createDataFrame([("m", 0, [1.0, 2.0]), ("m", 1, [2.0, 1.0])], "layer string, token_idx int, vec array<double>")
+    b = spark.createDataFrame([("m", 0, [1.0, 2.0])], "layer string, token_idx int, vec array<double>")
+    assert represent.paired(a, b, ["layer"]).count() == 1 and represent.paired(a, a, ["layer"], strict=True).count() == 2
+    with pytest.raises(PySparkException):
+        represent.paired(a, b, ["layer"], strict=True).collect()
+
+
+def test_training_spectra_have_both_sides(spark):
+    pairs = spark.createDataFrame([("u", 0, [float(i % 7) for i in range(40)], [float(i % 5) for i in range(40)])], "utt_id string, chunk_start int, clean array<double>, degraded array<double>")
+    got = jobs.training_spectra(pairs, ["utt_id", "chunk_start"], n_fft=16, hop=4, win=16).groupBy("side").count().collect()
+    assert {r.side: r["count"] for r in got} == {"clean": 11, "degraded": 11}
