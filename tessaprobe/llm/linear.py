@@ -51,7 +51,8 @@ def class_shares(labels: DataFrame, label: str, modulus: int) -> float:
 
 
 def fitted(docs: DataFrame, sample: DataFrame, rows_of, fit) -> tuple:
-    """Fit on the bounded sample in one task and return the model's arrays.
+    """Fit on the bounded sample in one task and return the model's arrays. An id counts once, whatever the number of its rows:
+    of several the row with the smallest features.
 
     ``rows_of(texts)`` gives per text one bytes object; ``fit(rows, labels)`` gives bytes objects.
     """
@@ -75,7 +76,8 @@ def fitted(docs: DataFrame, sample: DataFrame, rows_of, fit) -> tuple:
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "data"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(F.broadcast(sample), "id").select("id", "label", "text")
-    found = store.written(texts.mapInArrow(features, "id bigint, label int, row binary"), "sample-features")
+    found = texts.mapInArrow(features, "id bigint, label int, row binary").groupBy("id").agg(F.min("label").alias("label"), F.min("row").alias("row"))
+    found = store.written(found, "sample-features")
     rows = found.coalesce(1).mapInArrow(model, "part int, data binary").collect()
     return tuple(bytes(r["data"]) for r in sorted(rows, key=lambda r: r["part"]))
 

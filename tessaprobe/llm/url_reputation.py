@@ -8,6 +8,9 @@ with n_i outcomes and share p_i in child i of a parent with mean m, E[n_i (p_i -
 gives one rho per level, and a prior counts as 1 / rho - 1 outcomes. A page without a rule is blocked where the lower
 posterior bound of its host's share, mean - z * deviation, lies above ``limit``; so thin evidence blocks nothing.
 
+Pages are counted per host with partial sums. The verdicts go back to the pages by host; a host with over a ``hot_share``-th of all
+pages (so fewer than ``hot_share`` hosts, a list that is broadcast) is dealt in as many ways as it has such shares.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and the reputation of the empty
 host; without any outcome the share is one half and nothing is blocked; repeated rows count and are judged each; an
 empty table gives an empty result; other columns are ignored.
@@ -36,10 +39,8 @@ class Reputation:
     z: float = 1.645
     least_rho: float = 0.001
     most_rho: float = 0.999
-
-
-def suffix_pattern() -> str:
-    return "(" + "|".join(s.replace(".", "[.]") for s in LONG_SUFFIXES) + ")$"
+    hot_share: int = 1000
+    suffixes: tuple[str, ...] = tuple(LONG_SUFFIXES)
 
 
 def url_parts(url: str) -> tuple[Column, Column]:
@@ -65,18 +66,24 @@ def judged(pages: DataFrame, reputation: Reputation = Reputation()) -> DataFrame
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumns({"rule": rule_of(reputation.rules, lambda a, r: r), "decided": rule_of(reputation.rules, lambda a, r: a)})
     counted = rows.groupBy("host").agg(
-        F.count("decided").cast("double").alias("n"), F.coalesce(F.sum(F.expr("CASE decided WHEN 'block' THEN 1D WHEN 'allow' THEN 0D END")), F.lit(0.0)).alias("bad")
+        F.count("decided").cast("double").alias("n"), F.coalesce(F.sum(F.expr("CASE decided WHEN 'block' THEN 1D WHEN 'allow' THEN 0D END")), F.lit(0.0)).alias("bad"),
+        F.count("*").alias("pages"),
     )
-    long = F.regexp_extract("host", f"([^.]+[.])?{suffix_pattern()}", 0)
+    long = F.substring_index("host", ".", -2).isin(*reputation.suffixes)  # a public suffix of two labels
     hosts = counted.select(
-        "host", "n", "bad",
-        F.when(long != "", F.regexp_extract("host", suffix_pattern(), 0)).otherwise(F.regexp_extract("host", "[^.]*$", 0)).alias("suffix"),
-        F.when(long != "", long).otherwise(F.regexp_extract("host", "([^.]+[.])?[^.]*$", 0)).alias("domain"),
+        "host", "n", "bad", "pages",
+        F.when(long, F.substring_index("host", ".", -2)).otherwise(F.substring_index("host", ".", -1)).alias("suffix"),
+        F.when(long, F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2)).alias("domain"),
     )
     hosts = store.written(hosts, "reputation-hosts")
     known = posteriors(hosts, reputation)
     method = F.when(F.col("bad_bound") > reputation.limit, "block").otherwise("allow")
-    return rows.join(known, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), "bad_mean", "bad_bound")
+    shares = F.col("pages") * reputation.hot_share / F.lit(max(1, hosts.agg(F.sum("pages")).first()[0] or 0))
+    hot = F.broadcast(hosts.where(shares > 1).select("host", F.ceil(shares).cast("int").alias("ways")))  # fewer than hot_share rows
+    ways = F.coalesce("ways", F.lit(1))
+    known = known.join(hot, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), ways - 1))).drop("ways")
+    rows = rows.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "path"), ways).cast("int")).drop("ways")
+    return rows.join(known, ["host", "part"], "left").select("page_id", "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), "bad_mean", "bad_bound")
 
 
 def posteriors(hosts: DataFrame, reputation: Reputation) -> DataFrame:
@@ -117,7 +124,10 @@ def op9_sql(reputation: Reputation = Reputation()) -> str:
         fits.append((f"WHEN (host = '{host}' OR host LIKE '%.{host}') AND path LIKE '/{path}%' THEN ", rule, action))
     rule = "CASE " + " ".join(f"{w}'{r}'" for w, r, _ in fits) + " END"
     decided = "CASE " + " ".join(f"{w}'{a}'" for w, _, a in fits) + " END"
-    long = suffix_pattern()
+    long = ", ".join(map(repr, reputation.suffixes)) or "NULL"
+
+    def labels(n: int) -> str:
+        return f"array_to_string(string_split(host, '.')[-{n}:], '.')"
 
     def level(name: str, source: str, key: str, parent: str, on: str) -> str:
         return f"""
@@ -136,8 +146,8 @@ named AS (
 judged AS (SELECT *, {rule} AS rule, {decided} AS decided FROM named),
 counted AS (SELECT host, count(decided)::DOUBLE AS n, coalesce(sum(CASE decided WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END), 0)::DOUBLE AS bad FROM judged GROUP BY host),
 hosts AS (
-  SELECT *, CASE WHEN regexp_matches(host, '{long}') THEN regexp_extract(host, '{long}') ELSE regexp_extract(host, '[^.]*$') END AS suffix,
-         CASE WHEN regexp_matches(host, '{long}') THEN regexp_extract(host, '([^.]+[.])?{long}') ELSE regexp_extract(host, '([^.]+[.])?[^.]*$') END AS domain FROM counted),
+  SELECT *, coalesce({labels(2)} IN ({long}), false) AS long, CASE WHEN long THEN {labels(2)} ELSE {labels(1)} END AS suffix,
+         CASE WHEN long THEN {labels(3)} ELSE {labels(2)} END AS domain FROM counted),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
 whole AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS mean FROM suffixes),

@@ -55,3 +55,20 @@ def test_shrinkage_needs_evidence(spark):
     urls = [f"http://bad.org/x/{i}" for i in range(60)] + [f"http://good.org/x/{i}" for i in range(60)] + ["http://bad.org/y", "http://good.org/y", "http://new.org/"]
     got = [r.verdict for r in ur.judged(table(spark, urls), ur.Reputation(rules=rules)).orderBy("page_id").collect()][-3:]
     assert got == ["block", "allow", "allow"]
+
+
+def test_hot_hosts_are_dealt_in_ways(spark):
+    urls = [f"http://hot.net/{'es' if i % 2 else 'en'}/{i}" for i in range(300)] + [f"http://h{i}.net/en/" for i in range(60)] + [None, None]
+    plain, dealt = ({r.page_id: r for r in ur.judged(table(spark, urls), ur.Reputation(hot_share=n)).collect()} for n in (1, 50))
+    assert len(plain) == len(dealt) == len(urls) and plain == dealt
+
+
+def test_suffixes_are_a_parameter(spark):
+    urls = [f"http://{h}.example.uk/x" for h in "abc"] + ["http://b.net/es/1"]
+    for suffixes in ((), ("example.uk",)):
+        assert ur.judged(table(spark, urls), ur.Reputation(suffixes=suffixes)).count() == 4
+
+
+def test_very_long_url(spark):
+    got = ur.judged(table(spark, ["http://a.org/" + "x" * 2_000_000, "http://" + "y" * 500_000 + ".org/"])).collect()
+    assert sorted(len(r.path) for r in got) == [1, 2_000_001]
