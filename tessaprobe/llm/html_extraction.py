@@ -16,11 +16,17 @@ more with this decision.
 
 Text: character references decoded, white space runs in a block become one space, blocks are joined by one newline. Menus,
 page headers, footers, asides, forms, scripts, styles, adverts, notices and reader comments are left out, wherever they
-stand (page headers only outside the content).
+stand (page headers only outside the content). An element is such a part by its tag, or by a class, id or role of its own that names
+nothing else (``related-posts``, ``ad_slot``); a name that says more (``related-work``, ``sponsor-interview``) doesn't count.
+
+Bounds: a wrapper reaches ``deepest`` elements down, and a row of it holds ``widest`` elements at most: beyond that its optional
+elements take their tag's key and meet there, so classes that differ from page to page can't make it grow. Pages themselves are
+parsed and read at any depth and width; what the wrapper doesn't know of is judged by the page's own expression.
 
 Defined cases: null or empty html gives an empty text; a url without ``://`` belongs to the empty host; unclosed tags,
-comments and scripts run to where the page ends; repeated rows are read each; an empty table gives an empty result;
-other columns are ignored.
+comments and scripts run to where the page ends; of equally dense elements the outermost, then the first by path is the content;
+repeated rows are read each; a very long page is read whole by one task; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,8 +55,6 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
-DEEPEST = 100
-
 # HTML element kinds, and class or id words of page parts that aren't the article.
 RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,9 +65,18 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre "
     "section table ul".split()
 )
+KNOWN = frozenset(
+    "div section article main header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tr td th blockquote pre figure figcaption form "
+    "details summary address hgroup body html head hr img meta link input".split()
+)
 LEFT_OUT = frozenset(
     "head nav footer aside form script style noscript template iframe svg math button select option textarea menu dialog object audio video canvas title".split()
 )
+OTHER_WORDS = frozenset(
+    "box block section list wrapper wrap container bar content area top bottom left right inline item items inner outer row col column page site global "
+    "post posts article articles story stories link links button buttons icon icons text title slot unit zone panel group holder module component primary "
+    "secondary main form thread entry body js is has small large mobile desktop".split()
+)
 PART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer related recommended share sharing social newsletter subscribe "
@@ -71,10 +85,15 @@ PART_WORDS = frozenset(
 OUTSIDE_WORDS = frozenset("header masthead topbar".split())
 
 
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # for ``deepest`` levels of wrappers
+
+
 @dataclass(frozen=True)
 class Extract:
     constant_pages: int = 10
-    longest_unit: int = 4
+    longest_unit: int = 8
+    deepest: int = 300
+    widest: int = 120
     hosts_held: int = 2000
     salts: int = 16
     broadcast_bytes: int = 16 << 20
@@ -88,15 +107,15 @@ class Node:
 
 
 def key_of(tag: str, attributes: str) -> str:
-    """The element's name, with the words of class, id, role and itemprop; digits don't count."""
+    """The element's name, with its classes, id, role and itemprop: each as its words joined by -; digits don't count."""
     found = []
     for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes and "=" in attributes or "hidden" in attributes else ():
         value = a or b or c
         if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
             found.append("hidden")
         elif name.lower() != "aria-hidden":
-            split = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
-            found += [w for w in re.split(r"[^a-z]+", split.lower()) if w]
+            split = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()
+            found += [w for w in (re.sub(r"[^a-z]+", "-", name).strip("-") for name in split.split()) if w]
     return ".".join([tag, *dict.fromkeys(found)])
 
 
@@ -104,8 +123,15 @@ def parsed(page: str) -> Node:
     """The page's block elements; text and inline markup between them are their own text. An element's pieces of text and its
     child elements keep their order: ``children`` holds strings and nodes."""
     root = Node("#", "#")
-    stack, link, flat = [root], 0, {}
+    stack, link = [root], 0
+    opened: Counter = Counter()  # how many elements of each tag are open
     at, size = 0, len(page)
+
+    def close(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[node.tag] -= 1
+        del stack[depth:]
+
     while at < size:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else size]
@@ -126,14 +152,10 @@ def parsed(page: str) -> Node:
         if m[1]:
             if tag == "a":
                 link = max(0, link - 1)
-            elif tag == "p" and all(n.tag != "p" for n in stack):
-                continue
-            elif flat.get(tag):
-                flat[tag] -= 1
-            elif tag not in INLINE:
+            elif tag not in INLINE and opened[tag]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == tag:
-                        del stack[depth:]
+                        close(depth)
                         link = 0
                         break
             continue
@@ -149,10 +171,10 @@ def parsed(page: str) -> Node:
                     stack[-1].children.append(" ")
             link += tag == "a"
             continue
-        if tag in CLOSES_P and any(n.tag == "p" for n in stack):
+        if tag in CLOSES_P and opened["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
-                    del stack[depth:]
+                    close(depth)
                     link = 0
                     break
         if tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
@@ -162,16 +184,14 @@ def parsed(page: str) -> Node:
                 if stack[depth].tag in barrier:
                     break
                 if stack[depth].tag in alike:
-                    del stack[depth:]
+                    close(depth)
                     link = 0
                     break
-        if len(stack) > DEEPEST:  # an element below this depth lends its text to the one above
-            flat[tag] = flat.get(tag, 0) + (tag not in VOID)
-            continue
         node = Node(tag, key_of(tag, m[3]))
         stack[-1].children.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -180,12 +200,18 @@ def is_part(key: str, inside: bool) -> bool:
     tag, *names = key.split(".")
     if tag in LEFT_OUT or (tag == "header" and not inside):
         return True
-    return any(n in PART_WORDS or n == "hidden" or (not inside and n in OUTSIDE_WORDS) for n in names)
+    for name in names:
+        parts = set(name.split("-"))
+        own = parts & PART_WORDS or (not inside and parts & OUTSIDE_WORDS)
+        if name == "hidden" or (own and parts <= PART_WORDS | OTHER_WORDS | OUTSIDE_WORDS):
+            return True
+    return False
 
 
 def is_article(key: str) -> bool:
     tag, *names = key.split(".")
-    return tag in ("article", "main") or "main" in names and tag != "body" or "articlebody" in names
+    main = any("main" in (parts := set(n.split("-"))) and parts <= OTHER_WORDS for n in names)
+    return tag in ("article", "main") or main and tag != "body" or "articlebody" in names or "article-body" in names
 
 
 # A wrapper node is [key, quantifier, hashes of the different texts that it holds with its children (the ``constant_pages``
@@ -204,13 +230,14 @@ def expression(node: Node, extract: Extract) -> list:
     return described(node, extract)[0]
 
 
-def described(node: Node, extract: Extract) -> tuple[list, int]:
-    """The node's expression, and a hash of its text with its children's, page parts left out."""
+def described(node: Node, extract: Extract, depth: int = 0) -> tuple[list, int]:
+    """The node's expression, and a hash of its text with its children's, page parts left out. Frames are the interpreter's own, no
+    stack of C calls, so ``deepest`` of them are no trouble."""
     own = own_text(node)
     slot, held, children = own_hash(own), [], []
     for c in node.children:
-        if isinstance(c, Node):
-            child, text = described(c, extract)
+        if isinstance(c, Node) and depth < extract.deepest:
+            child, text = described(c, extract, depth + 1)
             children.append(child)
             if text and not is_part(c.key, True):
                 held.append(text)
@@ -235,7 +262,7 @@ def merged(a: list, b: list, extract: Extract) -> list:
 
 
 def folded(children: list, extract: Extract) -> list:
-    """Runs of equal units, of one element or several, become one repeated unit."""
+    """Runs of equal units, of one element or several, become one repeated unit; at most ``widest`` elements are left."""
     for unit in range(1, extract.longest_unit + 1):
         out: list = []
         for child in children:
@@ -256,7 +283,24 @@ def folded(children: list, extract: Extract) -> list:
                 del out[-unit:]
                 group[6] = [merged(x, y, extract) for x, y in zip(group[6], new, strict=True)]
         children = out
-    return children
+    return children if len(children) <= extract.widest else met_by_tag(children, extract)
+
+
+def met_by_tag(children: list, extract: Extract) -> list:
+    """A row that is too long: all elements of one tag meet in one, optional and repeated; unknown tags are one."""
+    met: dict[str, list] = {}
+    for child in children:
+        for c in child[6] if child[0].startswith("(") else [child]:
+            tag = c[0].split(".")[0]
+            tag = tag if tag in KNOWN else "other"
+            own = [tag, *c[1:6], []]  # what such a mixture holds is no row of elements
+            own[3] += sum(x[3] for x in c[6])
+            if tag in met:
+                met[tag] = merged(met[tag], own, extract)
+            else:
+                met[tag] = own
+            met[tag][1] = "*"
+    return list(met.values())
 
 
 def aligned(a: list, b: list, extract: Extract) -> list:
@@ -364,30 +408,44 @@ def text_of(page: Node, decided: dict, extract: Extract, own: bool = False) -> s
     content, constant = set(decided["content"]), decided["constant"]
     blocks: list[str] = []
 
-    def collect(node: Node, path: str, left: dict) -> None:
-        slot = f"{path} {own_hash(own_text(node))}" if left else ""
-        template = left.get(slot, 0)
-        if template:
-            left[slot] -= 1
-        for child in node.children:
-            if isinstance(child, str):
-                line = " ".join(child.split())
+    def collect(top: Node, path: str, left: dict) -> None:
+        waiting: list = [(top, path, False)]  # nodes and pieces of text in page order, the next one last
+        while waiting:
+            node, path, template = waiting.pop()
+            if isinstance(node, str):
+                line = " ".join(node.split())
                 if line and not template:
                     blocks.append(line)
-            elif not is_part(child.key, True):
-                collect(child, f"{path}/{child.key}", left)
-
-    def find(node: Node, path: str) -> None:
-        if path in content:
-            collect(node, path, dict(constant.get(path, ())))
-            return
-        for child in node.children:
-            if isinstance(child, Node) and not is_part(child.key, False):
-                find(child, f"{path}/{child.key}")
+                continue
+            slot = f"{path} {own_hash(own_text(node))}" if left else ""
+            template = left.get(slot, 0) > 0
+            if template:
+                left[slot] -= 1
+            for child in reversed(node.children):
+                if isinstance(child, str):
+                    waiting.append((child, "", template))
+                elif not is_part(child.key, True):
+                    waiting.append((child, f"{path}/{child.key}" if left else "", False))
+
+    def find(wanted) -> None:
+        waiting = [(page, page.key, 0)]
+        while waiting:
+            node, path, depth = waiting.pop()
+            if wanted(node, path):
+                collect(node, path, dict(constant.get(path, ())))
+                continue
+            for child in reversed(node.children):
+                if isinstance(child, Node) and not is_part(child.key, False):
+                    waiting.append((child, f"{path}/{child.key}" if depth < extract.deepest else "", depth + 1))
 
-    find(page, page.key)
+    find(lambda node, path: path in content)
     if not blocks and not own:
         return text_of(page, decision(expression(page, extract), extract), extract, own=True)
+    if not blocks:  # an article deeper than the wrapper reaches, or else all that isn't a page part
+        find(lambda node, path: is_article(node.key))
+    if not blocks:
+        constant = {}
+        find(lambda node, path: node is page)
     return "\n".join(blocks)
 
 

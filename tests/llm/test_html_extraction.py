@@ -86,3 +86,73 @@ def test_wrappers_are_union_free_expressions():
     assert wrapper("<h1>t</h1><p>a</p>", "<p>b</p>") == "<#>(<h1>#text</h1>)?<p>#slot</p></#>"
     assert wrapper("<h2>a</h2><p>x</p><h2>b</h2><p>y</p>") == "<#>((<h2>#slot</h2><p>#slot</p>))+</#>"
     assert wrapper("<p>same</p>", "<p>same</p>") == "<#><p>#text</p></#>"
+
+
+GONE = (
+    "<nav><a href='/'>menu</a></nav>", "<div class='ad'>buy</div>", "<div id='ad_slot_3'>buy</div>", "<aside>side</aside>", "<form><p>sign up</p></form>", "<script>var t='</p>';</script>",
+    "<style>p{}</style>", "<section class='related-posts'><p>other</p></section>", "<ul class=\"share buttons\"><li>share</li></ul>", "<div class='comments'><p>first!</p></div>", "<!-- <p>not</p> -->",
+)
+NAMES = ("related-work", "sponsorInterview", "share-of-wood", "comment-on-law", "body", "lead x9")
+
+
+def random_page(rng, words=("one", "two", "caf&eacute;", "a &lt; b", "<b>bold</b>", "<a href='x'>link</a>")):
+    """(html, text): a random tree of blocks in an article, parts that don't belong to it strewn in."""
+    blocks = []
+
+    def text():
+        own = [rng.choice(words) for _ in range(rng.randrange(1, 9))]
+        plain = " ".join(own)
+        for a, b in (("&eacute;", "é"), ("&lt;", "<"), ("<b>", ""), ("</b>", ""), ("<a href='x'>", ""), ("</a>", "")):
+            plain = plain.replace(a, b)
+        blocks.append(plain)
+        return rng.choice((" ", "\n", "\t ")).join(own)
+
+    def tree(depth):
+        out = ""
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.randrange(6)
+            if kind == 0 and depth:
+                n = rng.choice((1, 1, 2, 150))
+                out += f"<div class='{rng.choice(NAMES)}'>" * n + tree(depth - 1) + "</div>" * n
+            elif kind == 1:
+                out += "<ul>" + "".join(f"<li>{text()}" for _ in range(rng.randrange(1, 7))) + "</ul>"
+            elif kind == 2:
+                out += rng.choice(GONE)
+            elif kind == 3:
+                out += f"<blockquote>{text()}</blockquote>"
+            else:
+                out += f"<p>{text()}" + rng.choice(("", "</p>"))
+        return out
+
+    body = f"<article><h1>{text()}</h1>{tree(4)}<p>{text()}</p></article>"
+    around = "<header><h1>site</h1></header>" + rng.choice(GONE)
+    return f"<html><head><title>t</title></head><body>{around}{'<div>' * 5}{body}{'</div>' * 5}{rng.choice(GONE)}<footer>foot</footer></body></html>", "\n".join(blocks)
+
+
+def test_random_trees_equal_what_was_put_in(spark):
+    import random
+
+    rng = random.Random(4)
+    pages = [(i, f"http://h{i % 40}.org/{i}", *random_page(rng)) for i in range(200)]
+    got = {r.page_id: r.text for r in hx.extracted(spark.createDataFrame([p[:3] for p in pages], "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == text for i, _, _, text in pages), next((got[i], text) for i, _, _, text in pages if got[i] != text)
+
+
+def test_depth_and_width_have_no_end(spark):
+    deep = "<div>" * 2000 + "<p>one</p><nav>menu</nav><div class='ad'>buy</div><p>two</p>" + "</div>" * 2000
+    pages = [
+        (1, "http://d.org/", f"<body><nav>m</nav><article>{deep}</article></body>"), (2, "http://e.org/", f"<body>{'<div>' * 2000}<article><p>one</p><nav>m</nav><p>two</p></article></body>"),
+        (3, "http://w.org/", "<body><article>" + "".join(f"<p class='c{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}'>t{i}</p>" for i in range(3000)) + "</article></body>"),
+        (4, None, "<p>word " * 50_000),
+    ]
+    got = {r.page_id: r.text for r in hx.extracted(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == got[2] == "one\ntwo" and got[3] == "\n".join(f"t{i}" for i in range(3000)) and got[4] == "\n".join(["word"] * 50_000)
+
+
+def test_wrappers_of_changing_classes_stay_small():
+    extract, whole = hx.Extract(), None
+    for k in range(80):
+        page = "<article>" + "".join(f"<p class='c{chr(97 + k % 26)}{chr(97 + j % 26)}{chr(97 + k * j % 26)}'>t{k} {j}</p>" for j in range(60)) + "</article>"
+        new = hx.expression(hx.parsed(page), extract)
+        whole = new if whole is None else hx.merged(whole, new, extract)
+    assert len(hx.json.dumps(whole)) < 50_000
