@@ -35,6 +35,9 @@ from pyspark.sql import functions as F
 from tessaprobe.llm import store, words
 
 
+ELEMENTS = 1 << 18  # of a text are drawn at a time, m bytes each
+
+
 @dataclass(frozen=True)
 class Near:
     size: int = 3
@@ -76,6 +79,14 @@ def super_minhash(values: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
     n = len(starts) - 1
     out = np.full(n * m, np.iinfo(np.uint64).max, np.uint64)
     owners = words.owner(starts)
+    for a in range(0, len(values), ELEMENTS):
+        lowered(out, values[a : a + ELEMENTS], owners[a : a + ELEMENTS], m)
+    return out.reshape(n, m)
+
+
+def lowered(out: np.ndarray, values: np.ndarray, owners: np.ndarray, m: int) -> None:
+    """Lower the registers ``out`` (of all sets, in a row) by some elements; what is full by earlier ones stops the sooner."""
+    first, last = int(owners[0]), int(owners[-1]) + 1
     live = np.arange(len(values))
     order = np.broadcast_to(np.arange(m, dtype=np.uint16 if m > 256 else np.uint8), (len(values), m)).copy()
     for j in range(m):
@@ -87,9 +98,8 @@ def super_minhash(values: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
         order[live, k] = order[live, j]
         rank = np.uint64(j) << np.uint64(40)
         np.minimum.at(out, owners[live] * m + register, rank | (draw & np.uint64((1 << 40) - 1)))
-        waits = out.reshape(n, m).max(axis=1) > (np.uint64(j + 1) << np.uint64(40))
-        live = live[waits[owners[live]]]
-    return out.reshape(n, m)
+        waits = out.reshape(-1, m)[first:last].max(axis=1) > (np.uint64(j + 1) << np.uint64(40))
+        live = live[waits[owners[live] - first]]
 
 
 def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -183,22 +193,25 @@ def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     signed = store.written(_signed(docs, near), "near-signed")
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).where("id is not null")
+    classes = full.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
+    classes = classes.where("id is not null")
     classes = store.written(classes, "near-classes")
     banded = classes.select("id", F.explode("bands").alias("band"))
-    first = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-    near_by = banded.join(first, "band").where("id > lead").select(F.col("id").alias("u"), F.col("lead").alias("v"))
+    first = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("n")).where("lead < last").drop("last")
+    near_by = store.joined_by_share(banded, first, ["band"], classes.count() * near.bands, F.xxhash64("id"))
+    near_by = near_by.where("id > lead").select(F.col("id").alias("u"), F.col("lead").alias("v"))
     members = store.components(near_by, "near-candidates")
     members = store.written(
-        members.select(F.col("node").alias("id"), F.col("root").alias("place")).join(classes.drop("bands", "n_shingles"), "id"), "near-members"
+        members.select(F.col("node").alias("id"), F.col("root").alias("place")).join(classes.drop("bands", "n_shingles", "rows"), "id"), "near-members"
     )
     links = _verified(docs, members, near)
     found = store.components(links, "near-links").select(F.col("node").alias("id"), "root")
     named = classes.drop("bands").join(found, "id", "left").select(
-        "one", "two", "n_shingles", F.coalesce("root", "id").alias("component")
+        "one", "two", "n_shingles", F.coalesce("root", "id").alias("component"), F.col("rows").alias("n")
     )
+    keys = ["one", "two", "n_shingles"]
     return (
-        signed.drop("bands").join(named, ["one", "two", "n_shingles"], "left")
+        store.joined_by_share(signed.drop("bands"), named, keys, signed.count(), F.xxhash64("doc_id"), "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
