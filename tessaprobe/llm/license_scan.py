@@ -2,8 +2,7 @@
 
 The index holds, for every word of the licence templates, its postings (template, place). Over all documents the document
 frequency of these words is counted; the ``rare`` words of highest idf in each template's key phrase are its anchors. A document
-looks up the anchors that it holds, the ``looked_up`` of highest idf among them (more than there are anchors, so none is
-passed over); for each template the places where two of its
+looks up all anchors that it holds, those of highest idf first; for each template the places where two of its
 anchors (one, if the document holds only one) stand as in the template give the offsets at which the template may lie,
 and there all its words are compared: a template is found where its key phrase stands word for word and at least
 ``cover`` per cent of its words agree. Everything happens within the row, so no text and no posting list is shuffled.
@@ -43,14 +42,38 @@ TEMPLATES = (
     ("cc0", "licensed under [cc0 1 0]"),
     ("isc", "[permission to use copy modify and or distribute this software for any purpose] with or without fee is hereby granted"),
     ("unlicense", "this is [free and unencumbered software released into the public domain]"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the "
+        "software without restriction including without limitation the rights to use copy modify merge publish distribute [sublicense and or sell copies of the software]",
+    ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may [not use this file except in compliance with the license] you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the [gnu general public license as published by the free software foundation]",
+    ),
+    (
+        "bsd",
+        "[redistributions of source code must retain the above copyright notice] this list of conditions and the following disclaimer",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty [in no event will the authors be held liable for any damages] arising from the use of this software",
+    ),
+    ("boost-1.0", "distributed under the [boost software license version 1 0]"),
+    ("epl-2.0", "made available under the terms of the [eclipse public license 2 0]"),
 )
 
 
 @dataclass(frozen=True)
 class Scan:
     rare: int = 3
-    looked_up: int = 64
     cover: int = 80
+    templates: tuple[tuple[str, str], ...] = TEMPLATES
 
 
 @dataclass(frozen=True)
@@ -61,9 +84,9 @@ class Template:
     last: int
 
 
-def templates() -> list[Template]:
+def parsed(templates: tuple[tuple[str, str], ...]) -> list[Template]:
     out = []
-    for label, text in TEMPLATES:
+    for label, text in templates:
         before, key, after = (x.split() for x in text.replace("]", "[").split("["))
         out.append(Template(label, (*before, *key, *after), len(before), len(before) + len(key) - 1))
     return out
@@ -82,9 +105,9 @@ def lowered(text: str) -> Column:
     )
 
 
-def frequencies(rows: DataFrame) -> dict[str, int]:
-    """Document frequency of each template word; at most as many rows as the templates have words."""
-    vocabulary = sorted({w for t in templates() for w in t.words})
+def frequencies(rows: DataFrame, templates: list[Template]) -> dict[str, int]:
+    """Document frequency of each word that could be an anchor; at most as many rows as the key phrases have words."""
+    vocabulary = sorted({w for t in templates for w in t.words[t.first : t.last + 1]})
     held = F.array_intersect(F.split("spaced", " "), F.array(*map(F.lit, vocabulary)))
     return {r["word"]: r["n"] for r in rows.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
 
@@ -97,10 +120,10 @@ def _array(values) -> str:
     return "array(" + ", ".join(values) + ")"
 
 
-def template_array(order: dict[str, tuple], scan: Scan) -> str:
+def template_array(templates: list[Template], order: dict[str, tuple], scan: Scan) -> str:
     """The index as a SQL literal: per template its words, key phrase bounds, anchors and the anchors' postings."""
     rows = []
-    for t in templates():
+    for t in templates:
         own = anchors(t, order, scan.rare)
         posts = [f"named_struct('word', '{w}', 'place', {i})" for i, w in enumerate(t.words) if w in own]
         quoted = [f"'{w}'" for w in t.words]
@@ -121,9 +144,10 @@ def _offsets(anchor: str) -> str:
 def scanned(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), spaced("text").alias("spaced"))
-    count = frequencies(rows)
-    order = {w: (count.get(w, 0), w) for t in templates() for w in t.words}  # highest idf first
-    wanted = sorted({w for t in templates() for w in anchors(t, order, scan.rare)}, key=order.__getitem__)
+    templates = parsed(scan.templates)
+    count = frequencies(rows, templates)
+    order = {w: (count.get(w, 0), w) for t in templates for w in t.words[t.first : t.last + 1]}  # highest idf first, equal ones by word
+    wanted = sorted({w for t in templates for w in anchors(t, order, scan.rare)}, key=order.__getitem__)
     any_anchor = F.lit(False)
     for word in [*wanted, *(p for p, _ in BASE)]:
         any_anchor = any_anchor | F.col("spaced").contains(f" {word} ")
@@ -142,11 +166,11 @@ def scanned(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
     best = f"array_max(transform({two}, o -> CASE WHEN {whole} THEN {agree} / size(t.words) ELSE 0D END))".replace(
         "own[", "filter(t.anchors, w -> array_contains(held, w))["
     ).replace("size(own)", "size(filter(t.anchors, w -> array_contains(held, w)))")
-    index = template_array(order, scan)
+    index = template_array(templates, order, scan)
     out = (
         rows.withColumn("touched", any_anchor)
         .withColumn("words", F.expr(words))
-        .withColumn("held", F.expr(f"CASE WHEN touched THEN slice(filter({_array(repr(w) for w in wanted)}, w -> array_contains(words, w)), 1, {scan.looked_up}) END"))
+        .withColumn("held", F.expr(f"CASE WHEN touched THEN filter({_array(repr(w) for w in wanted)}, w -> array_contains(words, w)) END"))
         .withColumn(
             "hits",
             F.expr(
@@ -181,7 +205,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sql(scan: Scan = Scan()) -> str:
     """The registered query in DuckDB's SQL: every template word meets every equal word of a text, grouped by offset."""
     rows = [
-        f"('{t.label}', {k}, {len(t.words)}, {t.last - t.first + 1}, {i}, '{w}', {t.first <= i <= t.last})" for k, t in enumerate(templates()) for i, w in enumerate(t.words)
+        f"('{t.label}', {k}, {len(t.words)}, {t.last - t.first + 1}, {i}, '{w}', {t.first <= i <= t.last})" for k, t in enumerate(parsed(scan.templates)) for i, w in enumerate(t.words)
     ]
     base = [f"('{label}', {len(p.split())}, {i}, '{w}')" for p, label in BASE for i, w in enumerate(p.split())]
     return f"""

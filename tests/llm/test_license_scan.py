@@ -25,7 +25,7 @@ def brute(text):
 def brute_labels(text):
     """Every template at every place, without an index."""
     words, out = WORD.findall(lower(text)), set(filter(None, brute(text)[4].split(",")))
-    for t in ls.templates():
+    for t in ls.parsed(ls.TEMPLATES):
         for o in range(-len(t.words), len(words)):
             at = [words[o + i] if 0 <= o + i < len(words) else None for i in range(len(t.words))]
             agree = sum(a == b for a, b in zip(at, t.words, strict=True)) / len(t.words)
@@ -57,3 +57,13 @@ def test_equal_to_brute_force(documents):
 
 def test_empty_table(documents):
     assert ls.scanned(documents([])).collect() == []
+
+
+def test_every_template_is_found_in_full_text_and_templates_are_a_parameter(documents):
+    rows = [(i, f"{invented(i, 20)} {text.replace('[', '').replace(']', '')} {invented(i + 1, 20)}") for i, (_, text) in enumerate(ls.TEMPLATES)]
+    got = {g.doc_id: g.labels for g in ls.scanned(documents(rows)).collect()}
+    assert all(ls.TEMPLATES[i][0] in labels.split(",") and labels == brute_labels(rows[i][1]) for i, labels in got.items())
+    many = tuple((f"own-{i}", f"{invented(900 + i, 4)} [{invented(100 + i, 5, 10**6)}] {invented(800 + i, 4)}") for i in range(90))
+    rows = [(i, f"x {text.replace('[', '').replace(']', '')} y") for i, (_, text) in enumerate(many)] + [(500, " ".join(t.replace("[", "").replace("]", "") for _, t in many))]
+    got = {g.doc_id: g.labels for g in ls.scanned(documents(rows), ls.Scan(templates=many)).collect()}
+    assert all(got[i] == f"own-{i}" for i in range(90)) and set(got[500].split(",")) == {t for t, _ in many}
