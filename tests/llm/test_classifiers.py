@@ -114,3 +114,20 @@ def test_sample_is_bounded_and_deterministic(spark):
     labels = labelled(spark, [(i, i % 2, 0) for i in range(200)] + [(3, 0, 0), (None, 1, 1)])
     a, b = (sorted(map(tuple, linear.labelled_sample(labels, "quality", 5, 20).collect())) for _ in range(2))
     assert a == b and len(a) == 40 and all(zlib.crc32(str(i).encode()) % 5 for i, _ in a)
+
+
+@pytest.mark.parametrize("operator", [toxicity, quality_classifier])
+def test_empty_tables_repeats_and_long_texts(spark, documents, operator):
+    def classified(docs, labels):
+        return operator.classified(docs, labels) if operator is toxicity else operator.classified(docs, docs, labels)
+
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)] * 2, "doc_id bigint, quality int, toxic int")
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert classified(documents([], ("label", "row", "id")), labels).collect() == []
+    texts = {i: f"{'vile awful' if i % 2 else 'kind calm'} {i} words w{i % 7}" for i in range(60)}
+    plain = documents(list(texts.items()), ("label", "row", "id"))
+    often = documents(list(texts.items()) + [(7, texts[7])] * 500 + [(None, "vile"), (900, None), (901, "vile " * 400_000)], ("label", "row", "id"))
+    one, two = ({r.doc_id: round(r.score, 9) for r in classified(d, labels).collect()} for d in (plain, often))
+    assert all(two[i] == s for i, s in one.items()), "an id counts once in the fit"
+    assert 0 <= two[900] <= 1 and 0 <= two[901] <= 1 and None in two
+    assert {r.score for r in classified(plain, none).collect()} == {0.5}

@@ -103,3 +103,23 @@ def test_nulls_repeats_and_empty(documents, spark):
     stay = nd.one_of_each(documents(rows)).collect()
     assert sorted(r.doc_id for r in stay if r.doc_id is not None) == [5, 7, 8]
     assert nd.grouped(documents([])).collect() == []
+
+
+def test_shares_of_keys_are_dealt_and_nothing_is_lost(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0, i) for i in range(300)] + [(k, k) for k in range(1, 50)] + [(99, 1)], "k int, v int")
+    one = rows.where("k <> 99").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(one.drop("n"), "k", how).collect()))
+        assert sorted(map(str, nd.store.joined_by_share(rows, one, ["k"], 350, F.xxhash64("v"), how, 20).collect())) == want
+
+
+def test_signatures_in_pieces_are_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 40, 3000, 7, 0, 500]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    values = rng.integers(0, 1 << 63, starts[-1]).astype(np.uint64)
+    whole = nd.super_minhash(values, starts, 224)
+    monkeypatch.setattr(nd, "ELEMENTS", 97)
+    assert (nd.super_minhash(values, starts, 224) == whole).all()

@@ -58,3 +58,28 @@ def test_run_gives_the_same(spark, tables):
     folder, _ = tables
     got = corpus_pipeline.run(spark, folder).groupBy("doc_id").sum("length").count()
     assert 150 <= got <= 205
+
+
+EXTRA = ("key", "row", "part", "n", "text_key", "kept", "removed", "id", "band", "item_id", "place", "label")
+
+
+def test_empty_tables_and_clashing_columns(spark, documents, tables, tmp_path):
+    folder, texts = tables
+    rows = [(i, t, "h") for i, t in texts.items() if i < 40] + [(700, None, None), (701, "", "h"), (None, invented(1, 70, 5000), "h"), (3, texts[3], "h"), (702, "a b " * 50_000, None)]
+    none = str(tmp_path / "none")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{none}/benchmark.parquet")
+    documents([]).write.parquet(f"{none}/documents.parquet")
+    for name, docs, where in (("rows", documents(rows, EXTRA), folder), ("empty", documents([], EXTRA), folder), ("unlabelled", documents(rows, EXTRA), none), ("nothing", documents([], EXTRA), none)):
+        columns, ids = docs.columns, [r[0] for r in rows]
+        for stage, fn in corpus_pipeline.STAGES[:-1]:
+            fn(spark, docs, where).write.parquet(str(tmp_path / name / stage))
+            docs = spark.read.parquet(str(tmp_path / name / stage))
+            assert docs.columns == columns
+        kept = [r.doc_id for r in docs.collect()]
+        if name in ("empty", "nothing"):
+            assert kept == [] and corpus_pipeline.STAGES[-1][1](spark, docs, where).collect() == []
+        else:
+            assert set(kept) <= set(ids) and set(range(40)) <= set(kept) | {i for i in range(40) if name == "unlabelled"}
+            assert kept.count(3) <= 1 and not {700, 701, 702} & set(kept)
+            assert {p.doc_id for p in corpus_pipeline.STAGES[-1][1](spark, docs, where).collect()} == set(kept)
