@@ -11,6 +11,7 @@ from tessaprobe.functions import exprs, stats
 from tessaprobe.functions.constants import BLOCK_ORDER, BLOCKS, representative_layers
 from tessaprobe.operators import evaluation, manifold, represent, sampling, signal
 from tessaprobe.sources import tables
+from tessaprobe.sources.shared import written
 
 
 def utterance_profile(facts: DataFrame) -> DataFrame:
@@ -44,7 +45,8 @@ def cross_model(facts: DataFrame) -> DataFrame:
 
 
 def trend_statistics(fits: DataFrame) -> DataFrame:
-    """Per model: how slopes and intercepts of its layers go together."""
+    """Per model: how slopes and intercepts of its layers go together. Fits are few rows of many facts: written once, used twice."""
+    fits = written(fits, "fits")
     keys = ["model_name"]
     rho = stats.spearman(fits, keys, "slope", "intercept")
     main = fits.groupBy(*keys).agg(
