@@ -13,7 +13,7 @@ from tessaprobe.llm.license_scan import op3_license_scan, op3_sql
 from tessaprobe.llm.near_dup import op7_minhash_near_dedup
 from tessaprobe.llm.packing import op5_packing
 from tessaprobe.llm.quality_classifier import op10_quality_classifier
-from tessaprobe.llm.quality_rules import op6_quality_rules
+from tessaprobe.llm.quality_rules import op6_quality_rules, op6_sql
 from tessaprobe.llm.toxicity import op4_toxicity
 from tessaprobe.llm.url_reputation import op9_sql, op9_url_reputation
 
@@ -36,5 +36,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_license_scan": op3_sql(),
+        "op6_quality_rules": op6_sql(),
         "op9_url_reputation": op9_sql(),
     }

@@ -7,8 +7,8 @@ are removed; a document that loses too much is rejected as depleted.
 What counts as a distinct document: copies say nothing about boilerplate, so documents are counted by their own lines,
 those that no more than ``line_documents`` rows of the host carry: by a hash of all of them, which exact copies share and
 pages of one template don't. A document whose own lines hold less than ``own_percent`` of its words is a copy or near copy
-(at 10 per cent, two such documents share four fifths) and counts by the rarest of its shared lines, so a cluster of copies
-counts about once. Lines under ``min_line_words`` words count as well, with limits ``short_factor`` times as high.
+(at 10 per cent, two such documents share four fifths) and counts by the rarest of its shared lines, the first of equally rare
+ones, so a cluster of copies counts about once. Lines under ``min_line_words`` words count as well, with limits ``short_factor`` times as high.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null host is a host of its own; repeated
 rows get the same verdict each; an empty table gives an empty result; columns beside the ones named are ignored.
@@ -147,8 +147,8 @@ def prepared(docs: DataFrame, host: str = "source") -> DataFrame:
 def judged(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
     """One row per row of ``docs``: STATS without the line arrays, plus base_failed, removed_words, removed (hashes), kept."""
     stats = store.written(prepared(docs, host).mapInArrow(statistics, STATS), "quality-stats")
-    lines = stats.select("text_key", "host", "n_words", "all_lines", F.explode(F.arrays_zip("line_hash", "line_size", "line_words")).alias("x")).select(
-        "text_key", "host", "n_words", "all_lines", F.col("x.line_hash").alias("line"), F.col("x.line_size").alias("size"), F.col("x.line_words").alias("n")
+    lines = stats.select("text_key", "host", "n_words", "all_lines", F.posexplode(F.arrays_zip("line_hash", "line_size", "line_words")).alias("place", "x")).select(
+        "text_key", "host", "n_words", "all_lines", "place", F.col("x.line_hash").alias("line"), F.col("x.line_size").alias("size"), F.col("x.line_words").alias("n")
     )
     # lines of many rows, copies included: what the rest of a document is measured against
     shared = lines.groupBy(F.col("host").alias("s_host"), F.col("line").alias("s_line")).agg(F.count("*").alias("rows")).where(F.col("rows") > limits.line_documents)
@@ -157,7 +157,7 @@ def judged(docs: DataFrame, host: str = "source", limits: Limits = Limits()) ->
     # a set, as repeated rows bring a line again; one row per text, its lines' hashes beside it
     carriers = carried.groupBy("text_key").agg(
         F.first("host").alias("host"), F.first("n_words").alias("n_words"), F.first("all_lines").alias("all_lines"),
-        F.collect_set(F.struct("rows", "line", "size", "n")).alias("shared"),
+        F.collect_set(F.struct("rows", "place", "line", "size", "n")).alias("shared"),
     )
     shared_words = F.aggregate("shared", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     own_lines = F.aggregate("shared", F.col("all_lines"), lambda a, x: a.bitwiseXOR(x["line"]))
@@ -234,3 +234,50 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(store.table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
     )
+
+
+def op6_sql(limits: Limits = Limits()) -> str:
+    """The registered query in DuckDB's SQL, on the lines themselves in place of hashes."""
+    word = r"'[^\x20\x09-\x0D]+'"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {word}) AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+five AS (
+  SELECT r, i, [word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o] AS five, lead(word, 4) OVER o AS fifth
+  FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM five WHERE fifth IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, five) > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(5) AS x(k) GROUP BY r),
+x AS (SELECT r, host, unnest(string_split(t, chr(10))) AS raw, unnest(range(len(string_split(t, chr(10))))) AS place FROM d),
+l AS (
+  SELECT r, host, raw, place, len(regexp_extract_all(raw, {word})) AS size,
+    translate(array_to_string(regexp_extract_all(raw, {word}), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line FROM x),
+dup AS (SELECT r, count(*) - count(DISTINCT raw) AS n FROM l WHERE size > 0 GROUP BY r),
+g AS (SELECT r, host, line, min(place) AS place, min(size) AS size, sum(size) AS n FROM l WHERE size > 0 GROUP BY r, host, line),
+m AS (SELECT g.*, count(*) OVER (PARTITION BY host, line) AS same FROM g),
+own AS (
+  SELECT r, sum(n) AS n_words, coalesce(sum(n) FILTER (same > {limits.line_documents}), 0) AS shared_words,
+    arg_min(line, same * 4294967296 + place) FILTER (same > {limits.line_documents}) AS rarest,
+    list(line ORDER BY line) FILTER (same <= {limits.line_documents}) AS own_lines
+  FROM m GROUP BY r),
+kinds AS (
+  SELECT r, CASE WHEN 100 * (n_words - shared_words) < {limits.own_percent} * n_words THEN [rarest] ELSE own_lines END AS kind,
+    100 * (n_words - shared_words) < {limits.own_percent} * n_words AS copy FROM own),
+sizes AS (SELECT host, count(*) AS documents FROM d GROUP BY host),
+seen AS (
+  SELECT host, line, count(*) AS documents, CASE WHEN min(size) < {limits.min_line_words} THEN {limits.short_factor} ELSE 1 END AS factor
+  FROM (SELECT DISTINCT host, line, size, copy, kind FROM m JOIN kinds USING (r) WHERE same > {limits.line_documents}) GROUP BY host, line),
+frequent AS (
+  SELECT seen.host, line FROM seen JOIN sizes ON seen.host IS NOT DISTINCT FROM sizes.host
+  WHERE seen.documents > factor * {limits.line_documents} AND seen.documents > factor * sizes.documents * {limits.line_percent}::DOUBLE / 100),
+lost AS (
+  SELECT r, sum(n) AS removed FROM m JOIN frequent ON m.line = frequent.line AND m.host IS NOT DISTINCT FROM frequent.host GROUP BY r),
+counted AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r) LEFT JOIN lost USING (r)),
+failed AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.repeat_percent} * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
+  NOT base_failed AND NOT (100 * removed_words > {limits.depleted_percent} * n_words OR (removed_words > 0 AND n_words - removed_words < {limits.min_words})) AS kept
+FROM failed"""

@@ -1,6 +1,9 @@
+import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from tessaprobe.llm import quality_rules as q
@@ -81,6 +84,25 @@ def test_copies_count_once(documents):
     assert all(got[100 + i].removed_words == 8 and got[100 + i].kept for i in range(900)), "30 near-copied texts carry the line"
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_equals_sql(seed, documents):
+    rng = random.Random(seed)
+    frame = [invented(900 + k, rng.randrange(1, 12), 9999) for k in range(12)]
+    rows = [(i, "\n".join([*rng.sample(frame, rng.randrange(6)), *(invented(100 * i + k, rng.randrange(1, 30), 9999) for k in range(rng.randrange(4)))]), "h") for i in range(400)]
+    base = [invented(50 + k, 12, 9999) for k in range(8)]
+    rows += [(500 + i, "\n".join(x for x in [*base, frame[0].upper() + "  "] if rng.random() < 0.95), rng.choice([None, "h", "k"])) for i in range(150)]
+    rows += [(700 + i, t) for i, t in enumerate(ODD)] + rows[:60] + [(None, frame[1], None)] * 30
+    df = documents(rows)
+    got = q.judged(df).collect()
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows], "source": [r[2] if len(r) > 2 else "s" for r in rows]})
+    con = duckdb.connect()
+    con.register("documents", table)
+    found = con.execute(q.op6_sql())
+    names = [d[0] for d in found.description]
+    assert Counter(tuple(r[c] for c in names) for r in got) == Counter(found.fetchall())
+    assert sum(r.removed_words > 0 for r in got) > 100 and 0 < sum(r.kept for r in got) < len(got)
+
+
 def test_empty_table(documents):
     assert q.judged(documents([])).collect() == [] and q.cleaned(documents([])).collect() == []
 
