@@ -9,9 +9,11 @@ Plan:
 2. equal sets collapse into one class, named by its smallest doc_id;
 3. classes that share a band are joined to the band's smallest member, and the components of these candidate links
    are *neighbourhoods*: unverified, but every true link lies within one of them;
-4. only members of neighbourhoods are read again; each neighbourhood is dealt into blocks of ``block`` documents and
-   every pair of blocks is one task's work: exact intersections by a matrix product, of which a spanning forest of the
-   verified links is kept. So a large group is many small tasks, and no list of all its pairs exists;
+4. only members of neighbourhoods are read again and dealt into blocks of ``block`` documents. A block is compared with itself
+   and with up to ``pivots`` members that all blocks of the neighbourhood get; intersections are exact, by a matrix product, and a
+   spanning forest of the links is kept. Members tied to the pivots' largest group are settled, as pairs within one group
+   decide nothing. Only the others meet the neighbourhood's other blocks. So a group of n near copies costs n * ``block``
+   comparisons in n / ``block`` tasks, m outsiders of it n * m more, and no list of all pairs exists;
 5. components of the verified links give the groups.
 
 SuperMinHash: element e gives register pi_e(j) the value (j, r_j), pi_e a permutation drawn step by step; a document
@@ -45,6 +47,7 @@ class Near:
     bands: int = 32
     rows: int = 7
     block: int = 256
+    pivots: int = 16
     broadcast_ids: int = 1_000_000  # member lists up to this many rows (at most 40 MB) are broadcast, longer ones shuffled
 
 
@@ -145,17 +148,9 @@ def _signed(docs: DataFrame, near: Near) -> DataFrame:
     )
 
 
-def spanning_links(group: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one pair of blocks: within a block if it stands alone, else across the two."""
-    ids = group.column("id").to_numpy()
-    own = group.column("own").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+def linked_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of ``left`` and ``right`` (places in ``sets``) are linked, as a symmetric matrix over all sets."""
     sizes = np.array([len(x) for x in sets], np.int64)
-    across = group.column("bi")[0].as_py() != group.column("bj")[0].as_py()
-    left = np.flatnonzero(own == group.column("bi")[0].as_py())
-    right = np.flatnonzero(own == group.column("bj")[0].as_py()) if across else left
-    if not len(left) or not len(right) or len(ids) < 2:
-        return []
     owners = np.repeat(np.arange(len(sets)), sizes)
     _, code, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.cumsum(counts > 1) - 1
@@ -173,20 +168,71 @@ def spanning_links(group: pa.Table, percent: int) -> list[tuple[int, int]]:
     joined = sizes[left][:, None] + sizes[right][None, :] - common
     linked = np.zeros((len(sets), len(sets)), bool)
     linked[np.ix_(left, right)] = 100 * common >= percent * joined
-    linked |= linked.T
-    found, fresh = [], np.ones(len(sets), bool)
-    for seed in range(len(sets)):
-        if not fresh[seed]:
+    return linked | linked.T
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Components of a symmetric matrix (each named by its first place) and the links of a spanning forest."""
+    name = np.full(len(linked), -1)
+    found: list[tuple[int, int]] = []
+    for seed in range(len(linked)):
+        if name[seed] >= 0:
             continue
-        fresh[seed] = False
+        name[seed] = seed
         queue = [seed]
         while queue:
             at = queue.pop()
-            new = np.flatnonzero(linked[at] & fresh)
-            fresh[new] = False
-            found += [(int(ids[at]), int(ids[x])) for x in new]
+            new = np.flatnonzero(linked[at] & (name < 0))
+            name[new] = seed
+            found += [(at, int(x)) for x in new]
             queue += new.tolist()
-    return found
+    return name, found
+
+
+def arrow_sets(group: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+
+
+def without_repeats(group: pa.Table, kind: str) -> pa.Table:
+    """Rows of repeated documents go; different texts of one id stay."""
+    rows = list(zip(*(group.column(c).to_pylist() for c in ("id", kind, "shingles")), strict=True))
+    return group.take(pa.array(list({row: i for i, row in enumerate(rows)}.values()), pa.int64()))
+
+
+def links_of_block(group: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """FIRST of one block with its neighbourhood's pivots: a spanning forest of its links, and the block's members that are not tied
+    to the pivots' largest group (which all blocks find alike, by the pivots alone)."""
+    group = without_repeats(group, "pivot")
+    ids, own, pivot = (group.column(c).to_numpy() for c in ("id", "own", "pivot"))
+    every = np.arange(len(ids))
+    linked = linked_sets(arrow_sets(group), every, every, percent)
+    name, found = forest(linked)
+    rest = np.empty(0, np.int64)
+    if pivot.any():
+        at = np.flatnonzero(pivot)
+        among, _ = forest(linked[np.ix_(at, at)])
+        settled = name == name[at[np.bincount(among).argmax()]]
+        rest = np.flatnonzero(~settled & (own == group.column("dealt")[0].as_py()))
+    u = np.concatenate([ids[[a for a, _ in found]], ids[rest]]) if len(found) else ids[rest]
+    v = [int(ids[b]) for _, b in found] + [None] * len(rest)
+    shingles = [None] * len(found) + group.column("shingles").take(pa.array(rest)).to_pylist()
+    place, blocks = (np.full(len(u), group.column(c)[0].as_py()) for c in ("place", "blocks"))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(place, pa.int64()), pa.array(blocks, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(shingles, pa.binary())],
+        names=["place", "blocks", "u", "v", "shingles"],
+    )
+
+
+def links_across(group: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """u, v: a spanning forest of the links between a block's members and unsettled ones."""
+    group = without_repeats(group, "unsettled")
+    ids, unsettled = group.column("id").to_numpy(), group.column("unsettled").to_numpy()
+    found = forest(linked_sets(arrow_sets(group), np.flatnonzero(unsettled), np.flatnonzero(~unsettled), percent))[1]
+    u, v = (pa.array([int(ids[link[side]]) for link in found], pa.int64()) for side in (0, 1))
+    yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
+
+
+FIRST = "place bigint, blocks int, u bigint, v bigint, shingles binary"
 
 
 def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -198,13 +244,16 @@ def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     classes = store.written(classes, "near-classes")
     banded = classes.select("id", F.explode("bands").alias("band"))
     first = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("n")).where("lead < last").drop("last")
-    near_by = store.joined_by_share(banded, first, ["band"], classes.count() * near.bands, F.xxhash64("id"))
+    total = classes.count()
+    near_by = store.joined_by_share(banded, first, ["band"], total * near.bands, F.xxhash64("id"))
     near_by = near_by.where("id > lead").select(F.col("id").alias("u"), F.col("lead").alias("v"))
-    members = store.components(near_by, "near-candidates")
-    members = store.written(
-        members.select(F.col("node").alias("id"), F.col("root").alias("place")).join(classes.drop("bands", "n_shingles", "rows"), "id"), "near-members"
-    )
-    links = _verified(docs, members, near)
+    placed = store.components(near_by, "near-candidates").select(F.col("node").alias("id"), F.col("root").alias("place"))
+    sizes = placed.groupBy("place").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / near.block).cast("int"))
+    placed = store.joined_by_share(placed, sizes, ["place"], total, F.xxhash64("id"))
+    pivots = placed.where("blocks > 1").groupBy("place", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(near.pivots))).agg(F.min_by("id", F.xxhash64("id")).alias("id"))
+    members = placed.join(pivots.select("id", F.lit(True).alias("pivot")), "id", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    members = store.written(members.join(classes.select("id", "one", "two"), "id"), "near-members")
+    links = _verified(docs, members, near, total)
     found = store.components(links, "near-links").select(F.col("node").alias("id"), "root")
     named = classes.drop("bands").join(found, "id", "left").select(
         "one", "two", "n_shingles", F.coalesce("root", "id").alias("component"), F.col("rows").alias("n")
@@ -217,36 +266,41 @@ def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     )
 
 
-def _verified(docs: DataFrame, members: DataFrame, near: Near) -> DataFrame:
-    """(u, v): links between classes of a neighbourhood, decided on the full sets."""
+def _verified(docs: DataFrame, members: DataFrame, near: Near, total: int) -> DataFrame:
+    """(u, v): links between classes of a neighbourhood, decided on the full sets; ``total`` is the number of classes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
             for part in words.slices(batch, "text", 2 << 20):
                 values, starts = shingles(part.column("text"), near.size)
                 one, two = set_prints(values, starts)
                 own = (one == part.column("one").to_numpy()) & (two == part.column("two").to_numpy())
-                rows = np.flatnonzero(own)
-                raw = [values[starts[r] : starts[r + 1]].tobytes() for r in rows.tolist()]
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("place").take(at), part.column("id").take(at), pa.array(raw, pa.binary())], names=["place", "id", "shingles"]
-                )
-
-    def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        found = spanning_links(group, near.percent)
-        if found:
-            u, v = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                keys = list(zip(part.column("id").to_pylist(), one.tolist(), strict=True))
+                rows = [r for r in np.flatnonzero(own).tolist() if keys[r] not in seen and not seen.add(keys[r])]  # repeats go
+                raw = [values[starts[r] : starts[r + 1]].tobytes() for r in rows]
+                kept = part.select(["place", "id", "blocks", "pivot"]).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(raw, pa.binary())], names=[*kept.schema.names, "shingles"])
 
     side = members if members.count() > near.broadcast_ids else F.broadcast(members)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(side, "id").select("id", "text", "place", "one", "two")
-    full = store.written(texts.mapInArrow(sets, "place bigint, id bigint, shingles binary"), "near-sets")
-    sizes = full.groupBy("place").agg(F.ceil(F.count("*") / near.block).cast("int").alias("blocks"))
-    dealt = full.join(sizes, "place").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("place", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", "shingles")
-    return store.per_run(dealt, ["place", "bi", "bj"], pairs, "u bigint, v bigint")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(side, "id").select("id", "text", "place", "blocks", "pivot", "one", "two")
+    full = store.written(texts.mapInArrow(sets, "place bigint, id bigint, blocks int, pivot boolean, shingles binary"), "near-sets")
+    full = full.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = full.withColumn("dealt", F.explode(F.when(F.col("pivot"), every).otherwise(F.array("own"))))
+    found = store.written(store.per_run(dealt, ["place", "dealt"], lambda group: links_of_block(group, near.percent), FIRST), "near-first")
+    links, rest = found.where("v is not null").select("u", "v"), found.where("v is null").select("place", "blocks", F.col("u").alias("id"), "shingles")
+    if rest.isEmpty():
+        return links
+    left = rest.groupBy("place").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks")).withColumn("parts", F.ceil(F.col("n") / near.block).cast("int"))
+    left = store.written(left, "near-rest")
+    unsettled = store.joined_by_share(rest.drop("blocks"), left, ["place"], total, F.xxhash64("id"))
+    unsettled = unsettled.select("place", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(every).alias("own"), "id", "shingles", F.lit(True).alias("unsettled"))
+    whole = left.select("place", "parts", (F.col("blocks") * near.block).alias("n"))
+    against = store.joined_by_share(full.select("place", "own", "id", "shingles"), whole, ["place"], total, F.xxhash64("id"))
+    against = against.select("place", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own", "id", "shingles", F.lit(False).alias("unsettled"))
+    across = store.per_run(unsettled.unionByName(against), ["place", "part", "own"], lambda group: links_across(group, near.percent), "u bigint, v bigint")
+    return links.unionByName(across)
 
 
 def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:

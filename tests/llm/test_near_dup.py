@@ -58,13 +58,33 @@ def corpus(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("block,seed", [(256, 3), (20, 4)])
-def test_components_equal_brute_force(documents, block, seed):
+@pytest.mark.parametrize("block,seed,pivots", [(256, 3, 16), (20, 4, 16), (20, 5, 2), (5, 6, 3)])
+def test_components_equal_brute_force(documents, block, seed, pivots):
     rows = corpus(seed)
-    got = nd.grouped(documents(rows, ("component_id", "id")), nd.Near(block=block)).collect()
+    got = nd.grouped(documents(rows, ("component_id", "id")), nd.Near(block=block, pivots=pivots)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows)
 
 
+def test_groups_of_one_neighbourhood(documents, monkeypatch):
+    """Two groups and a chain that share one band's key: unverified, all are one neighbourhood of many blocks."""
+    rng = random.Random(12)
+    base = [invented(1, 60, 10**6), invented(2, 60, 10**6)]
+    rows = [(i, edited(base[i % 2 or i % 3 > 0], rng, rng.randrange(0, 3))) for i in range(150)]
+    walk = invented(4, 60, 10**6)
+    for i in range(60):
+        rows.append((500 + i, walk))
+        walk = edited(walk, rng, 1)
+    rows += [(900 + i, invented(50 + i, 60, 10**6)) for i in range(9)] + rows[:4]
+    true = nd.band_hashes
+    monkeypatch.setattr(nd, "band_hashes", lambda s, b, r: np.concatenate([np.zeros((len(s), 1), np.uint64), true(s, b, r)[:, 1:]], axis=1))
+    met = []
+    across = nd.store.per_run
+    monkeypatch.setattr(nd.store, "per_run", lambda df, keys, fn, schema: met.append(keys) or across(df, keys, fn, schema))
+    got = nd.grouped(documents(rows), nd.Near(block=16, pivots=4)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows)
+    assert ["place", "part", "own"] in met
+
+
 def test_components_of_edges(spark):
     from tessaprobe.llm import store
 
