@@ -247,7 +247,7 @@ def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     total = classes.count()
     near_by = store.joined_by_share(banded, first, ["band"], total * near.bands, F.xxhash64("id"))
     near_by = near_by.where("id > lead").select(F.col("id").alias("u"), F.col("lead").alias("v"))
-    placed = store.components(near_by, "near-candidates").select(F.col("node").alias("id"), F.col("root").alias("place"))
+    placed = store.written(store.components(near_by, "near-candidates").select(F.col("node").alias("id"), F.col("root").alias("place")), "near-placed")
     sizes = placed.groupBy("place").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / near.block).cast("int"))
     placed = store.joined_by_share(placed, sizes, ["place"], total, F.xxhash64("id"))
     pivots = placed.where("blocks > 1").groupBy("place", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(near.pivots))).agg(F.min_by("id", F.xxhash64("id")).alias("id"))
