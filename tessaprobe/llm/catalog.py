@@ -14,6 +14,7 @@ from tessaprobe.llm.near_dup import op7_minhash_near_dedup
 from tessaprobe.llm.packing import op5_packing
 from tessaprobe.llm.quality_classifier import op10_quality_classifier
 from tessaprobe.llm.quality_rules import op6_quality_rules, op6_sql
+from tessaprobe.llm.simhash_dedup import op13_simhash_near_dedup
 from tessaprobe.llm.toxicity import op4_toxicity
 from tessaprobe.llm.url_reputation import op9_sql, op9_url_reputation
 
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_url_reputation": op9_url_reputation,
         "op10_quality_classifier": op10_quality_classifier,
+        "op13_simhash_near_dedup": op13_simhash_near_dedup,
     }
 
 
