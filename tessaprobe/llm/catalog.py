@@ -15,6 +15,7 @@ from tessaprobe.llm.packing import op5_packing
 from tessaprobe.llm.quality_classifier import op10_quality_classifier
 from tessaprobe.llm.quality_rules import op6_quality_rules, op6_sql
 from tessaprobe.llm.simhash_dedup import op13_simhash_near_dedup
+from tessaprobe.llm.spelling import op12_spelling_variants, op12_sql
 from tessaprobe.llm.toxicity import op4_toxicity
 from tessaprobe.llm.url_reputation import op9_sql, op9_url_reputation
 
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_url_reputation": op9_url_reputation,
         "op10_quality_classifier": op10_quality_classifier,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_simhash_near_dedup": op13_simhash_near_dedup,
     }
 
@@ -40,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": op3_sql(),
         "op6_quality_rules": op6_sql(),
         "op9_url_reputation": op9_sql(),
+        "op12_spelling_variants": op12_sql(),
     }
