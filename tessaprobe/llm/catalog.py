@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessaprobe.llm.conversation_repair import op11_conversation_repair, op11_sql
 from tessaprobe.llm.decontamination import op2_benchmark_decontamination
 from tessaprobe.llm.html_extraction import op8_html_extraction
 from tessaprobe.llm.language_model import op1_language_model
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_url_reputation": op9_url_reputation,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_simhash_near_dedup": op13_simhash_near_dedup,
     }
@@ -42,5 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": op3_sql(),
         "op6_quality_rules": op6_sql(),
         "op9_url_reputation": op9_sql(),
+        "op11_conversation_repair": op11_sql(),
         "op12_spelling_variants": op12_sql(),
     }
