@@ -372,18 +372,18 @@ def op11_sql() -> str:
     begin = _closed("'000000000' || chr(1)", "NULL::VARCHAR", "NULL::VARCHAR", "NULL::VARCHAR")
     return f"""
 WITH RECURSIVE hashed AS (
-  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
     list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS b FROM conversations
 ), kinds AS (
-  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x:
+  SELECT rid, conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x:
     list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda h, k: xor(h >> 1, 3988292384 * (h & 1)))), 4294967295) % 20 AS kind FROM hashed
 ), damaged AS (
-  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  SELECT rid, conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
     unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds
 ), ranked AS (
-  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, rid, copy) AS p,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid, copy) > 1 AS again,
     NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS white, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS short FROM damaged
 ), coded AS (
   SELECT *, white OR again AS must, (short AND NOT white AND NOT again)::INTEGER AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY p) AS former FROM ranked
