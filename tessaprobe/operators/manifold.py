@@ -1,4 +1,4 @@
-"""Diffusion maps: kernel steps in SQL, eigenpairs per layer in a task, one huge layer by a distributed SVD."""
+"""Diffusion maps, one layer in a task or, for layers of very many points, by products with a kernel in blocks; distances between embeddings."""
 
 from __future__ import annotations
 
@@ -9,110 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaprobe.functions import exprs
+from tessaprobe.operators import kernels, spectra
+from tessaprobe.operators.kernels import FLOAT_EPS
 from tessaprobe.operators.sampling import latest_wins, numbered
 from tessaprobe.sources.shared import written
 
-FLOAT_EPS = 1.1920928955078125e-07
-
-
-def pairwise_d2(points: DataFrame, group: str, ident: str, vec: str) -> DataFrame:
-    """group, i, j (i < j), d2."""
-    a = points.select(group, F.col(ident).alias("i"), F.col(vec).alias("_a"))
-    b = points.select(group, F.col(ident).alias("j"), F.col(vec).alias("_b"))
-    return a.join(b, group).where("i < j").select(group, "i", "j", exprs.squared_distance("_a", "_b").alias("d2"))
-
-
-def pairwise_blocks(points: DataFrame, group: str, ident: str, vec: str, block: int = 500) -> DataFrame:
-    """The same for large groups: points are dealt into blocks, each pair of blocks is one task's matrix product."""
-    n = points.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    dealt = points.select(group, ident, vec).join(n, group).withColumn("_own", F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumns({"_bi": F.least("_own", "_other"), "_bj": F.greatest("_own", "_other")})
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-
-    def distances(frame):
-        import pandas as pd
-
-        bi, bj = frame["_bi"].iloc[0], frame["_bj"].iloc[0]
-        left, right = frame[frame["_own"] == bi], frame[frame["_own"] == bj]
-        a, b = np.array(left[vec].tolist(), np.float64), np.array(right[vec].tolist(), np.float64)
-        if not len(a) or not len(b):
-            return pd.DataFrame({group: [], "i": [], "j": [], "d2": []})
-        d2 = np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T)
-        i, j = np.repeat(left[ident].to_numpy(), len(b)), np.tile(right[ident].to_numpy(), len(a))
-        keep = i < j if bi == bj else np.ones(len(i), bool)
-        low, high = np.minimum(i, j), np.maximum(i, j)
-        return pd.DataFrame({group: frame[group].iloc[0], "i": low[keep], "j": high[keep], "d2": d2.ravel()[keep]})
-
-    schema = f"{group} {kinds[group]}, i {kinds[ident]}, j {kinds[ident]}, d2 double"
-    return dealt.groupBy(group, "_bi", "_bj").applyInPandas(distances, schema)
-
-
-def bandwidth(d2: DataFrame, group: str) -> DataFrame:
-    """group, eps: the lower median of the squared distances, exact in two passes.
-
-    Approximate percentiles (off by a ten-thousandth of the rows at most) bracket it; what lies below is counted, and only the
-    two per cent inside are ranked.
-    """
-    about = d2.groupBy(group).agg(F.percentile_approx("d2", [0.49, 0.51], 10000).alias("_q"))
-    marked = d2.select(group, "d2").join(about, group).select(group, "d2", F.col("_q")[0].alias("_low"), F.col("_q")[1].alias("_high"))
-    sizes = marked.groupBy(group).agg(F.count_if(F.col("d2") < F.col("_low")).alias("_below"), F.ceil(F.count("*") / 2).alias("_rank"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy("d2"))
-    inside = marked.where(F.col("d2").between(F.col("_low"), F.col("_high"))).select(group, "d2", place.alias("_k"))
-    return inside.join(sizes, group).where(F.col("_k") + F.col("_below") == F.col("_rank")).select(group, F.greatest("d2", F.lit(FLOAT_EPS)).alias("eps"))
-
-
-def kernel(d2: DataFrame, group: str) -> DataFrame:
-    """group, i, j, k for all ordered pairs, the diagonal included. Distances and result are computed once, into tables."""
-    d2 = written(d2, "distances")
-    half = d2.join(bandwidth(d2, group), group).select(group, "i", "j", F.exp(-F.col("d2") / (2 * F.col("eps"))).alias("k"))
-    other = half.select(group, F.col("j").alias("i"), F.col("i").alias("j"), "k")
-    ids = half.select(group, "i").union(half.select(group, "j")).distinct()
-    return written(half.unionByName(other).unionByName(ids.select(group, "i", F.col("i").alias("j"), F.lit(1.0).alias("k"))), "kernel")
-
-
-def alpha_normalised(k: DataFrame, group: str, alpha: float) -> DataFrame:
-    d = degree(k, group)
-    return _with_degrees(k, d, group).select(group, "i", "j", (F.col("k") * F.pow("di", F.lit(-alpha)) * F.pow("dj", F.lit(-alpha))).alias("k"))
-
-
-def degree(k: DataFrame, group: str) -> DataFrame:
-    return k.groupBy(group, "i").agg(F.sum("k").alias("d"))
-
-
-def _with_degrees(k: DataFrame, d: DataFrame, group: str) -> DataFrame:
-    return k.join(d.withColumnRenamed("d", "di"), [group, "i"]).join(d.select(group, F.col("i").alias("j"), F.col("d").alias("dj")), [group, "j"])
-
-
-def symmetric(k: DataFrame, group: str) -> DataFrame:
-    """group, i, j, m: K / sqrt(d_i d_j)."""
-    return _with_degrees(k, degree(k, group), group).select(group, "i", "j", (F.col("k") / F.sqrt(F.col("di") * F.col("dj"))).alias("m"))
-
-
-def mixing_constant(k: DataFrame, group: str) -> DataFrame:
-    share = F.min("d") / F.sum("d")
-    return degree(k, group).groupBy(group).agg((1 / F.sqrt(share) / F.log(F.lit(2.0))).alias("c_value"))
-
-
-def diffusion_distance_one(k: DataFrame, group: str) -> DataFrame:
-    """group, i, j (i < j), dist2: squared diffusion distance at time 1 over all non-trivial pairs, without eigenvectors.
-
-    sum_k lambda_k^2 (psi_k(i) - psi_k(j))^2 = (M^2)_ii + (M^2)_jj - 2 (M^2)_ij - (sqrt d_i - sqrt d_j)^2 / sum d.
-    """
-    m, d = written(symmetric(k, group), "kernel-symmetric"), degree(k, group)
-    square = m.alias("a").join(m.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.j") == F.col("b.i"))).groupBy(
-        F.col(f"a.{group}").alias(group), F.col("a.i").alias("i"), F.col("b.j").alias("j")
-    ).agg(F.sum(F.col("a.m") * F.col("b.m")).alias("s"))
-    own = square.where("i = j")
-    whole = d.groupBy(group).agg(F.sum("d").alias("total"))
-    return (
-        _with_degrees(square.where("i < j"), d, group)
-        .join(own.select(group, "i", F.col("s").alias("si")), [group, "i"])
-        .join(own.select(group, "j", F.col("s").alias("sj")), [group, "j"])
-        .join(whole, group)
-        .select(group, "i", "j", (F.col("si") + F.col("sj") - 2 * F.col("s") - F.pow(F.sqrt("di") - F.sqrt("dj"), 2) / F.col("total")).alias("dist2"))
-    )
-
 
 def diffusion_arrays(x: np.ndarray, cutoff: float, time: float, alpha: float, k: int | None) -> dict:
     """One group's map: kept coordinates, complement, eigenvalues, mixing constant. Signs: each column's largest entry is positive."""
@@ -142,7 +43,7 @@ def diffusion_arrays(x: np.ndarray, cutoff: float, time: float, alpha: float, k:
     return {"psi": scaled[:, :kept], "rest": scaled[:, kept:], "lam": lam, "c": float(c_value)}
 
 
-SOLVERS = ("full", "svd")
+SOLVERS = ("full", "krylov")
 
 
 def diffusion_map(
@@ -151,8 +52,8 @@ def diffusion_map(
     """group, keys, n_components, psi, complement, eigenvalues, c_value: each group's eigenproblem is one task's work."""
     if solver not in SOLVERS:
         raise ValueError(f"unknown solver {solver!r}, one of {SOLVERS}")
-    if solver == "svd":
-        return diffusion_map_svd(points, group, keys, vec, cutoff=cutoff, time=time, k=k or 50)
+    if solver == "krylov":
+        return diffusion_map_krylov(points, group, keys, vec, cutoff=cutoff, time=time, alpha=alpha, k=k or 50)
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
     names = [group, *keys]
     schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", n_components int, psi array<double>, complement array<double>, eigenvalues array<double>, c_value double"
@@ -169,44 +70,21 @@ def diffusion_map(
     return points.groupBy(group).applyInPandas(one, schema)
 
 
-def diffusion_map_svd(points: DataFrame, group: str, keys: Sequence[str], vec: str, *, cutoff: float, time: float, k: int) -> DataFrame:
-    """For a few groups with too many points for a task each: a group's kernel stays distributed, its k leading pairs beside the
-    trivial one come from a distributed SVD, one group after the other; the complement holds what of these k the cutoff leaves.
-
-    The symmetric kernel is positive semidefinite, so singular and eigen values agree. Null groups and keys are not allowed.
-    """
-    out = None
-    for row in points.select(group).distinct().collect():  # groups are layers of a model
-        own = _svd_of_one(points.where(F.col(group) == F.lit(row[0])), group, keys, vec, cutoff, time, k)
-        out = own if out is None else out.unionByName(own)
-    if out is None:
-        raise ValueError("there are no points")
-    return out
-
-
-def _svd_of_one(points: DataFrame, group: str, keys: Sequence[str], vec: str, cutoff: float, time: float, k: int) -> DataFrame:
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    spark = points.sparkSession
-    number = numbered(points, list(keys), "_id")
-    kern = kernel(pairwise_blocks(number, group, "_id", vec), group)
-    m, n = symmetric(kern, group), number.count()
-    rows = m.groupBy("i").agg(F.collect_list(F.struct("j", "m")).alias("r")).rdd.map(lambda r: IndexedRow(r["i"], Vectors.sparse(n, sorted((int(x["j"]), float(x["m"])) for x in r["r"]))))
-    found = IndexedRowMatrix(rows).computeSVD(min(k + 1, n), computeU=True)
-    lam = np.array(found.s.toArray())[1:]
-    running = np.cumsum(lam)
-    kept = int((running / max(running[-1], FLOAT_EPS) < cutoff).sum()) + 1 if len(lam) else 0
-    u = spark.createDataFrame(found.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()[1:]])), "_id bigint, u array<double>")
-    u = written(u, "vectors")
-    # signs as in the other solver: each column's largest entry is positive
-    top = u.select(F.posexplode("u").alias("p", "x")).groupBy("p").agg(F.signum(F.max_by("x", F.abs("x"))).alias("s"))
-    signs = {r["p"]: r["s"] for r in top.collect()}  # k numbers
-    scale = F.array(*[F.lit(float(x) ** time * (signs.get(i) or 1.0)) for i, x in enumerate(lam)]).cast("array<double>")
-    full = F.zip_with("u", scale, lambda a, b: a * b)
-    return number.join(u, "_id").join(mixing_constant(kern, group), group).select(
-        group, *keys, F.lit(kept).alias("n_components"), F.slice(full, 1, kept).alias("psi"), F.slice(full, kept + 1, max(1, len(lam))).alias("complement"),
-        F.array(*[F.lit(float(x)) for x in lam]).cast("array<double>").alias("eigenvalues"), "c_value",
+def diffusion_map_krylov(points: DataFrame, group: str, keys: Sequence[str], vec: str, *, cutoff: float, time: float, alpha: float, k: int) -> DataFrame:
+    """For groups with too many points for a task each: the k leading pairs beside the trivial one by products with a kernel that is never
+    stored; the complement holds what of these k the cutoff leaves. Null groups and keys are not allowed."""
+    number = written(numbered(points, list(keys), "_id").select(group, *keys, "_id", vec), "numbered")
+    base = kernels.degrees(number, group, "_id", vec, alpha)
+    vectors, values = spectra.leading_pairs(base, group, "_id", k)
+    lam = F.slice("lam", 2, k)
+    running = F.transform(F.sequence(F.lit(1), F.size(lam)), lambda i: F.aggregate(F.slice(lam, F.lit(1), i), F.lit(0.0), lambda a, x: a + x))
+    whole = F.greatest(F.element_at(running, -1), F.lit(FLOAT_EPS))
+    kept = F.when(F.size("lam") > 1, F.size(F.filter(running, lambda x: x / whole < cutoff)) + 1).otherwise(0)
+    told = values.select(group, lam.alias("eigenvalues"), kept.alias("n_components")).join(kernels.mixing_constant(base, group), group)
+    scaled = F.zip_with(F.slice("u", 2, k), "eigenvalues", lambda u, x: u * F.pow(x, F.lit(float(time))))
+    return number.join(vectors, [group, "_id"]).join(told, group).withColumn("_all", scaled).select(
+        group, *keys, "n_components", F.slice("_all", F.lit(1), F.col("n_components")).alias("psi"),
+        F.slice("_all", F.col("n_components") + 1, F.size("_all")).alias("complement"), "eigenvalues", "c_value",
     )
 
 

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessaprobe.functions import exprs, stats
-from tessaprobe.operators import evaluation, manifold, represent, sampling, signal
+from tessaprobe.operators import evaluation, kernels, manifold, represent, sampling, signal
 from tessaprobe.plans import jobs, views
 from tessaprobe.plans.views import EVALS, PROBE, PSI, REVERB, RIR_SAMPLES, RIRS, SAMPLES, TOKENS
-from tessaprobe.sources.shared import written
 
 LEVELS = (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0)
 RATE = 1000  # the stand-in signals count as sampled at 1 kHz, so that windows of milliseconds fit them
@@ -432,48 +431,45 @@ deg AS (SELECT layer, i, sum(k) AS d FROM k GROUP BY 1, 2)"""
 KSYM = f"{KERNEL}, m AS (SELECT k.layer, k.i, k.j, k / sqrt(a.d * b.d) AS m FROM k JOIN deg a ON a.layer = k.layer AND a.i = k.i JOIN deg b ON b.layer = k.layer AND b.i = k.j)"
 
 
-def _d2(spark, d):
-    return manifold.pairwise_blocks(views.tokens(spark, d).withColumn("token_idx", F.col("token_idx").cast("bigint")), "layer", "token_idx", "vec")
+def _points(spark, d):
+    return views.tokens(spark, d).select("layer", F.col("token_idx").cast("bigint").alias("i"), "vec")
 
 
 @query(f"{D2} SELECT layer, i, j, {r('d2')} AS d2 FROM d2")
 def pairwise_d2(spark, d):
-    """The plan in SQL for small groups; the others take the plan in blocks."""
-    out = manifold.pairwise_d2(views.tokens(spark, d), "layer", "token_idx", "vec")
-    return rounded(out.select("layer", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "d2"), "d2")
+    return rounded(kernels.distances(_points(spark, d), "layer", "i", "vec"), "d2")
 
 
 @query(f"{D2} SELECT layer, i, j, {r('d2')} AS d2 FROM d2")
 def pairwise_blocks(spark, d):
-    out = manifold.pairwise_blocks(views.tokens(spark, d).withColumn("token_idx", F.col("token_idx").cast("bigint")), "layer", "token_idx", "vec", block=64)
-    return rounded(out, "d2")
+    """The same from blocks that are smaller than a layer at every size."""
+    return rounded(kernels.distances(_points(spark, d), "layer", "i", "vec", block=16), "d2")
 
 
 @query(f"{EPS} SELECT layer, {r('eps')} AS eps FROM eps")
 def bandwidth(spark, d):
-    return rounded(manifold.bandwidth(written(_d2(spark, d), "distances"), "layer"), "eps")
+    return rounded(kernels.bandwidth(kernels.packed(_points(spark, d), "layer", "i", "vec"), "layer"), "eps")
 
 
 @query(f"{KERNEL} SELECT layer, i, {r('d')} AS d FROM deg")
 def kernel_degree(spark, d):
-    return rounded(manifold.degree(manifold.kernel(_d2(spark, d), "layer"), "layer"), "d")
+    return rounded(kernels.degrees(_points(spark, d), "layer", "i", "vec").select("layer", "i", "d"), "d")
 
 
 @query(f"{KSYM} SELECT layer, i, j, {r('m')} AS m FROM m")
 def ksym(spark, d):
-    return rounded(manifold.symmetric(manifold.kernel(_d2(spark, d), "layer"), "layer"), "m")
+    return rounded(kernels.symmetric_pairs(kernels.degrees(_points(spark, d), "layer", "i", "vec"), "layer", "i"), "m")
 
 
 @query(f"""{KERNEL}, n AS (SELECT k.layer, k.i, k.j, k / (sqrt(a.d) * sqrt(b.d)) AS k FROM k JOIN deg a ON a.layer = k.layer AND a.i = k.i JOIN deg b ON b.layer = k.layer AND b.i = k.j)
 SELECT layer, i, {r('sum(k)')} AS d FROM n GROUP BY 1, 2""")
 def alpha_degree(spark, d):
-    k = manifold.alpha_normalised(manifold.kernel(_d2(spark, d), "layer"), "layer", 0.5)
-    return rounded(manifold.degree(k, "layer"), "d")
+    return rounded(kernels.degrees(_points(spark, d), "layer", "i", "vec", alpha=0.5).select("layer", "i", "d"), "d")
 
 
 @query(f"{KERNEL} SELECT layer, {r('1 / sqrt(min(d) / sum(d)) / ln(2)')} AS c_value FROM deg GROUP BY 1")
 def mixing_c(spark, d):
-    return rounded(manifold.mixing_constant(manifold.kernel(_d2(spark, d), "layer"), "layer"), "c_value")
+    return rounded(kernels.mixing_constant(kernels.degrees(_points(spark, d), "layer", "i", "vec"), "layer"), "c_value")
 
 
 DIST_ONE = f"""{KSYM}, s AS (SELECT a.layer, a.i, b.j, sum(a.m * b.m) AS s FROM m a JOIN m b ON a.layer = b.layer AND a.j = b.i GROUP BY ALL), t AS (SELECT layer, sum(d) AS total FROM deg GROUP BY 1)
@@ -483,7 +479,21 @@ JOIN s q ON q.layer = s.layer AND q.i = s.j AND q.j = s.j JOIN deg a ON a.layer
 
 @query(DIST_ONE)
 def diffusion_dist_t1(spark, d):
-    return rounded(manifold.diffusion_distance_one(manifold.kernel(_d2(spark, d), "layer"), "layer"), "dist2")
+    return rounded(kernels.diffusion_distance_one(_points(spark, d), "layer", "i", "vec"), "dist2")
+
+
+@query(f"""{KERNEL.replace("ranked AS (SELECT label AS layer, vec_id, embedding,", "ranked AS (SELECT label AS layer, vec_id, embedding[:3] AS embedding,")},
+m AS (SELECT k.layer, k.i, k.j, k / sqrt(a.d * b.d) AS m FROM k JOIN deg a ON a.layer = k.layer AND a.i = k.i JOIN deg b ON b.layer = k.layer AND b.i = k.j),
+m2 AS (SELECT a.layer, a.i, b.j, sum(a.m * b.m) AS m FROM m a JOIN m b ON a.layer = b.layer AND a.j = b.i GROUP BY ALL),
+m4 AS (SELECT a.layer, a.i, b.j, sum(a.m * b.m) AS m FROM m2 a JOIN m2 b ON a.layer = b.layer AND a.j = b.i GROUP BY ALL),
+s AS (SELECT a.layer, a.i, b.j, sum(a.m * b.m) AS s FROM m4 a JOIN m4 b ON a.layer = b.layer AND a.j = b.i GROUP BY ALL), t AS (SELECT layer, sum(d) AS total FROM deg GROUP BY 1)
+SELECT s.layer, s.i, s.j, {r('1000 * (p.s + q.s - 2 * s.s - (sqrt(a.d) - sqrt(b.d)) ** 2 / total)')} AS dist2 FROM s JOIN s p ON p.layer = s.layer AND p.i = s.i AND p.j = s.i
+JOIN s q ON q.layer = s.layer AND q.i = s.j AND q.j = s.j JOIN deg a ON a.layer = s.layer AND a.i = s.i JOIN deg b ON b.layer = s.layer AND b.i = s.j JOIN t ON t.layer = s.layer WHERE s.i < s.j""")
+def diffusion_leading_distances(spark, d):
+    """A thousand times the squared diffusion distances at time 4 by the 32 leading pairs of a kernel that is never stored; the others' share is below 1e-12."""
+    points = _points(spark, d).withColumn("vec", F.slice("vec", 1, 3))
+    psi = manifold.diffusion_map(points, "layer", ["i"], "vec", cutoff=2.0, time=4.0, k=32, solver="krylov").select("layer", "i", "psi")
+    return rounded(kernels.distances(psi, "layer", "i", "psi").select("layer", "i", "j", (1000 * F.col("d2")).alias("dist2")), "dist2")
 
 
 @query(f"""{KSYM}, s AS (SELECT layer, CAST(count_if(i = j) AS INT) AS n, sum(m) FILTER (WHERE i = j) AS trace, sum(m * m) AS frobenius FROM m GROUP BY 1) SELECT layer, n, {r('trace - 1')} AS eigen_sum, {r('frobenius - 1')} AS eigen_squares FROM s""")
@@ -591,9 +601,8 @@ def score_scaling(spark, d):
 @query(DIST_ONE)
 def diffusion_psi_distances(spark, d):
     """Squared distances between the points' diffusion coordinates at time 1 with all components."""
-    points = views.tokens(spark, d).withColumn("token_idx", F.col("token_idx").cast("bigint"))
-    full = manifold.diffusion_map(points, "layer", ["token_idx"], "vec", cutoff=2.0, time=1.0).select("layer", "token_idx", "psi")
-    return rounded(manifold.pairwise_blocks(full, "layer", "token_idx", "psi").withColumnRenamed("d2", "dist2"), "dist2")
+    full = manifold.diffusion_map(_points(spark, d), "layer", ["i"], "vec", cutoff=2.0, time=1.0).select("layer", "i", "psi")
+    return rounded(kernels.distances(full, "layer", "i", "psi").withColumnRenamed("d2", "dist2"), "dist2")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessaprobe.operators import manifold, represent
+from tessaprobe.operators import kernels, manifold, represent, spectra
 
 
 def points(spark, x, layer="a"):
@@ -44,28 +44,89 @@ def test_distance_identity_at_time_one(spark):
     p = points(spark, x)
     full = manifold.diffusion_map(p, "layer", ["i"], "vec", cutoff=2.0, time=1.0).orderBy("i").collect()
     psi = np.array([list(r.psi) + list(r.complement) for r in full])
-    k = manifold.kernel(manifold.pairwise_d2(p, "layer", "i", "vec"), "layer")
-    for r in manifold.diffusion_distance_one(k, "layer").collect():
+    found = kernels.diffusion_distance_one(p, "layer", "i", "vec", block=7).collect()
+    assert len(found) == 25 * 24 // 2
+    for r in found:
         assert abs(r.dist2 - np.sum((psi[r.i] - psi[r.j]) ** 2)) < 1e-9
-    c = manifold.mixing_constant(k, "layer").first().c_value
+    c = kernels.mixing_constant(kernels.degrees(p, "layer", "i", "vec", block=7), "layer").first().c_value
     assert abs(c - full[0].c_value) < 1e-9
 
 
-def test_svd_solver_gives_the_same_eigenvalues(spark):
-    x = np.random.default_rng(4).normal(size=(40, 5))
-    _, psi, lam = rows(spark, x, k=6, time=1.0)
-    got = manifold.diffusion_map(points(spark, x), "layer", ["i"], "vec", k=6, time=1.0, solver="svd").orderBy("i").collect()
-    assert np.allclose(got[0].eigenvalues, lam[: len(got[0].eigenvalues)], atol=1e-6)
-    other = np.array([r.psi for r in got])
-    w = min(psi.shape[1], other.shape[1])
-    assert np.allclose(np.abs(psi[:, :w]), np.abs(other[:, :w]), atol=1e-5)
+def test_krylov_solver_gives_the_same_pairs(spark):
+    """Groups of unlike size and spectrum, one with fewer points than pairs; alpha; the matrix is never stored."""
+    rng = np.random.default_rng(8)
+    rows = [(g, i, x.tolist()) for g, (n, d) in enumerate([(70, 3), (60, 40), (4, 2)]) for i, x in enumerate(rng.normal(size=(n, d)) * (g + 1))]
+    p = spark.createDataFrame(rows, "layer int, i int, vec array<double>")
+    for alpha, k in ((0.0, 6), (0.5, 5)):
+        full = {(r.layer, r.i): r for r in manifold.diffusion_map(p, "layer", ["i"], "vec", k=k, time=1.0, alpha=alpha).collect()}
+        got = manifold.diffusion_map(p, "layer", ["i"], "vec", k=k, time=1.0, alpha=alpha, solver="krylov").collect()
+        assert len(got) == len(full)
+        for r in got:
+            want = full[r.layer, r.i]
+            assert np.allclose(r.eigenvalues, want.eigenvalues, atol=1e-6) and abs(r.c_value - want.c_value) < 1e-9 and r.n_components == want.n_components
+            assert np.allclose(np.abs([*r.psi, *r.complement]), np.abs([*want.psi, *want.complement]), atol=1e-5)
+
+
+def test_small_problem_settles_and_restarts():
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(30, 30))
+    m = m @ m.T / 60
+    q = np.linalg.qr(rng.normal(size=(30, 6)))[0]
+    y = m @ q
+    one = spectra.small_problem(q.T @ q, q.T @ y, y.T @ y, 6, 2, 5, 1e-9)
+    assert not one["restart"] and one["turn"].shape[0] == 12
+    fresh = np.concatenate([q, y], axis=1) @ one["turn"]
+    assert np.abs(q.T @ fresh).max() < 1e-9 and np.allclose(fresh.T @ fresh, np.eye(fresh.shape[1]))
+    assert spectra.small_problem(q.T @ q, q.T @ y, y.T @ y, 6, 2, 1, 1e-9)["restart"]
+    exact = np.linalg.eigh(m)[1][:, -6:]
+    y = m @ exact
+    done = spectra.small_problem(exact.T @ exact, exact.T @ y, y.T @ y, 6, 2, 5, 1e-6)
+    assert done["residual"] == 0 and not done["turn"].size and np.allclose(done["theta"][:6], np.linalg.eigvalsh(m)[::-1][:6])
 
 
 def test_blocked_distances(spark):
     x = np.random.default_rng(5).normal(size=(60, 8))
-    a, b = ({(r.i, r.j): r.d2 for r in df.collect()} for df in (
-        manifold.pairwise_d2(points(spark, x), "layer", "i", "vec"), manifold.pairwise_blocks(points(spark, x), "layer", "i", "vec", block=16)))
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    got = {(r.i, r.j): r.d2 for r in kernels.distances(points(spark, x), "layer", "i", "vec", block=16).collect()}
+    assert set(got) == {(i, j) for i in range(60) for j in range(i + 1, 60)}
+    assert all(abs(d - np.sum((x[i] - x[j]) ** 2)) < 1e-9 for (i, j), d in got.items())
+
+
+def test_degrees_and_symmetric_kernel(spark):
+    x = np.random.default_rng(6).normal(size=(40, 5))
+    d2 = ((x[:, None] - x[None, :]) ** 2).sum(2)
+    eps = np.sort(d2[np.triu_indices(40, 1)])[(40 * 39 // 2 - 1) // 2]
+    kern = np.exp(-d2 / (2 * eps))
+    for alpha in (0.0, 0.5):
+        own = kern * np.power(kern.sum(1), -alpha)[:, None] * np.power(kern.sum(1), -alpha)[None, :]
+        base = kernels.degrees(points(spark, x), "layer", "i", "vec", alpha=alpha, block=9)
+        assert np.allclose([r.d for r in base.orderBy("i").collect()], own.sum(1))
+        m = {(r.i, r.j): r.m for r in kernels.symmetric_pairs(base, "layer", "i", block=9).collect()}
+        root = np.sqrt(own.sum(1))
+        assert len(m) == 1600 and all(abs(v - own[i, j] / (root[i] * root[j])) < 1e-12 for (i, j), v in m.items())
+
+
+@pytest.mark.parametrize("bins", [4, 4096])
+def test_bandwidth_is_the_lower_median(spark, bins):
+    """Also of one point (no pair), equal points, and distances that most pairs share, with an even and an odd number of pairs."""
+    rng = np.random.default_rng(2)
+    groups = {
+        "one": np.zeros((1, 2)), "two": np.array([[0.0, 0], [3, 4]]), "same": np.ones((20, 2)), "two values": np.arange(30)[:, None] % 2 * np.ones((1, 2)),
+        "grid": np.round(rng.exponential(size=(90, 2)), 1), "far": np.array([[0.0], [1e-150], [1e150], [2e150]]), "any": rng.normal(size=(150, 7)), "odd": rng.normal(size=(6, 3)),
+    }
+    rows = [(g, i, x.tolist()) for g, v in groups.items() for i, x in enumerate(v)]
+    blocks = kernels.packed(spark.createDataFrame(rows, "layer string, i int, vec array<double>"), "layer", "i", "vec", block=25)
+    got = {r.layer: r.eps for r in kernels.bandwidth(blocks, "layer", bins=bins).collect()}
+    for g, x in groups.items():
+        d2 = np.sort(np.maximum(0, ((x[:, None] - x[None, :]) ** 2).sum(2))[np.triu_indices(len(x), 1)])
+        want = max(d2[(len(d2) - 1) // 2] if len(d2) else 0.0, kernels.FLOAT_EPS)
+        assert got[g] == pytest.approx(want, rel=1e-9), g
+
+
+def test_no_table_of_all_pairs(spark):
+    """What the passes shuffle and write are blocks and sums: no operator but the streamed one makes rows from pairs."""
+    p = points(spark, np.random.default_rng(7).normal(size=(50, 3)))
+    plan = kernels.times(kernels.packed(p, "layer", "i", "vec", F.array(F.lit(1.0)), 10), "layer", p.select("layer", F.lit(1.0).alias("eps")).distinct())._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "Window" not in plan and plan.count("MapInArrow") == 1
 
 
 def test_reference_distance_pads_and_leaves_missing_null(spark):
@@ -106,22 +167,3 @@ def test_pooling(spark):
     raw = spark.createDataFrame([(np.array([1.5, -2], np.float32).tobytes(),), (None,)], "b binary")
     assert [r.v for r in raw.select(represent.decode_f32("b").alias("v")).collect()] == [[1.5, -2.0], None]
     assert represent.centroids(df.withColumn("g", F.lit(1)), ["g"]).first().n_samples == 12
-
-
-def test_svd_solver_keeps_groups_apart(spark):
-    rng = np.random.default_rng(8)
-    rows = [(g, i, (rng.normal(size=4) * (g + 1)).tolist()) for g in range(2) for i in range(12)]
-    p = spark.createDataFrame(rows, "layer int, i int, vec array<double>")
-    full = {(r.layer, r.i): r for r in manifold.diffusion_map(p, "layer", ["i"], "vec", k=5, time=1.0).collect()}
-    for r in manifold.diffusion_map(p, "layer", ["i"], "vec", k=5, time=1.0, solver="svd").collect():
-        want = full[r.layer, r.i]
-        assert np.allclose(r.eigenvalues, want.eigenvalues, atol=1e-6) and abs(r.c_value - want.c_value) < 1e-9 and r.n_components == want.n_components
-        assert np.allclose(np.abs([*r.psi, *r.complement]), np.abs([*want.psi, *want.complement]), atol=1e-5)
-
-
-def test_bandwidth_is_the_lower_median(spark):
-    rng = np.random.default_rng(2)
-    values = {g: np.round(rng.exponential(size=n), 2) for g, n in enumerate((1, 2, 7, 1000, 40_000))}
-    rows = [(g, float(x)) for g, v in values.items() for x in v]
-    got = {r.layer: r.eps for r in manifold.bandwidth(spark.createDataFrame(rows, "layer int, d2 double"), "layer").collect()}
-    assert got == {g: max(float(np.sort(v)[(len(v) - 1) // 2]), manifold.FLOAT_EPS) for g, v in values.items()}
