@@ -7,23 +7,92 @@ rows per key (small widths); ``cka_moments`` adds up mergeable moments per parti
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaprobe.functions import exprs
 
 EPS = 1e-12
+HELD_NUMBERS = 1 << 23  # of sums that a task keeps before it hands them on
+
+
+def vector_sums(df: DataFrame, keys: Sequence[str], vec: str, count: str | None = None) -> DataFrame:
+    """keys, sum, n: element-wise sums of a key's vectors and how many they are (a row counts as ``count`` of them). Tasks add up their own
+    rows first, so a key is shuffled once for each task that has it; sums of sums follow, one key at a time.
+
+    Null vectors are left out; vectors of one key that differ in length, or hold a null, are an error.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sum array<double>, n bigint"
+    rows = df.where(F.col(vec).isNotNull()).select(*keys, F.col(vec).cast("array<double>").alias("sum"), (F.col(count) if count else F.lit(1)).cast("bigint").alias("n"))
+    ordered = rows.mapInArrow(lambda b: _added(b, list(keys), False), schema).repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(lambda b: _added(b, list(keys), True), schema)
+
+
+def _added(batches: Iterator[pa.RecordBatch], keys: list[str], ordered: bool) -> Iterator[pa.RecordBatch]:
+    """Sums by key over batches: what is held goes on when it is much, or, of rows in order of keys, when a batch has passed the key."""
+    held: dict[tuple, list] = {}
+    schema = None
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        own = [held.pop(k) for k in rows]
+        columns = [pa.array([k[i] for k in rows], schema.field(i).type) for i in range(len(keys))]
+        lists = pa.array([x for x, _ in own], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([*columns, lists, pa.array([n for _, n in own], pa.int64())], names=[*keys, "sum", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        schema = batch.schema
+        if batch.column("sum").flatten().null_count:
+            raise ValueError("vectors must not hold nulls")
+        code = batch.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) > 0]))
+        part = batch.take(pa.array(order))
+        sizes, flat = np.diff(part.column("sum").offsets.to_numpy()), part.column("sum").flatten().to_numpy()
+        ends, n = np.cumsum(sizes), np.add.reduceat(part.column("n").to_numpy(), starts)
+        names = list(zip(*(part.column(k).take(pa.array(starts)).to_pylist() for k in keys), strict=True))
+        for g, (name, a, b) in enumerate(zip(names, starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True)):
+            width = int(sizes[a])
+            if (sizes[a:b] != width).any() or (name in held and len(held[name][0]) != width):
+                raise ValueError(f"vectors of {name} differ in length")
+            total = flat[ends[a] - width : ends[b - 1]].reshape(b - a, width).sum(0)
+            if name in held:
+                held[name][0] += total
+                held[name][1] += int(n[g])
+            else:
+                held[name] = [total, int(n[g])]
+        last = tuple(batch.column(k)[-1].as_py() for k in keys)
+        done = [k for k in held if k != last] if ordered else list(held) if sum(len(x) for x, _ in held.values()) > HELD_NUMBERS else []
+        if done:
+            yield out(done)
+    if held:
+        yield out(list(held))
 
 
 def vector_mean(df: DataFrame, keys: Sequence[str], vec: str, count: str | None = None) -> DataFrame:
-    """Element-wise mean of equal-length vectors; partial sums are made before the shuffle."""
-    parts = df.select(*keys, F.posexplode(vec).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_m"), F.count("*").alias("_n"))
-    out = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_v"), F.max("_n").alias("_n"))
-    return out.select(*keys, F.col("_v._m").alias(vec), *([F.col("_n").alias(count)] if count else []))
+    """Element-wise mean of equal-length vectors."""
+    return _means(vector_sums(df, keys, vec), keys, vec, count)
+
+
+def _means(sums: DataFrame, keys: Sequence[str], vec: str, count: str | None = None) -> DataFrame:
+    mean = F.transform("sum", lambda x: x / F.col("n"))
+    return sums.select(*keys, mean.alias(vec), *([F.col("n").alias(count)] if count else []))
+
+
+def _but_last(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows, one per key, call and token, without each key's last call if it has several."""
+    last = calls.groupBy(*keys).agg(F.max("call_idx").alias("_last"))
+    same = functools.reduce(lambda a, b: a & b, [calls[k].eqNullSafe(last[k]) for k in keys])
+    kept = (F.col("call_idx") < F.col("_last")) | (F.col("_last") == 0)
+    return calls.join(last, same).where(kept).select(calls["*"])
 
 
 def pool_first(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,18 +101,15 @@ def pool_first(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def pool_drop_last(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean over time and calls without the last call, if there are several."""
-    last = F.max("call_idx").over(Window.partitionBy(*keys))
-    kept = df.withColumn("_last", last).where((F.col("call_idx") < F.col("_last")) | (F.col("_last") == 0))
-    return vector_mean(kept, [*keys, "token_idx"], "vec")
+    """Mean over time and calls without the last call, if there are several. Calls are summed before the last one is looked for."""
+    calls = _but_last(vector_sums(df, [*keys, "call_idx", "token_idx"], "vec"), keys)
+    return _means(vector_sums(calls, [*keys, "token_idx"], "sum", "n"), [*keys, "token_idx"], "vec")
 
 
 def pool_mean_of_means(df: DataFrame, keys: Sequence[str], drop_last: bool = False) -> DataFrame:
     """Mean of the calls' means, each call counting alike."""
-    if drop_last:
-        last = F.max("call_idx").over(Window.partitionBy(*keys))
-        df = df.withColumn("_last", last).where((F.col("call_idx") < F.col("_last")) | (F.col("_last") == 0)).drop("_last")
-    return vector_mean(vector_mean(df, [*keys, "call_idx", "token_idx"], "vec"), [*keys, "token_idx"], "vec")
+    calls = vector_mean(df, [*keys, "call_idx", "token_idx"], "vec")
+    return vector_mean(_but_last(calls, keys) if drop_last else calls, [*keys, "token_idx"], "vec")
 
 
 def pool_concat(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -167,3 +167,23 @@ def test_pooling(spark):
     raw = spark.createDataFrame([(np.array([1.5, -2], np.float32).tobytes(),), (None,)], "b binary")
     assert [r.v for r in raw.select(represent.decode_f32("b").alias("v")).collect()] == [[1.5, -2.0], None]
     assert represent.centroids(df.withColumn("g", F.lit(1)), ["g"]).first().n_samples == 12
+
+
+def test_vector_sums_by_task(spark, monkeypatch):
+    """Null keys and vectors, floats, few numbers held; a key is shuffled once per task."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 11 == 0 else i % 5, f"s{i % 3}", rng.normal(size=3).tolist() if i % 7 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b string, v array<float>").repartition(4)
+    want = {}
+    for a, b, v in rows:
+        if v is not None:
+            want.setdefault((a, b), []).append(np.float32(v).astype(float))
+    for held in (1 << 23, 4):
+        monkeypatch.setattr(represent, "HELD_NUMBERS", held)
+        got = {(r.a, r.b): (r.v, r.n) for r in represent.vector_mean(df, ["a", "b"], "v", "n").collect()}
+        assert got.keys() == want.keys()
+        assert all(n == len(want[k]) and np.allclose(v, np.mean(want[k], axis=0)) for k, (v, n) in got.items())
+    assert represent.vector_mean(df.limit(0), ["a"], "v").collect() == []
+    for bad in ([[1.0], [1.0, 2.0]], [[1.0, None], [1.0, 2.0]]):
+        with pytest.raises(Exception, match="differ in length|hold nulls"):
+            represent.vector_mean(spark.createDataFrame([(1, x) for x in bad], "a int, v array<double>"), ["a"], "v").collect()
