@@ -59,7 +59,7 @@ def missing_cells(facts: DataFrame, *keys: str) -> DataFrame:
     """Cells of the full grid that hold no row. The grid is of dimension values, which are few."""
     grid = facts.select(keys[0]).distinct()
     for k in keys[1:]:
-        grid = grid.crossJoin(F.broadcast(facts.select(k).distinct()))
+        grid = grid.crossJoin(facts.select(k).distinct())
     return grid.join(facts.select(*keys).distinct(), list(keys), "left_anti")
 
 

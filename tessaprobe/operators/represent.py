@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaprobe.functions import exprs
+from tessaprobe.sources.shared import written
 
 EPS = 1e-12
 HELD_NUMBERS = 1 << 23  # of sums that a task keeps before it hands them on
@@ -139,12 +140,51 @@ def extract_with(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInPandas(fn, schema)
 
 
+def extract_with_enhanced(df: DataFrame, fn: Callable, schema: str, keys: Sequence[str], samples: str = "samples") -> tuple[DataFrame, DataFrame]:
+    """A model that gives both: (activation rows as in ``schema``, (keys, enhanced) of the same waves), from one pass of ``fn``.
+
+    ``fn`` gets a pandas batch (keys, samples) and returns two frames: activation rows, and one row (keys, enhanced) per wave, in
+    order of the batch, whose signal is cut to its input's length. Both kinds of rows are written once and told apart afterwards.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
+    fields = dict(x.strip().split(" ", 1) for x in _top_level(schema))
+    every = {"_kind": "int", **fields, **{k: kinds[k] for k in keys}, "enhanced": "array<double>"}
+
+    def filled(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.assign(**{c: pd.Series([None] * len(frame), frame.index, dtype=object) for c in every if c not in frame.columns})[list(every)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows, better = fn(frame)
+            if len(better) != len(frame):
+                raise ValueError(f"{len(better)} enhanced signals of {len(frame)} waves")
+            yield filled(rows.assign(_kind=0).reset_index(drop=True))
+            cut = [None if y is None else np.asarray(y, np.float64)[: len(x)] for x, y in zip(frame[samples], better["enhanced"], strict=True)]
+            yield filled(better[list(keys)].assign(enhanced=pd.Series(cut, index=better.index, dtype=object), _kind=1))
+
+    both = written(df.select(*keys, samples).mapInPandas(run, ", ".join(f"`{k}` {v}" for k, v in every.items())), "produced")
+    return both.where("_kind = 0").select(*fields), both.where("_kind = 1").select(*keys, "enhanced")
+
+
+def _top_level(schema: str) -> list[str]:
+    """The fields of a schema's text; commas inside < > or ( ) part none."""
+    parts, depth = [""], 0
+    for c in schema:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
 def centroids(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
     return vector_mean(df, keys, vec, "n_samples")
 
 
-def paired(clean: DataFrame, degraded: DataFrame, keys: Sequence[str], strict: bool = False) -> DataFrame:
-    """keys, token_idx, x, y of tokens that both sides have; ``strict``: a token of one side only, or of another width, is an error."""
+def paired(clean: DataFrame, degraded: DataFrame, keys: Sequence[str], strict: bool = True) -> DataFrame:
+    """keys, token_idx, x, y of the tokens of both sides; a token of one side only, or of another width, is an error. Not ``strict``: tokens that
+    one side lacks are left out."""
     x, y = clean.select(*keys, "token_idx", F.col("vec").alias("x")), degraded.select(*keys, "token_idx", F.col("vec").alias("y"))
     if not strict:
         return x.join(y, [*keys, "token_idx"])
@@ -170,6 +210,55 @@ def cka(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pairs.groupBy(*keys).applyInPandas(one, f"{kinds}, CKA double")
 
 
+def cka_of_conditions(pooled: DataFrame, shared: Sequence[str], conditions: Sequence[str]) -> DataFrame:
+    """shared, conditions, CKA: pooled tokens (shared, conditions, token_idx, vec) of every condition against the clean ones of the same
+    ``shared`` keys, whose conditions are all null.
+
+    One shuffle brings a key's rows together in order, the clean ones first: a task keeps the clean matrix and lets the conditions stream
+    past it, one at a time, so clean tokens are not repeated for each of them. A condition whose tokens are not the clean ones', or of another
+    width, is an error; so is one without clean tokens. Keys with clean tokens only give no row.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in pooled.schema}
+    shared, conditions = list(shared), list(conditions)
+    clean = functools.reduce(lambda a, b: a & b, [F.col(c).isNull() for c in conditions])
+    order = [*shared, "_side", *conditions, "token_idx"]
+    rows = pooled.select(*shared, *conditions, "token_idx", F.col("vec").cast("array<double>").alias("vec"), F.when(clean, 0).otherwise(1).alias("_side"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tokens, vectors, reference = None, [], [], None  # now: (shared key, side, conditions) of the rows that are held
+
+        def compared() -> tuple | None:
+            nonlocal reference
+            key, side, own = now
+            if side == 0:
+                reference = (key, tokens, vectors)
+                return None
+            if reference is None or reference[0] != key or reference[1] != tokens or {len(v) for v in vectors} != {len(v) for v in reference[2]}:
+                raise ValueError(f"clean and degraded activations of {key}, {own} differ in shape")
+            return (*key, *own, linear_cka(np.array(reference[2]), np.array(vectors)))
+
+        for batch in batches:
+            out, columns = [], [batch.column(c).to_pylist() for c in (*shared, *conditions)]
+            names = list(zip(*columns, strict=True))
+            vecs, sides, idx = batch.column("vec"), batch.column("_side").to_pylist(), batch.column("token_idx").to_pylist()
+            offsets, flat = vecs.offsets.to_numpy(), vecs.values.to_numpy(zero_copy_only=False)
+            for i, name in enumerate(names):
+                mine = (name[: len(shared)], sides[i], name[len(shared) :])
+                if mine != now:
+                    if now is not None and (found := compared()):
+                        out.append(found)
+                    now, tokens, vectors = mine, [], []
+                tokens.append(idx[i])
+                vectors.append(flat[offsets[i] : offsets[i + 1]])
+            schema = pa.schema([*(batch.schema.field(c) for c in (*shared, *conditions)), ("CKA", pa.float64())])
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
+        if now is not None and (found := compared()):
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, found, strict=True))], schema)
+
+    dealt = rows.repartition(*shared).sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*shared, *conditions)) + ", CKA double")
+
+
 def cka_relational(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same in SQL: centre each feature, sum products over tokens, then square and sum."""
     def long(v: str) -> DataFrame:

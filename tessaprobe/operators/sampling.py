@@ -100,16 +100,16 @@ def assign_k(items: DataFrame, ident: str, pool: DataFrame, member: str, k: int,
     return drawn.withColumn("_m", F.pmod(F.col("_d") + F.col("rank") - 1, F.lit(max(1, n)))).join(members, "_m").select(ident, member, "rank")
 
 
-def assign_one(items: DataFrame, keys: Sequence[str], pool: DataFrame, member: str, seed: int) -> DataFrame:
-    """One member per item, by a hash of its keys: an equi join on the member's number."""
+def assign_one(items: DataFrame, keys: Sequence[str], pool: DataFrame, member: str, seed: int, draw: Column | None = None) -> DataFrame:
+    """One member per item, by a hash of its keys (or by ``draw``, a whole number): an equi join on the member's number."""
     n = pool.count()
     members = numbered(pool.select(member), [member], "_m")
-    return items.withColumn("_m", F.pmod(hash_order(seed, *keys), F.lit(max(1, n)))).join(members, "_m").drop("_m")
+    return items.withColumn("_m", F.pmod(hash_order(seed, *keys) if draw is None else draw.cast("bigint"), F.lit(max(1, n)))).join(members, "_m").drop("_m")
 
 
 def degradation_grid(units: DataFrame, sources: DataFrame, levels: DataFrame) -> DataFrame:
-    """Every unit with every source at every level: keys only, arrays are joined afterwards."""
-    return units.crossJoin(F.broadcast(sources)).crossJoin(F.broadcast(levels))
+    """Every unit with every source at every level, which is the result's size: keys only, arrays are joined afterwards. Spark chooses what it sends."""
+    return units.crossJoin(sources).crossJoin(levels)
 
 
 def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:

@@ -207,13 +207,16 @@ def stitched(chunks: DataFrame, keys: list[str], n: str, segment: int, chunk: st
     return parts.select(*keys, whole.alias("samples"))
 
 
-def score_pairs(pairs: DataFrame, scorers: Mapping[str, Callable], reference: str, estimate: str, prefix: str = "") -> DataFrame:
-    """SI-SDR in the JVM, and each outside scorer as a column; a scorer that fails on a row leaves null there."""
-    a, b = exprs.same_length(reference, estimate)
-    out = pairs.withColumns({reference: a, estimate: b}).withColumn(f"{prefix}si_sdr", exprs.si_sdr(reference, estimate))
+def score_sides(rows: DataFrame, scorers: Mapping[str, Callable], reference: str, sides: Mapping[str, str]) -> DataFrame:
+    """Each side's signal (column -> pattern of its scores' names, as ``noisy_{}``) against the reference, all cut to the shortest: SI-SDR in the
+    JVM, and each outside scorer as a column, all sides in one pass. A scorer that fails on a row leaves null there."""
+    n = F.least(F.size(reference), *[F.size(c) for c in sides]) if sides else F.size(reference)
+    out = rows.withColumns({c: F.slice(c, F.lit(1), n) for c in (reference, *sides)})
+    out = out.withColumns({name.format("si_sdr"): exprs.si_sdr(reference, c) for c, name in sides.items()})
     if not scorers:
         return out
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema] + [f"`{prefix}{k}` double" for k in scorers])
+    found = [(name.format(k), c, fn) for c, name in sides.items() for k, fn in scorers.items()]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema] + [f"`{name}` double" for name, _, _ in found])
 
     def one(fn: Callable, x, y) -> float | None:
         try:
@@ -223,11 +226,15 @@ def score_pairs(pairs: DataFrame, scorers: Mapping[str, Callable], reference: st
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(**{f"{prefix}{k}": [one(fn, x, y) for x, y in zip(frame[reference], frame[estimate], strict=True)] for k, fn in scorers.items()})
+            yield frame.assign(**{name: [one(fn, x, y) for x, y in zip(frame[reference], frame[c], strict=True)] for name, c, fn in found})
 
     return out.mapInPandas(run, schema)
 
 
+def score_pairs(pairs: DataFrame, scorers: Mapping[str, Callable], reference: str, estimate: str, prefix: str = "") -> DataFrame:
+    return score_sides(pairs, scorers, reference, {estimate: prefix + "{}"})
+
+
 def random_crop(waves: DataFrame, samples: str, segment: int, seed: int, *keys: str) -> DataFrame:
     n = F.size(samples)
     start = waves.withColumn("crop_start", exprs.crop_start(n, segment, seed, *keys).cast("int"))

@@ -92,7 +92,7 @@ def block_monotonicity(psi: DataFrame) -> DataFrame:
 def distance_slices(psi: DataFrame) -> DataFrame:
     """Layer distances at the slice levels, scaled per level, with the architectural rank of both layers."""
     levels = sampling.slice_levels(psi, "snr")
-    dist = manifold.layer_distances(psi.join(F.broadcast(levels), "snr", "left_semi"))
+    dist = manifold.layer_distances(psi.join(levels, "snr", "left_semi"))
     return stats.min_max(dist, ["snr"], "dist", "scaled").withColumns(
         {"rank_i": exprs.layer_rank(F.col("layer_i").cast("string"), BLOCK_ORDER), "rank_j": exprs.layer_rank(F.col("layer_j").cast("string"), BLOCK_ORDER)}
     )
@@ -111,10 +111,10 @@ def demo_subset_snr(facts: DataFrame, noise: str | None, units: int, order: Colu
 
 def demo_subset_reverb(facts: DataFrame, units: int, order: Column) -> DataFrame:
     """A few levels, one response (if responses are named), and of every level a sample of utterances."""
-    kept = facts.join(F.broadcast(sampling.strided_levels(facts, "target_c50")), "target_c50", "left_semi")
+    kept = facts.join(sampling.strided_levels(facts, "target_c50"), "target_c50", "left_semi")
     if "rir_name" in facts.columns:
         first = kept.agg(F.min("rir_name").alias("_first"))
-        kept = kept.join(F.broadcast(first), F.col("rir_name") == F.col("_first"), "left_semi")
+        kept = kept.join(first, F.col("rir_name") == F.col("_first"), "left_semi")
     return sampling.per_cell_sample(kept, ["target_c50"], "clean_idx", units, order)
 
 
@@ -184,10 +184,10 @@ def imported(dataset: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dataset.join(ids, "id", "left_semi"), ids.join(dataset, "id", "left_anti")
 
 
-def training_pairs(waves: DataFrame, rirs: DataFrame, segment: int, seed: int, epoch: int = 0) -> DataFrame:
-    """Reverb training: each chunk with a drawn response, both sides scaled by the degraded side's energy."""
+def training_pairs(waves: DataFrame, rirs: DataFrame, segment: int, seed: int, epoch: int = 0, draw: Column | None = None) -> DataFrame:
+    """Reverb training: each chunk with a drawn response (by a hash, or by the whole number ``draw``), both sides scaled by the degraded side's energy."""
     chunks = signal.chunked(waves, "samples", segment).select("utt_id", "chunk_start", F.col("chunk").alias("clean"))
-    drawn = sampling.assign_one(chunks, ["utt_id", "chunk_start"], rirs, "rir_id", seed + epoch)
+    drawn = sampling.assign_one(chunks, ["utt_id", "chunk_start"], rirs, "rir_id", seed + epoch, draw)
     pairs = signal.reverberate(drawn.join(rirs.select("rir_id", F.col("samples").alias("rir")), "rir_id"), "clean", "rir", None).drop("rir")
     gain = exprs.rms_gain("reverberant")
     return pairs.withColumn("_g", gain).select(
@@ -195,11 +195,12 @@ def training_pairs(waves: DataFrame, rirs: DataFrame, segment: int, seed: int, e
     )
 
 
-def noise_training_pairs(clean: DataFrame, noisy: DataFrame, segment: int, seed: int) -> DataFrame:
+def noise_training_pairs(clean: DataFrame, noisy: DataFrame, segment: int, seed: int, draw: Column | None = None) -> DataFrame:
     """Noise training: paired files of equal length, scaled by the noisy side, one crop at the same place of both."""
     both = clean.select("utt_id", F.col("samples").alias("clean")).join(noisy.select("utt_id", F.col("samples").alias("noisy")), "utt_id")
     checked = both.withColumn("_ok", F.assert_true(F.size("clean") == F.size("noisy"), F.lit("clean and noisy differ in length"))).where("_ok is null").drop("_ok")
-    start = checked.withColumns({"_g": exprs.rms_gain("noisy"), "crop_start": exprs.crop_start(F.size("clean"), segment, seed, "utt_id").cast("int")})
+    place = exprs.crop_start(F.size("clean"), segment, seed, "utt_id") if draw is None else F.pmod(draw, F.greatest(F.lit(1), F.size("clean") - segment + 1))
+    start = checked.withColumns({"_g": exprs.rms_gain("noisy"), "crop_start": place.cast("int")})
     return start.select(
         "utt_id", "crop_start", *[F.transform(exprs.chunk(c, F.col("crop_start"), segment), lambda x: x * F.col("_g")).alias(c) for c in ("clean", "noisy")]
     )
@@ -218,12 +219,8 @@ def evaluated(manifest: DataFrame, degraded: DataFrame, enhanced: DataFrame, cle
     rows = manifest.join(degraded.select("filepath", F.col("samples").alias("degraded")), "filepath")
     rows = rows.join(enhanced.select("filepath", F.col("samples").alias("enhanced")), "filepath")
     rows = rows.join(clean.select("utterance_id", F.col("samples").alias("clean")), "utterance_id")
-    n = F.least(F.size("clean"), F.size("enhanced"), F.size("degraded"))
-    rows = rows.withColumns({c: F.slice(c, F.lit(1), n) for c in ("clean", "enhanced", "degraded")})
-    scores = ["si_sdr", *(scorers or {})]
-    rows = signal.score_pairs(rows, scorers or {}, "clean", "degraded").withColumnsRenamed({c: f"{c}_input" for c in scores})
-    rows = signal.score_pairs(rows, scorers or {}, "clean", "enhanced").withColumn("domain", F.lit(domain))
-    return evaluation.result_table(rows)
+    rows = signal.score_sides(rows, scorers or {}, "clean", {"degraded": "{}_input", "enhanced": "{}"})
+    return evaluation.result_table(rows.withColumn("domain", F.lit(domain)))
 
 
 def evaluation_report(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -243,12 +240,7 @@ def cka_of_degraded(
     bare = clean.select("utt_id", *[F.lit(None).cast(kinds[c]).alias(c) for c in conditions], F.col("samples").cast("array<double>").alias("samples"))
     both = degraded.select("utt_id", *conditions, F.col("samples").cast("array<double>").alias("samples")).unionByName(bare)
     pooled = pool(represent.extract_with(both, extract, activation_schema), ["utt_id", *conditions, *keys])
-    reference = F.lit(True)
-    for c in conditions:
-        reference = reference & F.col(c).isNull()
-    x = pooled.where(reference).select("utt_id", *keys, "token_idx", F.col("vec").alias("x"))
-    y = pooled.where(~reference).select("utt_id", *conditions, *keys, "token_idx", F.col("vec").alias("y"))
-    return represent.cka(y.join(x, ["utt_id", *keys, "token_idx"]), ["utt_id", *conditions, *keys])
+    return represent.cka_of_conditions(pooled, ["utt_id", *keys], conditions).select("utt_id", *conditions, *keys, "CKA")
 
 
 def cka_table(waves: DataFrame, noises: DataFrame, levels: Iterable[float], extract: Callable, activation_schema: str, keys: Sequence[str] = ("model", "layer"), pool: Callable = represent.pool_first) -> DataFrame:
@@ -260,12 +252,12 @@ def cka_table(waves: DataFrame, noises: DataFrame, levels: Iterable[float], extr
     return cka_of_degraded(waves, noisy, ["noise_name", "level"], extract, activation_schema, keys, pool)
 
 
-def cka_reverb_table(waves: DataFrame, rirs: DataFrame, targets: Iterable[float], extract: Callable, activation_schema: str, keys: Sequence[str] = ("model", "layer"), pool: Callable = represent.pool_first) -> DataFrame:
+def cka_reverb_table(waves: DataFrame, rirs: DataFrame, targets: Iterable[float], extract: Callable, activation_schema: str, keys: Sequence[str] = ("model", "layer"), pool: Callable = represent.pool_first, early: int = exprs.EARLY_SAMPLES) -> DataFrame:
     """The reverb half of the grid: every utterance through every response (rir_name, samples) at every target C50 (target_c50)."""
     spark = waves.sparkSession
     grid = sampling.degradation_grid(waves.select("utt_id"), rirs.select("rir_name"), spark.createDataFrame([(float(x),) for x in targets], "target_c50 double"))
     pairs = grid.join(waves.select("utt_id", "samples"), "utt_id").join(rirs.select("rir_name", F.col("samples").alias("rir")), "rir_name")
-    wet = signal.reverberate(pairs).select("utt_id", "rir_name", "target_c50", F.col("reverberant").alias("samples"))
+    wet = signal.reverberate(pairs, early=early).select("utt_id", "rir_name", "target_c50", F.col("reverberant").alias("samples"))
     return cka_of_degraded(waves, wet, ["rir_name", "target_c50"], extract, activation_schema, keys, pool)
 
 

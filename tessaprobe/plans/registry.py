@@ -403,7 +403,8 @@ def _pairs(spark, d):
     x = views.tokens(spark, d).select("layer", "token_idx", "vec")
     n = x.select("layer").distinct().count()
     y = x.withColumn("layer", ((F.col("layer") + n - 1) % n).cast("int"))
-    return represent.paired(x, y, ["layer"])
+    keys = ["layer", "token_idx"]  # labels differ in size: only the tokens that both have go in
+    return represent.paired(x.join(y, keys, "left_semi"), y.join(x, keys, "left_semi"), ["layer"])
 
 
 @query(CKA)
@@ -606,9 +607,9 @@ def diffusion_psi_distances(spark, d):
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from tessaprobe.plans import studies  # registers its queries as it is imported
+    from tessaprobe.plans import grid, studies  # register their queries as they are imported
 
-    assert studies
+    assert studies and grid
     return _found
 
 
