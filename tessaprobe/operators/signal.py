@@ -1,4 +1,4 @@
-"""Signal jobs that need an FFT or a running sum: numpy in Arrow batches, one row at a time in memory."""
+"""Signal jobs that need an FFT or a running sum: numpy in Arrow batches, long signals in blocks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,13 +52,6 @@ def rir_acoustics(rirs: DataFrame, rate: int, samples: str = "samples") -> DataF
     ).drop("_a")
 
 
-def convolved(audio: np.ndarray, rir: np.ndarray) -> np.ndarray:
-    """Full linear convolution cut to the audio's length."""
-    n = len(audio) + len(rir) - 1
-    size = 1 << max(0, n - 1).bit_length()
-    return np.fft.irfft(np.fft.rfft(audio, size) * np.fft.rfft(rir, size), size)[: len(audio)]
-
-
 def late_ratio(rir: np.ndarray, target: float, early: int) -> float:
     e, late = float(np.sum(rir[:early] ** 2)), float(np.sum(rir[early:] ** 2))
     if late < 1e-10:
@@ -67,42 +61,98 @@ def late_ratio(rir: np.ndarray, target: float, early: int) -> float:
     return float(np.clip(np.sqrt(e / (10 ** (target / 10) * late + 1e-10)), 1e-10, 1e6))
 
 
-def reverberate(pairs: DataFrame, audio: str = "samples", rir: str = "rir", target: str | None = "target_c50", early: int = exprs.EARLY_SAMPLES) -> DataFrame:
-    """``reverberant``: audio through the response, its late part scaled to the target C50 (not at all without one).
+class Response:
+    """An impulse response cut to start at its peak, transformed once: the spectra of its early and its late part, which any target only weighs anew."""
+
+    def __init__(self, rir: np.ndarray | None, early: int, block: int = 1 << 14) -> None:
+        rir = np.asarray([] if rir is None else rir, np.float64)
+        self.rir = rir[int(np.abs(rir).argmax()) :] if len(rir) else rir
+        self.early, n = early, len(self.rir)
+        self.size = 1 << (max(2 * n, block) - 1).bit_length()
+        parts = np.zeros((2, self.size))
+        parts[0, : min(early, n)], parts[1, min(early, n) : n] = self.rir[:early], self.rir[early:]
+        self.spectra = np.fft.rfft(parts)
+
+    def through(self, audio: np.ndarray, target: float | None) -> np.ndarray:
+        """Full convolution cut to the audio's length, by overlap-save: a block of the audio in memory at a time. An empty response changes nothing."""
+        n = len(self.rir)
+        if not n or not len(audio):
+            return audio
+        spectrum = self.spectra[0] + self.spectra[1] * (1.0 if target is None else late_ratio(self.rir, target, self.early))
+        out, step = np.empty(len(audio)), self.size - n + 1
+        for start in range(0, len(audio), step):
+            piece = audio[max(0, start - n + 1) : start + step]
+            piece = np.concatenate([np.zeros(max(0, n - 1 - start)), piece])
+            wet = np.fft.irfft(np.fft.rfft(piece, self.size) * spectrum, self.size)[n - 1 :]
+            out[start : start + step] = wet[: len(audio) - start]
+        return out
+
+
+ROWS_OF_A_RUN = 2000
+
+
+def reverberate(waves: DataFrame, rirs: DataFrame, key: str, audio: str = "samples", rir: str = "samples", target: str | None = "target_c50", early: int = exprs.EARLY_SAMPLES) -> DataFrame:
+    """``waves`` with ``reverberant``: each audio through the response that ``key`` names in ``rirs`` (one row each), its late part scaled to
+    the target C50 of the row (not at all without one). Rows without a response are left out.
 
-    The response is aligned to its peak; an empty one leaves the audio as it is. Partition the pairs by response beforehand
-    and sort by it, and each response is transformed once per run.
+    Responses are not repeated on the rows: a run of about ROWS_OF_A_RUN rows of one response comes together behind it in one task, which transforms it
+    once; a response of very many rows has as many runs.
     """
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema] + ["reverberant array<double>"])
+    kinds = {f.name: f.dataType.simpleString() for f in waves.schema}
+    schema = ", ".join([f"`{k}` {v}" for k, v in kinds.items()] + ["reverberant array<double>"])
+    runs = waves.groupBy(key).agg(F.ceil(F.count("*") / ROWS_OF_A_RUN).cast("int").alias("_runs"))
+    rows = waves.join(runs, key).withColumn("_run", F.pmod(F.xxhash64(*waves.columns), F.col("_runs")).cast("int")).drop("_runs")
+    first = rirs.select(F.col(key), F.col(rir).cast("array<double>").alias("_rir")).join(runs, key).withColumn("_run", F.explode(F.sequence(F.lit(0), F.col("_runs") - 1))).drop("_runs")
+    both = first.withColumn("_side", F.lit(0)).unionByName(rows.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition(key, "_run").sortWithinPartitions(key, "_run", "_side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, response = None, None
+        for batch in batches:
+            told = [batch.column(c).to_pylist() for c in ("_side", key, "_run")]
+            c50 = batch.column(target).to_pylist() if target else [None] * batch.num_rows
+            audios, responses, out, kept = batch.column(audio), batch.column("_rir"), [], []
+            for i, (side, *own) in enumerate(zip(*told, strict=True)):
+                if side == 0:
+                    if now == own:
+                        raise ValueError(f"{own[0]} has several responses")
+                    now, response = own, Response(values_at(responses, i), early)
+                elif now == own and audios[i].is_valid:
+                    out.append(response.through(values_at(audios, i), c50[i]))
+                    kept.append(i)
+            rows = batch.take(pa.array(kept, pa.int64())).select(list(kinds))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.list_(pa.float64()))], names=[*kinds, "reverberant"])
+
+    return dealt.mapInArrow(run, schema)
+
+
+def values_at(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False).astype(np.float64) if column[i].is_valid else np.empty(0)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for i in range(len(frame)):
-                x, r = np.asarray(frame[audio].iloc[i], np.float64), np.asarray(frame[rir].iloc[i] if frame[rir].iloc[i] is not None else [], np.float64)
-                if len(x) and len(r):
-                    r = r[int(np.abs(r).argmax()) :].copy()
-                    if target is not None and not pd.isna(frame[target].iloc[i]):
-                        r[early:] *= late_ratio(r, float(frame[target].iloc[i]), early)
-                    x = convolved(x, r)
-                out.append(x)
-            yield frame.assign(reverberant=out)
 
-    return pairs.mapInPandas(run, schema)
+BLOCK_OUT = 1 << 13
 
 
 def resampled(x: np.ndarray, up: int, down: int, half: int = 32) -> np.ndarray:
-    """Windowed-sinc rate change by up/down."""
+    """Windowed-sinc rate change by up/down: sample k lies at k * down / up, so its weights are one of ``up`` sets. Blocks of the result are
+    products of windows on the signal with these; beside input and result only a block is held."""
     x = np.asarray(x, np.float64)
     cutoff = min(1.0, up / down)
-    where = np.arange(int(np.ceil(len(x) * up / down))) * down / up
     reach = int(np.ceil(half / cutoff))
     taps = np.arange(-reach, reach + 1)
-    at = np.floor(where).astype(int)[:, None] + taps
-    gap = (where[:, None] - at) * cutoff
-    weight = np.sinc(gap) * (0.5 + 0.5 * np.cos(np.pi * np.clip(gap / half, -1, 1))) * cutoff
-    inside = (at >= 0) & (at < len(x))
-    return (np.where(inside, x[np.clip(at, 0, max(0, len(x) - 1))], 0) * weight).sum(1) if len(x) else x
+    gap = (np.arange(up)[:, None] / up - taps) * cutoff
+    weights = np.sinc(gap) * (0.5 + 0.5 * np.cos(np.pi * np.clip(gap / half, -1, 1))) * cutoff
+    out = np.empty(-(-len(x) * up // down))
+    for start in range(0, len(out), BLOCK_OUT):
+        k = np.arange(start, min(start + BLOCK_OUT, len(out)))
+        at, phase = np.divmod(k * down, up)
+        low, high = int(at[0]) - reach, int(at[-1]) + reach + 1
+        piece = np.concatenate([np.zeros(max(0, -low)), x[max(0, low) : high], np.zeros(max(0, high - len(x)))])
+        windows = np.lib.stride_tricks.sliding_window_view(piece, len(taps))[at - at[0]]
+        for p in range(up):
+            own = phase == p
+            out[k[own]] = windows[own] @ weights[p]
+    return out
 
 
 def resample(samples: Column | str, source: int, target: int) -> Column:

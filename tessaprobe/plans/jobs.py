@@ -175,8 +175,7 @@ def noise_manifest(utterances: DataFrame) -> DataFrame:
 
 def reverb_test_set(manifest: DataFrame, utterances: DataFrame, rirs: DataFrame) -> DataFrame:
     """The manifest's rows with ``reverberant``; ``utterances`` (utterance_id, samples), ``rirs`` (rir_id, samples)."""
-    pairs = manifest.join(utterances, "utterance_id").join(rirs.select("rir_id", F.col("samples").alias("rir")), "rir_id")
-    return signal.reverberate(pairs, "samples", "rir", None)
+    return signal.reverberate(manifest.join(utterances, "utterance_id"), rirs, "rir_id", target=None)
 
 
 def imported(dataset: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -188,7 +187,7 @@ def training_pairs(waves: DataFrame, rirs: DataFrame, segment: int, seed: int, e
     """Reverb training: each chunk with a drawn response (by a hash, or by the whole number ``draw``), both sides scaled by the degraded side's energy."""
     chunks = signal.chunked(waves, "samples", segment).select("utt_id", "chunk_start", F.col("chunk").alias("clean"))
     drawn = sampling.assign_one(chunks, ["utt_id", "chunk_start"], rirs, "rir_id", seed + epoch, draw)
-    pairs = signal.reverberate(drawn.join(rirs.select("rir_id", F.col("samples").alias("rir")), "rir_id"), "clean", "rir", None).drop("rir")
+    pairs = signal.reverberate(drawn, rirs, "rir_id", "clean", target=None)
     gain = exprs.rms_gain("reverberant")
     return pairs.withColumn("_g", gain).select(
         "utt_id", "chunk_start", "rir_id", F.transform("clean", lambda x: x * F.col("_g")).alias("clean"), F.transform("reverberant", lambda x: x * F.col("_g")).alias("degraded")
@@ -256,8 +255,7 @@ def cka_reverb_table(waves: DataFrame, rirs: DataFrame, targets: Iterable[float]
     """The reverb half of the grid: every utterance through every response (rir_name, samples) at every target C50 (target_c50)."""
     spark = waves.sparkSession
     grid = sampling.degradation_grid(waves.select("utt_id"), rirs.select("rir_name"), spark.createDataFrame([(float(x),) for x in targets], "target_c50 double"))
-    pairs = grid.join(waves.select("utt_id", "samples"), "utt_id").join(rirs.select("rir_name", F.col("samples").alias("rir")), "rir_name")
-    wet = signal.reverberate(pairs, early=early).select("utt_id", "rir_name", "target_c50", F.col("reverberant").alias("samples"))
+    wet = signal.reverberate(grid.join(waves.select("utt_id", "samples"), "utt_id"), rirs, "rir_name", early=early).select("utt_id", "rir_name", "target_c50", F.col("reverberant").alias("samples"))
     return cka_of_degraded(waves, wet, ["rir_name", "target_c50"], extract, activation_schema, keys, pool)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import warnings
 import wave
 from collections.abc import Iterator, Sequence
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessaprobe.functions import exprs
+from tessaprobe.functions.constants import TEST_ROOMS
 from tessaprobe.operators.represent import decode_f32
 from tessaprobe.sources.shared import written
 
@@ -125,12 +127,15 @@ def samples_of(content: bytes) -> tuple[int, list[list[float]]]:
         return f.getframerate(), x.reshape(-1, n).T.tolist()
 
 
-def read_waves(spark: SparkSession, folder: str, rate: int | None = None, pattern: str = "*.wav") -> DataFrame:
-    """path, utt_id, folder_name, sr, channels, samples (first channel), n_samples of every WAV below a folder."""
+WAVES = "path string, utt_id string, folder_name string, sr int, channels array<array<float>>, samples array<float>, n_samples int"
+
+
+def read_waves(spark: SparkSession, folder: str | Sequence[str], rate: int | None = None, pattern: str = "*.wav") -> DataFrame:
+    """path, utt_id, folder_name, sr, channels, samples (first channel), n_samples of every WAV below a folder, or several. Files whose names don't
+    fit ``pattern`` are dropped as they are listed and never opened; the others are dealt to tasks by size."""
     from tessaprobe.operators.signal import resampled
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    schema = "path string, utt_id string, folder_name string, sr int, channels array<array<float>>, samples array<float>, n_samples int"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder if isinstance(folder, str) else list(folder)).select("path", "content")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -142,31 +147,49 @@ def read_waves(spark: SparkSession, folder: str, rate: int | None = None, patter
                     channels, sr = [resampled(np.array(c), rate // common, sr // common).tolist() for c in channels], rate
                 parts = path.split("/")
                 rows.append((path, parts[-1].rsplit(".", 1)[0], parts[-2], sr, channels, channels[0], len(channels[0])))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in WAVES.split(", ")])
+
+    return files.mapInPandas(decode, WAVES)
+
 
-    return files.mapInPandas(decode, schema)
+def read_folders(spark: SparkSession, folder: str, names: Sequence[str], what: str, rate: int) -> DataFrame:
+    """``read_waves`` of the named folders only, no other is looked into; one that is missing is left out with a warning."""
+    paths = {name: f"{folder.rstrip('/')}/{name}" for name in names}
+    found = [path for name, path in paths.items() if exists(spark, path)]
+    for name in names:
+        if paths[name] not in found:
+            warnings.warn(f"no folder of {what} {name} in {folder}", stacklevel=3)
+    return read_waves(spark, found, rate) if found else spark.createDataFrame([], WAVES)
 
 
 def clean_speech(spark: SparkSession, folder: str, speakers: Sequence[str], rate: int = 16000) -> DataFrame:
     """Utterances of the wanted speakers, one folder each; a speaker without a folder is left out with a warning."""
-    for speaker in speakers:
-        if not exists(spark, f"{folder.rstrip('/')}/{speaker}"):
-            warnings.warn(f"no folder of speaker {speaker} in {folder}", stacklevel=2)
-    return read_waves(spark, folder, rate).where(F.col("folder_name").isin(*speakers)).withColumnRenamed("folder_name", "speaker")
+    return read_folders(spark, folder, speakers, "speaker", rate).where(F.col("folder_name").isin(*speakers)).withColumnRenamed("folder_name", "speaker")
 
 
-def noise_table(spark: SparkSession, folder: str, rate: int = 16000) -> DataFrame:
-    """Noises by the name of their folder, decoded once into a table."""
-    return written(read_waves(spark, folder, rate).select(F.col("folder_name").alias("noise_name"), "sr", "samples", "n_samples"), "noises")
+def noise_table(spark: SparkSession, folder: str, rate: int = 16000, names: Sequence[str] | None = None) -> DataFrame:
+    """Noises by the name of their folder (all, or those in ``names``), decoded once into a table."""
+    waves = read_waves(spark, folder, rate) if names is None else read_folders(spark, folder, names, "noise", rate)
+    return written(waves.select(F.col("folder_name").alias("noise_name"), "sr", "samples", "n_samples"), "noises")
+
+
+def any_of(parts: Sequence[str]) -> str:
+    """A glob of WAV names that contain one of the parts."""
+    return "*{" + ",".join(re.sub(r"([\\*?\[\]{},])", r"\\\1", part) for part in parts) + "}*.wav"
 
 
 def rir_table(spark: SparkSession, folder: str, rate: int = 16000, rooms: Sequence[str] | None = None, channel: int = 0) -> DataFrame:
-    """Responses cut to start at their peak; only names that contain one of ``rooms``, if given."""
-    rirs = read_waves(spark, folder, rate).select(F.col("utt_id").alias("rir_name"), "path", "sr", exprs.channel("channels", channel).alias("samples"))
-    rirs = rirs.where(exprs.contains_any("rir_name", rooms)) if rooms else rirs
+    """Responses cut to start at their peak; with ``rooms`` only files whose names contain one of them are opened."""
+    rirs = read_waves(spark, folder, rate, any_of(rooms) if rooms else "*.wav")
+    rirs = rirs.select(F.col("utt_id").alias("rir_name"), "path", "sr", exprs.channel("channels", channel).alias("samples"))
     return rirs.withColumn("samples", exprs.onset_aligned("samples"))
 
 
+def rirs_of_test_rooms(spark: SparkSession, folder: str, rate: int = 16000) -> DataFrame:
+    """Responses of the rooms that are held out for tests."""
+    return rir_table(spark, folder, rate, TEST_ROOMS)
+
+
 def rir_files(spark: SparkSession, folder: str) -> DataFrame:
     """wav_path (relative), family guess; what lies under manifests or checksums is no response."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(folder).select("path")

@@ -91,6 +91,19 @@ def test_audio_scans(spark, tmp_path):
     wav(tmp_path / "rirs/manifests/x.wav", [1])
     rirs = tables.rir_table(spark, str(tmp_path / "rirs"), rooms=["office"]).collect()
     assert [r.rir_name for r in rirs] == ["office_1"] and len(rirs[0].samples) == 4
+    (tmp_path / "speech/p999/broken.wav").write_bytes(b"no wave")  # never opened, nor is another room's or noise's
+    (tmp_path / "rirs/lin/hall_2.wav").write_bytes(b"no wave")
+    wav(tmp_path / "noise/TBUS/ch01.wav", [1, 2])
+    wav(tmp_path / "rirs/lin/a{b}_[1].wav", [1, 2])
+    (tmp_path / "noise/other/ch01.wav").parent.mkdir()
+    (tmp_path / "noise/other/ch01.wav").write_bytes(b"no wave")
+    assert tables.clean_speech(spark, str(tmp_path / "speech"), ["p226"]).count() == 1
+    assert [r.rir_name for r in tables.rirs_of_test_rooms(spark, str(tmp_path / "rirs")).collect()] == ["office_1"]
+    assert [r.rir_name for r in tables.rir_table(spark, str(tmp_path / "rirs"), rooms=["a{b}", "nowhere"]).collect()] == ["a{b}_[1]"]
+    assert [r.noise_name for r in tables.noise_table(spark, str(tmp_path / "noise"), names=["TBUS"]).collect()] == ["TBUS"]
+    assert tables.clean_speech(spark, str(tmp_path / "speech"), ["p1"]).collect() == []
+    for path in ("rirs/lin/hall_2.wav", "rirs/lin/a{b}_[1].wav"):
+        (tmp_path / path).unlink()
     files = {r.wav_path: r.family_guess for r in tables.rir_files(spark, str(tmp_path / "rirs")).collect()}
     assert files == {"Circ/office_1.wav": "circular", "lin/hall_1.wav": "linear"}
 
