@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaprobe.sources.shared import written
+
 
 def pearson(y: str, x: str) -> Column:
     """Correlation of pairs without a null; null (not an error) where one side is constant."""
@@ -31,9 +34,29 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     return df.withColumn(name, ranks + (ties - 1) / 2.0)
 
 
-def spearman(df: DataFrame, keys: Sequence[str], y: str, x: str, name: str = "rho") -> DataFrame:
+def average_rank_ranged(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """``average_rank`` for groups of very many rows, none of which is ever one task's.
+
+    Equal values are counted first. The counts are dealt into ranges of (keys, value), so a group goes over as many tasks as it
+    needs and equal values never part; a task adds up its own range, and what the ranges before it hold of the group, a number per
+    group and range, is added afterwards. Rows take the rank of their value by a join.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    dealt = written(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()), "rank-counts")
+    ranges = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_own"))
+    before = F.sum("_own").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_own")  # a row per range of the group
+    upto = F.sum("_n").over(Window.partitionBy("_range", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_range")])
+    ranks = dealt.withColumn("_upto", upto).alias("a").join(ranges.withColumn("_before", before).alias("b"), same)
+    ranks = ranks.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{value}").alias(value), (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, value)])
+    return df.alias("a").join(ranks.alias("b"), same).select("a.*", F.col(f"b.{name}").alias(name))
+
+
+def spearman(df: DataFrame, keys: Sequence[str], y: str, x: str, name: str = "rho", rank: Callable = average_rank) -> DataFrame:
+    """Rank correlation; ``rank``: ``average_rank``, or ``average_rank_ranged`` where groups are too large for a task."""
     full = df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & ~F.isnan(F.col(y).cast("double")) & ~F.isnan(F.col(x).cast("double")))
-    ranked = average_rank(average_rank(full, keys, y, "_ry"), keys, x, "_rx")
+    ranked = rank(rank(full, keys, y, "_ry"), keys, x, "_rx")
     return ranked.groupBy(*keys).agg(pearson("_ry", "_rx").alias(name))
 
 

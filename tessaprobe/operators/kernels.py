@@ -21,7 +21,7 @@ from tessaprobe.sources.shared import written
 
 FLOAT_EPS = 1.1920928955078125e-07
 BLOCK = 1000
-BINS = 4096
+BINS = 1 << 16
 DOUBLE_MAX = float(np.finfo(np.float64).max)
 
 

@@ -15,12 +15,19 @@ from tessaprobe.sources.shared import written
 
 
 def utterance_profile(facts: DataFrame) -> DataFrame:
-    """Per utterance: similarity at the first and last layer by name (of several rows the least and the largest), and the least."""
-    key = F.concat("layer", F.lit("#"), F.col("snr").cast("int").cast("string"))
-    return facts.groupBy("clean_idx").agg(
-        F.min(F.struct(key, "CKA"))["CKA"].alias("first_cka"), F.max(F.struct(key, "CKA"))["CKA"].alias("last_cka"),
-        F.min("CKA").alias("least_cka"), F.count_distinct("layer").alias("n_layers"),
-    )
+    """Per utterance: similarity at the first and last layer by name (there at the lowest and the highest level, of several rows the least and the
+    largest), the least of all, and how many layers it has.
+
+    An utterance's rows come together once; what is compared are numbers, so all aggregates are by hash. Layers are a small dimension.
+    """
+    rank = F.row_number().over(Window.orderBy("layer"))  # a row per layer of the models
+    layers = facts.select("layer").distinct().withColumn("_rank", rank)
+    rows = facts.join(layers, "layer").select("clean_idx", "_rank", F.col("snr").cast("double").alias("_snr"), F.col("CKA").cast("double").alias("CKA")).repartition("clean_idx")
+    cells = rows.groupBy("clean_idx", "_rank", "_snr").agg(F.min("CKA").alias("low"), F.max("CKA").alias("high"))
+    each = cells.groupBy("clean_idx", "_rank").agg(F.min_by("low", "_snr").alias("first"), F.max_by("high", "_snr").alias("last"), F.min("low").alias("low"))
+    return each.groupBy("clean_idx").agg(
+        F.min_by("first", "_rank").alias("first_cka"), F.max_by("last", "_rank").alias("last_cka"), F.min("low").alias("least_cka"), F.count("*").alias("n_layers")
+    )
 
 
 def sensitivity(facts: DataFrame, level: str, keys: Sequence[str] = ("layer",)) -> DataFrame:

@@ -382,3 +382,12 @@ def furthest_levels(spark, d):
 
     dist = manifold.distance_from_reference(views.psi_table(spark, d)).dropna(subset=["dist"])
     return rounded(dist.groupBy("layer").agg(F.count("*").alias("n"), F.max("dist").alias("furthest")), "furthest")
+
+
+@query(f"""WITH k AS (SELECT l_returnflag AS model_name, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS ry,
+ rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS rx FROM lineitem)
+SELECT model_name, {r(corr('ry', 'rx'))} AS rho FROM k GROUP BY 1""")
+def large_group_spearman(spark, d):
+    """Three groups that hold all rows between them: ranks go range by range, no task has a group."""
+    rows = views.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("model_name"), "l_extendedprice", "l_quantity")
+    return rounded(stats.spearman(rows, ["model_name"], "l_extendedprice", "l_quantity", rank=stats.average_rank_ranged), "rho")

@@ -211,3 +211,25 @@ def test_training_spectra_have_both_sides(spark):
     pairs = spark.createDataFrame([("u", 0, [float(i % 7) for i in range(40)], [float(i % 5) for i in range(40)])], "utt_id string, chunk_start int, clean array<double>, degraded array<double>")
     got = jobs.training_spectra(pairs, ["utt_id", "chunk_start"], n_fft=16, hop=4, win=16).groupBy("side").count().collect()
     assert {r.side: r["count"] for r in got} == {"clean": 11, "degraded": 11}
+
+
+def test_ranks_of_ranges_equal_the_window(spark):
+    """Ties over many rows, null keys and values, one group in several ranges."""
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 17 == 0 else int(g), float(np.round(x, 1)) if i % 13 else None, i) for i, (g, x) in enumerate(zip(rng.integers(0, 3, 900), rng.normal(size=900), strict=True))]
+    df = spark.createDataFrame(rows, "g int, v double, i int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        a, b = ({r.i: r.k for r in f(df, ["g"], "v", "k").collect()} for f in (stats.average_rank, stats.average_rank_ranged))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert a == b and len(a) == 900
+
+
+def test_profile_is_all_hash_aggregates(spark):
+    rows = [(u, f"layer{k}", float(s), u + k + s / 10) for u in range(3) for k in (1, 2, 10) for s in (-5, 0, 10)] + [(0, "layer1", -5.0, 0.5), (0, "layer2", 10.0, 99.0)]
+    df = jobs.utterance_profile(spark.createDataFrame(rows, "clean_idx int, layer string, snr double, CKA double"))
+    got = {r.clean_idx: (r.first_cka, r.last_cka, r.least_cka, r.n_layers) for r in df.collect()}
+    assert got == {0: (0.5, 99.0, 0.5, 3), 1: (1.5, 4.0, 1.5, 3), 2: (2.5, 5.0, 2.5, 3)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
