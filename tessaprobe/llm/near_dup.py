@@ -211,7 +211,9 @@ def links_of_block(group: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     if pivot.any():
         at = np.flatnonzero(pivot)
         among, _ = forest(linked[np.ix_(at, at)])
-        settled = name == name[at[np.bincount(among).argmax()]]
+        sizes = np.bincount(among)
+        best = min(np.unique(among).tolist(), key=lambda g: (-sizes[g], ids[at][among == g].min()))  # rows come in no order: ties go by id
+        settled = name == name[at[best]]
         rest = np.flatnonzero(~settled & (own == group.column("dealt")[0].as_py()))
     u = np.concatenate([ids[[a for a, _ in found]], ids[rest]]) if len(found) else ids[rest]
     v = [int(ids[b]) for _, b in found] + [None] * len(rest)

@@ -1,8 +1,10 @@
+import itertools
 import random
 import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessaprobe.llm import near_dup as nd
@@ -143,3 +145,23 @@ def test_signatures_in_pieces_are_the_same(monkeypatch):
     whole = nd.super_minhash(values, starts, 224)
     monkeypatch.setattr(nd, "ELEMENTS", 97)
     assert (nd.super_minhash(values, starts, 224) == whole).all()
+
+
+def test_tied_pivot_groups_lose_no_link():
+    """A chain p, x, y, q across two blocks whose pivots p and q are groups of equal size: whatever the order of rows in a block, x and y
+    are compared somewhere."""
+    sets = {1: range(0, 100), 2: range(8, 108), 3: range(16, 116), 4: range(24, 124)}
+    pivots, owns = {1, 4}, {1: 0, 2: 0, 3: 1, 4: 1}
+
+    def block(k, order):
+        rows = [i for i in order if i in pivots or owns[i] == k]
+        raw = [np.array(sets[i], np.uint64).tobytes() for i in rows]
+        columns = {"place": [9] * len(rows), "blocks": pa.array([2] * len(rows), pa.int32()), "dealt": pa.array([k] * len(rows), pa.int32()), "own": pa.array([owns[i] for i in rows], pa.int32())}
+        return pa.table(columns | {"id": rows, "pivot": [i in pivots for i in rows], "shingles": pa.array(raw, pa.binary())})
+
+    for one in itertools.permutations(sets):
+        for two in itertools.permutations(sets):
+            found = [r for k, order in enumerate((one, two)) for batch in nd.links_of_block(block(k, order), 85) for r in batch.to_pylist()]
+            unsettled = {r["u"] for r in found if r["v"] is None}
+            assert unsettled & {2, 3}  # one of them meets the other's block
+            assert {frozenset((r["u"], r["v"])) for r in found if r["v"] is not None} == {frozenset((1, 2)), frozenset((3, 4))}
