@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tessaprobe.functions import exprs
 
 SCORES = ("pesq", "stoi", "dnsmos_ovrl")
+# The result table's columns in their order.
 FIELDS = (
-    "domain utterance_id rir_id rt60 c50 pesq stoi si_sdr dnsmos_ovrl dnsmos_sig dnsmos_bak "
-    "pesq_input stoi_input si_sdr_input dnsmos_ovrl_input dnsmos_sig_input dnsmos_bak_input"
-).split()
+    "domain", "utterance_id", "rir_id", "rt60", "c50", "pesq", "stoi", "si_sdr", "dnsmos_ovrl", "dnsmos_sig", "dnsmos_bak",
+    "pesq_input", "stoi_input", "si_sdr_input", "dnsmos_ovrl_input", "dnsmos_sig_input", "dnsmos_bak_input",
+)
 
 
 def valid_mean(c: str) -> Column:

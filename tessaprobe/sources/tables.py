@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessaprobe.functions import exprs
-from tessaprobe.functions.constants import TEST_ROOMS
+from tessaprobe.functions.constants import SAMPLE_RATE, TEST_ROOMS
 from tessaprobe.operators.represent import decode_f32
 from tessaprobe.sources.shared import written
 
@@ -162,12 +162,12 @@ def read_folders(spark: SparkSession, folder: str, names: Sequence[str], what: s
     return read_waves(spark, found, rate) if found else spark.createDataFrame([], WAVES)
 
 
-def clean_speech(spark: SparkSession, folder: str, speakers: Sequence[str], rate: int = 16000) -> DataFrame:
+def clean_speech(spark: SparkSession, folder: str, speakers: Sequence[str], rate: int = SAMPLE_RATE) -> DataFrame:
     """Utterances of the wanted speakers, one folder each; a speaker without a folder is left out with a warning."""
     return read_folders(spark, folder, speakers, "speaker", rate).where(F.col("folder_name").isin(*speakers)).withColumnRenamed("folder_name", "speaker")
 
 
-def noise_table(spark: SparkSession, folder: str, rate: int = 16000, names: Sequence[str] | None = None) -> DataFrame:
+def noise_table(spark: SparkSession, folder: str, rate: int = SAMPLE_RATE, names: Sequence[str] | None = None) -> DataFrame:
     """Noises by the name of their folder (all, or those in ``names``), decoded once into a table."""
     waves = read_waves(spark, folder, rate) if names is None else read_folders(spark, folder, names, "noise", rate)
     return written(waves.select(F.col("folder_name").alias("noise_name"), "sr", "samples", "n_samples"), "noises")
@@ -178,14 +178,14 @@ def any_of(parts: Sequence[str]) -> str:
     return "*{" + ",".join(re.sub(r"([\\*?\[\]{},])", r"\\\1", part) for part in parts) + "}*.wav"
 
 
-def rir_table(spark: SparkSession, folder: str, rate: int = 16000, rooms: Sequence[str] | None = None, channel: int = 0) -> DataFrame:
+def rir_table(spark: SparkSession, folder: str, rate: int = SAMPLE_RATE, rooms: Sequence[str] | None = None, channel: int = 0) -> DataFrame:
     """Responses cut to start at their peak; with ``rooms`` only files whose names contain one of them are opened."""
     rirs = read_waves(spark, folder, rate, any_of(rooms) if rooms else "*.wav")
     rirs = rirs.select(F.col("utt_id").alias("rir_name"), "path", "sr", exprs.channel("channels", channel).alias("samples"))
     return rirs.withColumn("samples", exprs.onset_aligned("samples"))
 
 
-def rirs_of_test_rooms(spark: SparkSession, folder: str, rate: int = 16000) -> DataFrame:
+def rirs_of_test_rooms(spark: SparkSession, folder: str, rate: int = SAMPLE_RATE) -> DataFrame:
     """Responses of the rooms that are held out for tests."""
     return rir_table(spark, folder, rate, TEST_ROOMS)
 
