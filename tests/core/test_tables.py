@@ -156,7 +156,7 @@ def test_evaluation_tables(spark):
     got = {r.domain: r for r in whole.collect()}
     assert got["reverb"].pesq == 2.0 and got["reverb"].pesq_delta == -1.0 and got["reverb"].n == 2
     assert [(r.bin, r.n) for r in bins.collect()] == [("0.0-0.3", 1)]
-    assert evaluation.result_table(scores).columns == evaluation.FIELDS
+    assert evaluation.result_table(scores).columns == list(evaluation.FIELDS)
 
 
 def test_training_pairs(spark):
