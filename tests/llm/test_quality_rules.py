@@ -44,8 +44,11 @@ def test_counts_equal_brute_force(documents):
 
 
 def near_copy(i):
-    lines = [invented(7 + k, 40, 9999) for k in range(5)]
-    return "\n".join([*lines, f"own line number {i} of a near copy"])
+    """Five lines of 40 words; in one of them two words are other ones."""
+    lines = [invented(7 + k, 40, 9999).split(" ") for k in range(5)]
+    for at in (i % 37, (i * 7 + 3) % 40):
+        lines[i % 5][at] = f"other{i}"
+    return "\n".join(" ".join(line) for line in lines)
 
 
 def test_frequent_lines_and_depletion(documents):
@@ -75,6 +78,25 @@ def test_lines_that_come_together_are_counted(documents):
     assert all(got[2000 + i].removed_words == 2 for i in range(150)) and all(got[3000 + i].removed_words == 0 for i in range(60))
 
 
+@pytest.mark.parametrize("own", [5, 12, 30, 60])
+def test_short_own_lines_dont_spare_a_template(own, documents):
+    frame = [invented(900 + k, 10, 9999) for k in range(30)]
+    rows = [(i, "\n".join([*frame[:20], invented(2000 + i, own, 99999), *frame[20:]]), "h") for i in range(200)]
+    rows += [(500 + i, invented(7000 + i, 50, 9999), "h") for i in range(100)]
+    got = {r.doc_id: r for r in q.judged(documents(rows)).collect()}
+    assert all(got[i].removed_words == 300 and not got[i].kept for i in range(200))
+    assert all(got[500 + i].removed_words == 0 and got[500 + i].kept for i in range(100))
+
+
+def test_a_page_of_shared_lines_alone_counts_by_its_text(documents):
+    frame = [invented(900 + k, 10, 9999) for k in range(12)]
+    rng = random.Random(4)
+    pages = ["\n".join(rng.sample(frame, 9)) for _ in range(200)]
+    got = q.judged(documents([(i, p, "h") for i, p in enumerate(pages)])).collect()
+    assert len({frozenset(p.split("\n")) for p in pages}) > 60
+    assert all(r.removed_words == 90 and not r.kept for r in got)
+
+
 def test_copies_count_once(documents):
     frame = [invented(900 + k, 8, 9999) for k in range(6)]
     rows = [(i, "\n".join([*frame, invented(20, 50, 9999)]), "exact") for i in range(50)]
