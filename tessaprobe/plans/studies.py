@@ -135,7 +135,7 @@ def appended_domains(spark, d):
     scores = views.eval_scores(spark, d).withColumn("extra", F.lit(1))
     again = scores.select(F.concat("domain", F.lit("_again")).alias("domain"), "utterance_id", "rt60", "si_sdr")
     out = evaluation.result_table(scores, again)
-    assert out.columns == evaluation.FIELDS
+    assert out.columns == list(evaluation.FIELDS)
     rows = out.groupBy("domain").agg(
         F.count("*").alias("n"), F.count("pesq").alias("n_pesq"), F.count("si_sdr").alias("n_si_sdr"), F.count("stoi").cast("int").alias("n_stoi"), F.avg("pesq").alias("pesq")
     )

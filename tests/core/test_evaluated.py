@@ -1,6 +1,6 @@
 import numpy as np
 
-from tessaprobe.plans import jobs
+from tessaprobe.plans import jobs, registry
 
 
 def si_sdr(x, y):
@@ -29,3 +29,11 @@ def test_manifest_is_scored_on_both_sides(spark):
         assert row.pesq == 40 + better[f][0] and row.pesq_input == 40 + noisy[f][0]
     summary, bins = jobs.evaluation_report(out)
     assert summary.first().n == 3 and bins.first().n == 3
+
+
+def test_appended_domains_over_its_own_rows(spark, tmp_path):
+    """The query runs, and its second domain has no scores but si_sdr."""
+    rows = [(1, 17, "F", 30000.0), (2, 5, "F", 60000.0), (3, 6, "O", 90000.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.domain: (r.n, r.n_pesq, r.n_si_sdr, r.n_stoi, r.pesq) for r in registry.queries()["appended_domains"](spark, str(tmp_path)).collect()}
+    assert got == {"F": (2, 2, 2, 0, 0.2), "F_again": (2, 0, 2, 0, None), "O": (1, 1, 1, 0, 1.6), "O_again": (1, 0, 1, 0, None)}
