@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,26 @@ def test_distance_identity_at_time_one(spark):
     assert abs(c - full[0].c_value) < 1e-9
 
 
+def test_large_groups_have_no_map_in_a_task(spark, monkeypatch):
+    """Groups above the size are not solved, the others are; both give what numpy's eigenvalues and coordinates give."""
+    rng = np.random.default_rng(9)
+    groups = {"small": rng.normal(size=(20, 4)), "large": rng.normal(size=(45, 4))}
+    p = spark.createDataFrame([(g, i, v.tolist()) for g, x in groups.items() for i, v in enumerate(x)], "layer string, i int, vec array<double>")
+    want = {g: manifold.diffusion_arrays(x, 2.0, 1.0, 0.0, None) for g, x in groups.items()}
+    solved, real = [], manifold.diffusion_map
+    monkeypatch.setattr(manifold, "diffusion_map", lambda points, *a, **k: (solved.append(sorted(r.layer for r in points.select("layer").distinct().collect())), real(points, *a, **k))[1])
+    for most, kept in ((30, [["small"]]), (50, [["large", "small"]]), (10, [])):
+        solved.clear()
+        sums = {r.layer: r for r in manifold.eigenvalue_sums(p, "layer", "i", "vec", most, block=7).collect()}
+        assert solved == kept and {g: r.n for g, r in sums.items()} == {"small": 20, "large": 45}
+        for g, r in sums.items():
+            assert abs(r.eigen_sum - want[g]["lam"].sum()) < 1e-9 and abs(r.eigen_squares - (want[g]["lam"] ** 2).sum()) < 1e-9
+        solved.clear()
+        dist = manifold.psi_distances(p, "layer", "i", "vec", most, block=7).collect()
+        assert solved == kept and len({(r.layer, r.i, r.j) for r in dist}) == len(dist) == 20 * 19 // 2 + 45 * 44 // 2
+        assert all(abs(r.dist2 - np.sum((want[r.layer]["psi"][r.i] - want[r.layer]["psi"][r.j]) ** 2)) < 1e-9 for r in dist)
+
+
 def test_krylov_solver_gives_the_same_pairs(spark):
     """Groups of unlike size and spectrum, one with fewer points than pairs; alpha; the matrix is never stored."""
     rng = np.random.default_rng(8)
@@ -91,6 +112,56 @@ def test_blocked_distances(spark):
     assert all(abs(d - np.sum((x[i] - x[j]) ** 2)) < 1e-9 for (i, j), d in got.items())
 
 
+def test_bands_and_pieces(spark, monkeypatch):
+    """More blocks than bands, pieces smaller than bands, ids of both kinds: every pair once; blocks are shuffled once per band, not per block."""
+    monkeypatch.setattr(kernels, "BANDS", 3)
+    monkeypatch.setattr(kernels, "BLOCK", 5)
+    monkeypatch.setattr(kernels, "TILE_BLOCKS", 8)
+    x = np.random.default_rng(11).normal(size=(60, 3))
+    p = points(spark, x)
+    assert kernels.row_blocks(kernels.packed(p, "layer", "i", "vec", block=2).withColumn("told", F.array(F.lit(0.0))), "layer", half=True)[1].count() <= 30 * 3
+    named = p.withColumn("i", F.format_string("%02d", "i"))
+    d2 = ((x[:, None] - x[None, :]) ** 2).sum(2)
+    for q in (p, named):
+        got = {(int(r.i), int(r.j)): r.d2 for r in kernels.distances(q, "layer", "i", "vec", block=2, finish=kernels.half_up(6)).collect()}
+        assert set(got) == {(i, j) for i in range(60) for j in range(i + 1, 60)} and all(abs(v - d2[k]) < 6e-7 for k, v in got.items())
+    kern = np.exp(d2 / (-2 * np.sort(d2[np.triu_indices(60, 1)])[(60 * 59 // 2 - 1) // 2]))
+    m = kern / np.sqrt(np.outer(kern.sum(1), kern.sum(1)))
+    found = {(r.i, r.j): r.m for r in kernels.symmetric_pairs(kernels.degrees(p, "layer", "i", "vec", block=2), "layer", "i", block=2).collect()}
+    assert len(found) == 3600 and all(abs(v - m[k]) < 1e-12 for k, v in found.items())
+    whole = kern.sum()
+    got = kernels.diffusion_distance_one(p, "layer", "i", "vec", block=2).collect()
+    assert len(got) == len({(r.i, r.j) for r in got}) == 60 * 59 // 2
+    for r in got:
+        want = np.sum((m[r.i] - m[r.j]) ** 2) - (np.sqrt(kern[r.i].sum()) - np.sqrt(kern[r.j].sum())) ** 2 / whole
+        assert r.i < r.j and abs(r.dist2 - want) < 1e-10
+
+
+def test_pieces_cover_two_bands_once(monkeypatch):
+    monkeypatch.setattr(kernels, "BLOCK", 4)
+    def band(ids):
+        return kernels.Block(0, pa.array(ids), np.array(ids, float)[:, None], np.empty((len(ids), 0)), np.empty(0))
+
+    one, two = band(list(range(10))), band([20, 21, 22])
+    for half, col, want in ((False, one, {(i, j) for i in range(10) for j in range(10)}), (True, two, {(i, j) for i in range(10) for j in (20, 21, 22)}), (True, one, {(i, j) for i in range(10) for j in range(i + 1, 10)})):
+        seen = []
+        for at, a, b in kernels.pieces(one, col, half):
+            assert a.x.shape[0] <= 4 and b.x.shape[0] <= 4 and one.ids[at].equals(a.ids)
+            if half:
+                batch = kernels.ordered_pairs("g", "string", "g", a, b, a.x + b.x.T, "v")
+                assert batch.column("v").to_pylist() == [i + j for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)]
+                seen += zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)
+            else:
+                seen += [(i, j) for i in a.ids.to_pylist() for j in b.ids.to_pylist()]
+        assert len(seen) == len(want) and set(seen) == want
+
+
+def test_rounding_in_the_task_is_sqls():
+    got = kernels.half_up(6)(np.array([[0.0078125, -0.0078125, -1e-9, 2.5e-6, 1234.5678914]])).tolist()
+    assert got == [[0.007813, -0.007813, 0.0, 3e-6, 1234.567891]] and not np.signbit(got[0][2])
+    assert kernels.half_up(2, 1000.0)(np.array([1.234567])).tolist() == [1234.57]
+
+
 def test_degrees_and_symmetric_kernel(spark):
     x = np.random.default_rng(6).normal(size=(40, 5))
     d2 = ((x[:, None] - x[None, :]) ** 2).sum(2)
