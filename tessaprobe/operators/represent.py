@@ -21,6 +21,7 @@ from tessaprobe.sources.shared import written
 
 EPS = 1e-12
 HELD_NUMBERS = 1 << 23  # of sums that a task keeps before it hands them on
+MANY_KEYS = 1000  # of a batch; with a quarter as many keys as rows or more, sums go on without being kept
 
 
 def vector_sums(df: DataFrame, keys: Sequence[str], vec: str, count: str | None = None) -> DataFrame:
@@ -37,7 +38,10 @@ def vector_sums(df: DataFrame, keys: Sequence[str], vec: str, count: str | None
 
 
 def _added(batches: Iterator[pa.RecordBatch], keys: list[str], ordered: bool) -> Iterator[pa.RecordBatch]:
-    """Sums by key over batches: what is held goes on when it is much, or, of rows in order of keys, when a batch has passed the key."""
+    """Sums by key over batches: what is held goes on when it is much, or, of rows in order of keys, when a batch has passed the key.
+
+    Keys that can't go on in a later batch are added up together: of rows in order all but the first and the last. So are those of a batch with very many keys.
+    """
     held: dict[tuple, list] = {}
     schema = None
 
@@ -59,8 +63,13 @@ def _added(batches: Iterator[pa.RecordBatch], keys: list[str], ordered: bool) ->
         part = batch.take(pa.array(order))
         sizes, flat = np.diff(part.column("sum").offsets.to_numpy()), part.column("sum").flatten().to_numpy()
         ends, n = np.cumsum(sizes), np.add.reduceat(part.column("n").to_numpy(), starts)
-        names = list(zip(*(part.column(k).take(pa.array(starts)).to_pylist() for k in keys), strict=True))
-        for g, (name, a, b) in enumerate(zip(names, starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True)):
+        direct = range(0)
+        if sizes[0] and (sizes == sizes[0]).all():
+            direct = range(1, len(starts) - 1) if ordered else range(len(starts) if len(starts) > MANY_KEYS and 4 * len(starts) > len(order) else 0)
+        kept, bounds = [g for g in range(len(starts)) if g not in direct], [*starts.tolist(), len(order)]
+        names = zip(*(part.column(k).take(pa.array(starts[kept])).to_pylist() for k in keys), strict=True)
+        for g, name in zip(kept, names, strict=True):
+            a, b = bounds[g], bounds[g + 1]
             width = int(sizes[a])
             if (sizes[a:b] != width).any() or (name in held and len(held[name][0]) != width):
                 raise ValueError(f"vectors of {name} differ in length")
@@ -70,6 +79,11 @@ def _added(batches: Iterator[pa.RecordBatch], keys: list[str], ordered: bool) ->
                 held[name][1] += int(n[g])
             else:
                 held[name] = [total, int(n[g])]
+        if direct:
+            width, some = int(sizes[0]), slice(direct.start, direct.stop)
+            sums = np.add.reduceat(flat.reshape(-1, width), starts, axis=0)[some]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * width), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(starts[some])) for k in keys), lists, pa.array(n[some])], names=[*keys, "sum", "n"])
         last = tuple(batch.column(k)[-1].as_py() for k in keys)
         done = [k for k in held if k != last] if ordered else list(held) if sum(len(x) for x, _ in held.values()) > HELD_NUMBERS else []
         if done:
@@ -225,31 +239,39 @@ def cka_of_conditions(pooled: DataFrame, shared: Sequence[str], conditions: Sequ
     rows = pooled.select(*shared, *conditions, "token_idx", F.col("vec").cast("array<double>").alias("vec"), F.when(clean, 0).otherwise(1).alias("_side"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tokens, vectors, reference = None, [], [], None  # now: (shared key, side, conditions) of the rows that are held
+        now, tokens, vectors, reference = None, [], [], None  # now: (shared key, side, conditions) of the rows that are held; vectors: a matrix per run of rows
 
         def compared() -> tuple | None:
             nonlocal reference
             key, side, own = now
+            if any(v is None or v.shape[1] != vectors[0].shape[1] for v in vectors):
+                raise ValueError(f"activations of {key}, {own} differ in shape")
+            matrix = np.concatenate(vectors)
             if side == 0:
-                reference = (key, tokens, vectors)
+                reference = (key, tokens, matrix)
                 return None
-            if reference is None or reference[0] != key or reference[1] != tokens or {len(v) for v in vectors} != {len(v) for v in reference[2]}:
+            if reference is None or reference[0] != key or reference[1] != tokens or matrix.shape != reference[2].shape:
                 raise ValueError(f"clean and degraded activations of {key}, {own} differ in shape")
-            return (*key, *own, linear_cka(np.array(reference[2]), np.array(vectors)))
+            return (*key, *own, linear_cka(reference[2], matrix))
 
         for batch in batches:
-            out, columns = [], [batch.column(c).to_pylist() for c in (*shared, *conditions)]
-            names = list(zip(*columns, strict=True))
-            vecs, sides, idx = batch.column("vec"), batch.column("_side").to_pylist(), batch.column("token_idx").to_pylist()
+            if not batch.num_rows:
+                continue
+            out, keyed = [], batch.select([*shared, "_side", *conditions])
+            code = keyed.to_pandas().groupby(keyed.schema.names, dropna=False, sort=False).ngroup().to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(code) != 0]))
+            names = zip(*(keyed.column(c).take(pa.array(starts)).to_pylist() for c in keyed.schema.names), strict=True)
+            vecs, idx = batch.column("vec"), batch.column("token_idx").to_pylist()
             offsets, flat = vecs.offsets.to_numpy(), vecs.values.to_numpy(zero_copy_only=False)
-            for i, name in enumerate(names):
-                mine = (name[: len(shared)], sides[i], name[len(shared) :])
+            for name, a, b in zip(names, starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                mine = (name[: len(shared)], name[len(shared)], name[len(shared) + 1 :])
                 if mine != now:
                     if now is not None and (found := compared()):
                         out.append(found)
                     now, tokens, vectors = mine, [], []
-                tokens.append(idx[i])
-                vectors.append(flat[offsets[i] : offsets[i + 1]])
+                tokens += idx[a:b]
+                widths = set(np.diff(offsets[a : b + 1]).tolist())
+                vectors.append(flat[offsets[a] : offsets[b]].reshape(b - a, -1).copy() if len(widths) == 1 else None)
             schema = pa.schema([*(batch.schema.field(c) for c in (*shared, *conditions)), ("CKA", pa.float64())])
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
         if now is not None and (found := compared()):

@@ -27,21 +27,25 @@ def frames_of(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return frames, np.arange(len(frames))
 
 
+SAMPLES_AT_ONCE = 1 << 18
+
+
 def token_rows(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     """Rows (keys, TOKENS) of a batch of waves (keys, samples)."""
-    parts = []
-    for row in frame.to_dict("records"):
-        frames, at = frames_of(row["samples"])
-        for layer, values in (("plain", frames), ("square", frames**2)):
-            own = pd.DataFrame({**{k: [row[k]] * len(at) for k in keys}, "layer": layer, "call_idx": 0, "time_idx": at % 2, "token_idx": at // 2})
-            parts.append(own.assign(vec=list(values)))
-    return pd.concat(parts) if parts else pd.DataFrame(columns=[*keys, "layer", "call_idx", "time_idx", "token_idx", "vec"])
+    cut = [frames_of(x) for x in frame["samples"]]
+    frames = np.concatenate([x for x, _ in cut]) if cut else np.empty((0, FRAME))
+    at = np.concatenate([n for _, n in cut]) if cut else np.empty(0, np.int64)
+    waves = np.repeat(np.arange(len(frame)), [len(n) for _, n in cut])
+    own = frame[keys].iloc[waves].reset_index(drop=True).assign(call_idx=0, time_idx=at % 2, token_idx=at // 2)
+    parts = [own.assign(layer=layer, vec=list(values)) for layer, values in (("plain", frames), ("square", frames**2))]
+    return pd.concat(parts, ignore_index=True)[[*keys, "layer", "call_idx", "time_idx", "token_idx", "vec"]]
 
 
 def grid_tokens(frames):
     for frame in frames:
         keys = [c for c in frame.columns if c != "samples"]
-        yield token_rows(frame, keys)
+        for _, part in frame.groupby(np.cumsum(frame["samples"].map(len).to_numpy()) // SAMPLES_AT_ONCE):
+            yield token_rows(part, keys)
 
 
 def noise_pool(spark, d) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tessaprobe.operators import represent, signal
+from tessaprobe.plans import grid
 
 ROWS = "utt_id string, noise_name string, level double, layer string, token_idx int, vec array<double>"
 
@@ -72,3 +74,29 @@ def test_both_sides_are_scored_in_one_pass(spark):
     got = {r.k: r for r in scored.collect()}
     assert (got[1].noisy_gap, got[1].enhanced_gap, got[2].enhanced_gap, got[1].e) == (1.0, 1.0, 1.0, [0.0, 2.0])
     assert calls.value == 4 and scored._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+
+
+def test_sums_of_very_many_keys_are_not_kept():
+    """Rows in order with keys across batches, and rows in any order: the sums per key, most of them added up together."""
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 3000, 9000))
+    vecs = rng.normal(size=(9000, 2))
+    want = {int(k): vecs[keys == k].sum(0) for k in np.unique(keys)}
+    for ordered in (True, False):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 4100]), pa.array(vecs[a : a + 4100].tolist()), pa.array([1] * len(keys[a : a + 4100]))], names=["k", "sum", "n"]) for a in range(0, 9000, 4100)]
+        rows = [r for b in represent._added(iter(batches), ["k"], ordered) for r in b.to_pylist()]
+        got = {}
+        for r in rows:
+            got[r["k"]] = got.get(r["k"], 0) + np.array(r["sum"])
+        assert sum(r["n"] for r in rows) == 9000 and got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+        assert not ordered or len(rows) == len(want)
+    out = list(represent._added(iter(batches), ["k"], True))
+    assert max(b.num_rows for b in out) > 1000
+
+
+def test_tokens_of_a_batch_are_one_frame(monkeypatch):
+    frame = pd.DataFrame({"utt_id": [1, 2, 3], "samples": [np.arange(9.0), np.arange(3.0), np.arange(8.0)]})
+    monkeypatch.setattr(grid, "SAMPLES_AT_ONCE", 100)
+    (got,) = grid.grid_tokens([frame])
+    assert got.columns.tolist() == ["utt_id", "layer", "call_idx", "time_idx", "token_idx", "vec"] and len(got) == 8
+    assert got[(got.utt_id == 3) & (got.layer == "square") & (got.time_idx == 1)].vec.iloc[0].tolist() == [16.0, 25.0, 36.0, 49.0]
