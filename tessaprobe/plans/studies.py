@@ -322,7 +322,7 @@ steps AS (SELECT *, coalesce(lag(pr) OVER g, 0) - pr AS gr, coalesce(lag(pg) OVE
 SELECT utt_id, {r('avg((mr - mg) ** 2)')} AS mag_mse, {r('avg((mr * cos(pr) - mg * cos(pg)) ** 2) / 2 + avg((mr * sin(pr) - mg * sin(pg)) ** 2) / 2')} AS complex_mse,
  {r(f"avg({_wrapped('pr - pg')})")} AS phase_ip, {r(f"avg({_wrapped('gr - gg')})")} AS phase_gd, {r(f"avg({_wrapped('tr - tg')})")} AS phase_iaf FROM steps GROUP BY 1""")
 def spectral_distance(spark, d):
-    frames = signal.stft(views.signals(spark, d), ["utt_id"], n_fft=16, hop=4, win=16)
+    frames = signal.stft(views.signals(spark, d), ["utt_id"], n_fft=16, hop=4, win=16, parts=("mag", "pha"))
     left = frames.select("utt_id", "frame_idx", F.col("mag").alias("mag_r"), F.col("pha").alias("pha_r"))
     right = frames.select((F.col("utt_id") - 1).alias("utt_id"), "frame_idx", F.col("mag").alias("mag_g"), F.col("pha").alias("pha_g"))
     out = signal.spectral_distances(left.join(right, ["utt_id", "frame_idx"]), ["utt_id"])
