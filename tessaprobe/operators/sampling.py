@@ -24,11 +24,9 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFra
     keys = [exprs.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
     names = [f"_o{i}" for i in range(len(keys))]
     ranged = written(df.select("*", *keys).repartitionByRange(*names).withColumn("_range", F.spark_partition_id()), "numbered")
-    before, total = [], 0
-    for row in sorted(ranged.groupBy("_range").count().collect()):
-        before.append((row["_range"], total))
-        total += row["count"]
-    offsets = df.sparkSession.createDataFrame(before, "_range int, _before bigint")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_range"))  # a row per range
+    offsets = counts.select("_range", (upto - F.col("_n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*names)) - 1 + F.col("_before")
     return ranged.join(F.broadcast(offsets), "_range").withColumn(name, place).drop("_range", "_before", *names)
 

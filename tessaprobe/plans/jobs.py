@@ -14,15 +14,20 @@ from tessaprobe.sources import tables
 from tessaprobe.sources.shared import written
 
 
+PROFILE_ROWS = 250_000
+
+
 def utterance_profile(facts: DataFrame) -> DataFrame:
     """Per utterance: similarity at the first and last layer by name (there at the lowest and the highest level, of several rows the least and the
     largest), the least of all, and how many layers it has.
 
-    An utterance's rows come together once; what is compared are numbers, so all aggregates are by hash. Layers are a small dimension.
+    An utterance's rows come together once; what is compared are numbers, so all aggregates are by hash. Layers are a small dimension. A task
+    gets about PROFILE_ROWS rows however many there are, and so its hash tables keep their size.
     """
+    tasks = max(facts.sparkSession.sparkContext.defaultParallelism, -(-facts.count() // PROFILE_ROWS))
     rank = F.row_number().over(Window.orderBy("layer"))  # a row per layer of the models
     layers = facts.select("layer").distinct().withColumn("_rank", rank)
-    rows = facts.join(layers, "layer").select("clean_idx", "_rank", F.col("snr").cast("double").alias("_snr"), F.col("CKA").cast("double").alias("CKA")).repartition("clean_idx")
+    rows = facts.join(layers, "layer").select("clean_idx", "_rank", F.col("snr").cast("double").alias("_snr"), F.col("CKA").cast("double").alias("CKA")).repartition(tasks, "clean_idx")
     cells = rows.groupBy("clean_idx", "_rank", "_snr").agg(F.min("CKA").alias("low"), F.max("CKA").alias("high"))
     each = cells.groupBy("clean_idx", "_rank").agg(F.min_by("low", "_snr").alias("first"), F.max_by("high", "_snr").alias("last"), F.min("low").alias("low"))
     return each.groupBy("clean_idx").agg(
