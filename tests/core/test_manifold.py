@@ -88,6 +88,38 @@ def test_krylov_solver_gives_the_same_pairs(spark):
             assert np.allclose(np.abs([*r.psi, *r.complement]), np.abs([*want.psi, *want.complement]), atol=1e-5)
 
 
+def test_power_distances_of_any_spectrum(spark):
+    """More far points than a first basis has directions (their eigenvalues are all 1), spectra with a gap and without, one point, two, equal ones, clusters: all pairs as powers of the kernel give them."""
+    rng = np.random.default_rng(12)
+    groups = {
+        "far": np.concatenate([rng.normal(size=(170, 5)), 30.0 * rng.normal(size=(60, 5))]), "flat": rng.normal(size=(90, 64)), "low": rng.normal(size=(80, 2)), "one": np.ones((1, 3)),
+        "two": np.array([[0.0, 1], [2, 3]]), "same": np.ones((40, 3)), "later": np.concatenate([np.zeros((60, 3)), np.repeat(np.eye(6), 10, 0) * 9 + rng.normal(size=(60, 6)) / 9], axis=1),
+    }
+    p = spark.createDataFrame([(g, i, v.tolist()) for g, x in groups.items() for i, v in enumerate(x)], "layer string, i int, vec array<double>")
+    got = {(r.layer, r.i, r.j): r.dist2 for r in manifold.power_distances(p, "layer", "i", "vec", 4, block=30).collect()}
+    assert len(got) == sum(len(x) * (len(x) - 1) // 2 for x in groups.values())
+    for g, x in groups.items():
+        d2 = ((x[:, None] - x[None, :]) ** 2).sum(2)
+        upper = np.sort(d2[np.triu_indices(len(x), 1)])
+        kern = np.exp(-d2 / (2 * max(upper[(len(upper) - 1) // 2] if len(upper) else 0.0, kernels.FLOAT_EPS)))
+        root = np.sqrt(kern.sum(1))
+        rows = np.linalg.matrix_power(kern / np.outer(root, root), 4) - np.outer(root, root) / kern.sum()
+        want = {(g, i, j): np.sum((rows[i] - rows[j]) ** 2) for i in range(len(x)) for j in range(i + 1, len(x))}
+        assert all(abs(got[k] - v) < 1e-12 for k, v in want.items()), g
+
+
+def test_turn_takes_out_what_is_known():
+    rng = np.random.default_rng(4)
+    q = np.linalg.qr(rng.normal(size=(50, 3)))[0]
+    y = np.concatenate([rng.normal(size=(50, 2)) @ rng.normal(size=(2, 6)) + q @ rng.normal(size=(3, 6)), rng.normal(size=(50, spectra.PROBES))], axis=1)
+    for whiten in (False, True, True):
+        x = np.concatenate([q, y], axis=1)
+        y = x @ spectra.orthogonal_turn(x.T @ x, 3, whiten)
+    basis, probes = y[:, : -spectra.PROBES], y[:, -spectra.PROBES :]
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-12) and 2 <= basis.shape[1] <= 6
+    assert max(np.abs(q.T @ y).max(), np.abs(basis.T @ probes).max()) < 1e-12
+
+
 def test_small_problem_settles_and_restarts():
     rng = np.random.default_rng(1)
     m = rng.normal(size=(30, 30))
